@@ -1,6 +1,6 @@
 """Column functions: ids, addresses, paths, times, ratios. All stay inside the JVM."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UUID_CANONICAL = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
@@ -119,3 +119,13 @@ def at(as_of) -> Column:
 def before(as_of, amount: int, unit: str) -> Column:
     """``as_of`` minus a fixed span; unit is one of days, hours, secs."""
     return at(as_of) - F.make_dt_interval(**{unit: F.lit(amount)})
+
+
+def evaluated_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add or replace columns whose expressions are too large to be repeated.
+
+    The optimizer copies a projected expression into every filter and projection above it, but
+    not one that depends on the partition. The condition is always true.
+    """
+    here = F.spark_partition_id() >= 0
+    return df.withColumns({n: F.when(here, e) for n, e in columns.items()})

@@ -1,7 +1,7 @@
 """The ingest contract: message decoding, strict and loose checks, batches, size limit.
 
-Payloads are read as VARIANT: one parse per message, the JSON kind of every field stays known,
-and `properties` keeps whatever shape the sender gave it.
+Payload fields are read as VARIANT: one parse per message, the JSON kind of every field stays
+known, and `properties` keeps whatever shape the sender gave it.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -33,13 +33,34 @@ def encode_envelope(events: DataFrame, fields: list[str] | None = None) -> DataF
     return events.select(*rest, F.to_json(body, {"ignoreNullFields": "false"}).alias("data"))
 
 
+_FIELDS_TYPE = "struct<" + ", ".join(f"{f}: variant" for f in schemas.PAYLOAD_FIELDS) + ">"
+_JSON = {"allowSingleQuotes": "false"}
+
+
+def _members(text: Column, kind: str) -> Column:
+    """The text parsed as the only member of an array; NULL if that breaks.
+
+    A parser stops at the end of the first value. Inside an array nothing may follow it: `{} x`
+    is an error and `{},{}` has two members.
+    """
+    return F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{kind}>", _JSON)
+
+
+def _only(members: Column) -> Column:
+    return F.get(members, F.lit(0))
+
+
+def _is_whole(members: Column) -> Column:
+    return F.coalesce((F.size(members) == 1) & _only(members).isNotNull(), F.lit(False))
+
+
 def _field(payload: Column, name: str) -> Column:
-    return F.try_variant_get(payload, f"$.{name}", "string")
+    return payload[name].cast("string")
 
 
 def _kind(payload: Column, name: str) -> Column:
     """JSON kind of a field: STRING, BIGINT, VOID, ARRAY<..>, OBJECT<..>; NULL if absent."""
-    return F.schema_of_variant(F.try_variant_get(payload, f"$.{name}", "variant"))
+    return F.schema_of_variant(payload[name])
 
 
 def _truthy(kind: Column, text: Column) -> Column:
@@ -62,23 +83,17 @@ def decode_envelope(messages: DataFrame) -> DataFrame:
     `_parse_error` and is kept in `_raw`.
     """
     has_text = F.coalesce(F.col("data") != "", F.lit(False))
-    parsed = F.when(has_text, F.try_parse_json(F.col("data")))
-    out = messages.withColumn("_parsed", parsed)
-    is_object = F.coalesce(F.schema_of_variant(F.col("_parsed")).startswith("OBJECT"),
-                           F.lit(False))
-    out = out.withColumn("_parse_error", has_text & ~is_object)
-    payload = F.when(~F.col("_parse_error"), F.col("_parsed"))
+    parsed = messages.withColumn("_members", _members(F.col("data"), _FIELDS_TYPE))
+    payload = _only(F.col("_members"))
     kinds = F.struct(*[
         _kind(payload, n).alias(n)
         for n in ("event_id", "user_id", "session_id", "event_type", "properties", "client_ts")
     ])
-    return out.select(
-        *messages.columns,
-        *[_field(payload, n).alias(n) for n in schemas.PAYLOAD_FIELDS],
-        kinds.alias("_kinds"),
-        F.when(F.col("_parse_error"), F.col("data")).alias("_raw"),
-        "_parse_error",
-    )
+    return parsed.withColumns({
+        **{n: _field(payload, n) for n in schemas.PAYLOAD_FIELDS},
+        "_kinds": kinds,
+        "_parse_error": has_text & ~_is_whole(F.col("_members")),
+    }).drop("_members").withColumn("_raw", F.when(F.col("_parse_error"), F.col("data")))
 
 
 # -- strict form: what a sender may submit -----------------------------------------------------
@@ -159,30 +174,37 @@ def classify_for_write(decoded: DataFrame, uuid_ids: bool = True) -> DataFrame:
         return kind(n) == "STRING"
 
     def as_id(n: str) -> Column:
-        return S.canonical_uuid(n) if uuid_ids else F.col(n)
+        return F.when(is_text(n), S.canonical_uuid(n) if uuid_ids else F.col(n))
+
+    read = decoded.withColumns({
+        "_has": F.struct(*[truthy(n).alias(n) for n in (
+            "event_id", "user_id", "session_id", "event_type", "client_ts")]),
+        "_event_id": as_id("event_id"),
+        "_user_id": as_id("user_id"),
+        "client_ts": F.when(is_text("client_ts"), S.parse_client_ts("client_ts")),
+        "properties": F.when(truthy("properties"), F.col("properties")).otherwise("{}"),
+    })
+
+    def has(n: str) -> Column:
+        return F.col(f"_has.{n}")
 
     too_long = (F.length("session_id") > config.SESSION_ID_MAX) | (
         F.length("event_type") > config.EVENT_TYPE_MAX)
     verdict = (
-        F.when(F.col("_parse_error") | ~truthy("event_id"), "invalid_payload")
-        .when(~is_text("event_id") | as_id("event_id").isNull(), "invalid_event")
-        .when(truthy("user_id") & ~is_text("user_id"), "exception:AttributeError")
-        .when(truthy("user_id") & as_id("user_id").isNull(), "exception:ValueError")
-        .when(truthy("client_ts") & ~is_text("client_ts"), "exception:TypeError")
-        .when(~truthy("session_id") | ~truthy("event_type"), "invalid_event")
+        F.when(F.col("_parse_error") | ~has("event_id"), "invalid_payload")
+        .when(F.col("_event_id").isNull(), "invalid_event")
+        .when(has("user_id") & ~is_text("user_id"), "exception:AttributeError")
+        .when(has("user_id") & F.col("_user_id").isNull(), "exception:ValueError")
+        .when(has("client_ts") & ~is_text("client_ts"), "exception:TypeError")
+        .when(~has("session_id") | ~has("event_type"), "invalid_event")
         # the table itself refuses these
         .when(~is_text("session_id") | ~is_text("event_type") | too_long,
               "exception:DBAPIError")
         .otherwise("ok")
     )
-    return (
-        decoded.withColumn("verdict", verdict)
-        .withColumn("event_id", as_id("event_id"))
-        .withColumn("user_id", F.when(truthy("user_id"), as_id("user_id")))
-        .withColumn("client_ts", F.when(is_text("client_ts"), S.parse_client_ts("client_ts")))
-        .withColumn("properties", F.when(truthy("properties"), F.col("properties"))
-                    .otherwise("{}"))
-    )
+    # Filters on these reach back no further than here; see evaluated_once.
+    fixed = {"verdict": verdict, "event_id": F.col("_event_id"), "user_id": F.col("_user_id")}
+    return S.evaluated_once(read, fixed).drop("_has", "_event_id", "_user_id")
 
 
 def stamp_server_ts(df: DataFrame, as_of=None) -> DataFrame:
@@ -203,20 +225,22 @@ def explode_batches(raw: DataFrame, types=config.EVENT_TYPES,
     A record is taken or rejected as a whole. Its members are checked inside the record, so the
     decision needs no shuffle.
     """
-    members = F.try_variant_get(F.try_parse_json(F.col("body")), "$.events", "array<variant>")
+    body = _members(F.col("body"), f"struct<events: array<{_FIELDS_TYPE}>>")
 
     def broken(v: Column) -> Column:
         return F.size(violations(
             lambda n: _field(v, n), lambda n: _kind(v, n), types, uuid_ids)) > 0
 
     count = F.coalesce(F.size("_members"), F.lit(0))
-    checked = raw.withColumn("_members", members)
+    parsed = raw.withColumn("_body", body)
+    members = F.when(_is_whole(F.col("_body")), _only(F.col("_body"))["events"])
+    checked = S.evaluated_once(parsed, {"_members": members}).drop("_body")
     checked = checked.withColumn(
         "reason",
         F.when(F.col("_members").isNull(), "invalid_body")
         .when(count < config.BATCH_MIN_EVENTS, "empty_batch")
         .when(count > config.BATCH_MAX_EVENTS, "batch_too_large")
-        .when(F.exists("_members", broken), "invalid_event"),
+        .when(F.exists("_members", lambda v: v.isNull() | broken(v)), "invalid_event"),
     )
     keep = [c for c in raw.columns if c != "body"]
     rows = (

@@ -14,11 +14,12 @@ ending at t:
 2. U(t) is a window sum over (key, time bucket), each bucket with a margin of earlier rows.
 3. D can only grow where U(t) > limit. Those points form runs with gaps below the window; runs
    do not influence each other. A key that stays within its limit has none.
-4. The recurrence is solved per (key, run, piece of a run). A piece has a bounded duration. Runs
-   longer than one piece are solved piece after piece, with the last two windows carried over.
+4. The recurrence is solved run by run while the sorted points stream through tasks. A run that
+   lasts longer than one piece (a bounded time) is solved piece after piece: each piece is a
+   step of its own that gets the last two windows of the one before.
 """
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,8 @@ from tidemark.session import materialize
 
 # A bucket is this many windows long; its margin adds at most 2 / this share of rows.
 _WINDOWS_PER_BUCKET = 20
-# A piece of a run, in windows: at most this many windows' milliseconds of rows per group.
-_WINDOWS_PER_PIECE = 60
+# A piece of a run, in windows. It bounds the points one task solves for one run.
+_WINDOWS_PER_PIECE = 240
 
 
 def _per_ms(df: DataFrame, keys: list[str], ts_ms: str) -> DataFrame:
@@ -89,16 +90,57 @@ def _denials(t: np.ndarray, excess: np.ndarray, window_ms: int,
     return all_d[len(past_t):]
 
 
-def _solver(window_ms: int):
-    def solve(piece: pd.DataFrame, past: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values("_t", ignore_index=True)
-        past = past.sort_values("_t", ignore_index=True)
-        d = _denials(piece["_t"].to_numpy(np.int64), piece["_excess"].to_numpy(np.int64),
-                     window_ms, past["_t"].to_numpy(np.int64), past["_d"].to_numpy(np.int64))
-        before = past["_d"].iloc[-1] if len(past) else 0
-        piece["_d"] = d
-        piece["_denied"] = np.diff(d, prepend=before)
-        return piece
+def _solver(run_columns: list[str], window_ms: int):
+    """Solve runs that stream by, sorted by run and time.
+
+    Rows that bring `_d` are already solved and only set the state. Memory holds one Arrow batch
+    and the last two windows of one run.
+    """
+    none = np.empty(0, dtype=np.int64)
+
+    def starts_of(pdf: pd.DataFrame) -> np.ndarray:
+        change = np.zeros(len(pdf), dtype=bool)
+        for c in run_columns:
+            now, before = pdf[c], pdf[c].shift()
+            change |= ((now != before) & ~(now.isna() & before.isna())).to_numpy()
+        change[0] = True
+        return np.flatnonzero(change)
+
+    def identity(pdf: pd.DataFrame, i: int) -> tuple:
+        return tuple(None if pd.isna(v) else v for v in pdf[run_columns].iloc[i])
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, past_t, past_d = None, none, none
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            pdf = pdf.reset_index(drop=True)
+            t = pdf["_t"].to_numpy(np.int64)
+            excess = pdf["_excess"].to_numpy(np.int64)
+            known = pdf["_d"].notna().to_numpy()
+            d = pdf["_d"].fillna(0).to_numpy(np.int64).copy()
+            before = np.zeros(len(pdf), dtype=np.int64)
+            starts = starts_of(pdf)
+            for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
+                if lo > 0 or identity(pdf, 0) != run:
+                    past_t, past_d = none, none
+                solved = lo + int(known[lo:hi].sum())
+                if solved > lo:
+                    past_t = np.concatenate([past_t, t[lo:solved]])
+                    past_d = np.concatenate([past_d, d[lo:solved]])
+                if solved < hi:
+                    d[solved:hi] = _denials(t[solved:hi], excess[solved:hi], window_ms,
+                                            past_t, past_d)
+                    before[solved:hi] = np.concatenate([past_d[-1:] if len(past_d) else [0],
+                                                        d[solved:hi - 1]])
+                if hi == len(pdf):
+                    past_t = np.concatenate([past_t, t[solved:hi]])
+                    past_d = np.concatenate([past_d, d[solved:hi]])
+                    recent = past_t > t[hi - 1] - 2 * window_ms
+                    past_t, past_d = past_t[recent], past_d[recent]
+            run = identity(pdf, len(pdf) - 1)
+            pdf["_d"], pdf["_denied"] = d, d - before
+            yield pdf[~known]
     return solve
 
 
@@ -131,32 +173,31 @@ def _runs(rolled: DataFrame, keys: list[str], limit: int, window_ms: int,
 def _solve_runs(runs: DataFrame, keys: list[str], window_ms: int,
                 windows_per_piece: int) -> DataFrame:
     piece_ms = window_ms * windows_per_piece
-    # Written once: every piece below reads it again.
-    pieces = materialize(runs.withColumn(
-        "_piece", F.floor((F.col("_t") - F.col("_run")) / F.lit(piece_ms))))
+    # Written once: the pieces below read it again.
+    pieces = materialize(runs.withColumns({
+        "_piece": F.floor((F.col("_t") - F.col("_run")) / F.lit(piece_ms)),
+        "_d": F.lit(None).cast("bigint"),
+    }))
     by = [*keys, "_run"]
-    out_schema = pieces.withColumn("_d", F.lit(0).cast("bigint")).withColumn(
-        "_denied", F.lit(0).cast("bigint")).schema
-    solve = _solver(window_ms)
+    out_schema = pieces.withColumn("_denied", F.col("_d")).schema
+    solve = _solver(by, window_ms)
 
-    def alone(piece: pd.DataFrame) -> pd.DataFrame:
-        return solve(piece, pd.DataFrame({"_t": [], "_d": []}))
+    def solved(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*by).sortWithinPartitions(*by, "_t").mapInPandas(
+            solve, out_schema)
 
-    first = pieces.filter("_piece = 0").groupBy(*by).applyInPandas(alone, out_schema)
+    first = solved(pieces.filter("_piece = 0"))
     last_piece = pieces.agg(F.max("_piece")).first()[0] or 0
     if last_piece == 0:
         return first
-    solved = latest = materialize(first)
+    done = latest = materialize(first)
     for n in range(1, last_piece + 1):
         edge = F.col("_run") + F.lit(n * piece_ms)
-        past = latest.filter(F.col("_t") >= edge - 2 * window_ms).select(*by, "_t", "_d")
-        latest = materialize(
-            pieces.filter(F.col("_piece") == n).groupBy(*by)
-            .cogroup(past.groupBy(*by))
-            .applyInPandas(solve, out_schema)
-        )
-        solved = solved.unionByName(latest)
-    return solved
+        past = latest.filter(F.col("_t") >= edge - 2 * window_ms).drop("_denied")
+        latest = materialize(solved(
+            pieces.filter(F.col("_piece") == n).unionByName(past)))
+        done = done.unionByName(latest)
+    return done
 
 
 def sliding_quota(df: DataFrame, key: str | Sequence[str], ts_ms: str, limit: int,

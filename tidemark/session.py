@@ -13,6 +13,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JIT leaves methods beyond 8000 bytes interpreted. Such a stage runs faster as single
+    # operators, whose code is split into small methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # A JSON object that repeats a key keeps the last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
