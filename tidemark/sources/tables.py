@@ -70,9 +70,9 @@ def append_events(batch: DataFrame, target: DataFrame, key: str = "event_id",
 def write_events(rows: DataFrame, path: str, batch_id: int) -> None:
     """Add a batch to the event table, one folder per day, rows in time order within files.
 
-    Time order keeps row-group ranges narrow for trailing-window reads; the bloom filter lets a
-    lookup by id skip row groups. A day is spread over tasks by id, so a busy day is no hot spot
-    and a quiet one stays in few files (AQE merges small partitions).
+    Rows are rebalanced by day: quiet days end in one file, a busy day is split by size. Time
+    order keeps row-group ranges narrow for trailing-window reads; the bloom filter lets a
+    lookup by id skip row groups.
     """
     names = {f.name for f in schemas.EVENTS.fields}
     full = rows.select(
@@ -82,7 +82,7 @@ def write_events(rows: DataFrame, path: str, batch_id: int) -> None:
         F.to_date("server_ts").alias("event_date"),
     )
     write_batch(
-        full.sortWithinPartitions("event_date", "server_ts"), path, batch_id, ["event_date"],
+        full.hint("rebalance", "event_date").sortWithinPartitions("event_date", "server_ts"), path, batch_id, ["event_date"],
         **{"parquet.bloom.filter.enabled#event_id": "true"},
     )
 
