@@ -13,7 +13,8 @@ ending at t:
    row per millisecond however many requests it sends.
 2. U(t) is a window sum over (key, time bucket), each bucket with a margin of earlier rows.
 3. D can only grow where U(t) > limit. Those points form runs with gaps below the window; runs
-   do not influence each other. A key that stays within its limit has none.
+   do not influence each other. A key that stays within its limit has none, and its requests are
+   answered from U(t) alone.
 4. The recurrence is solved run by run while the sorted points stream through tasks. A run that
    lasts longer than one piece (a bounded time) is solved piece after piece: each piece is a
    step of its own that gets the last two windows of the one before.
@@ -144,30 +145,27 @@ def _solver(run_columns: list[str], window_ms: int):
     return solve
 
 
-def _runs(rolled: DataFrame, keys: list[str], limit: int, window_ms: int,
-          bucket_ms: int) -> DataFrame:
-    """Points over the limit, each with the start of its run.
+def _runs(over: DataFrame, keys: list[str], window_ms: int, bucket_ms: int) -> DataFrame:
+    """Give each point over the limit the start of its run, `_run`.
 
-    `_run` is the last point before which a whole window had no point over the limit. Inside a
-    bucket that is a running maximum; across buckets the maximum per bucket is carried on, one
-    row per bucket and key.
+    A run starts at a point with no other one in the window before it. Inside a bucket the start
+    is a running maximum; across buckets the maximum per bucket is carried on, one row per bucket
+    and key.
     """
-    over = rolled.filter(F.col("_u") > limit)
-    previous = F.max("_t").over(_trailing(keys, Window.unboundedPreceding, -1))
-    starts = F.when(previous.isNull() | (F.col("_t") - previous >= window_ms), F.col("_t"))
-    over = over.withColumn("_start", starts).filter("_own")
+    near = _with_margin(over, bucket_ms, window_ms)
+    previous = F.max("_t").over(_trailing(keys, -(window_ms - 1), -1))
+    starts = near.withColumn("_start", F.when(previous.isNull(), F.col("_t"))).filter("_own")
     in_bucket = Window.partitionBy(*keys, "_bucket").orderBy("_t")
-    over = over.withColumn("_run", F.max("_start").over(in_bucket))
+    starts = starts.withColumn("_run", F.max("_start").over(in_bucket))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
     carried = (
-        over.groupBy(*keys, "_bucket").agg(F.max("_start").alias("_last"))
+        starts.groupBy(*keys, "_bucket").agg(F.max("_start").alias("_last"))
         .withColumn("_carried", F.max("_last").over(earlier))
         .select(*keys, "_bucket", "_carried")
     )
-    return over.join(carried, [*keys, "_bucket"]).select(
-        *keys, "_t", (F.col("_u") - limit).alias("_excess"),
-        F.coalesce("_run", "_carried").alias("_run"))
+    return starts.join(carried, [*keys, "_bucket"]).select(
+        *keys, "_t", "_excess", F.coalesce("_run", "_carried").alias("_run"))
 
 
 def _solve_runs(runs: DataFrame, keys: list[str], window_ms: int,
@@ -200,55 +198,95 @@ def _solve_runs(runs: DataFrame, keys: list[str], window_ms: int,
     return done
 
 
+def _after_denials(points: DataFrame, denied: DataFrame, keys: list[str], window_ms: int,
+                   bucket_ms: int) -> DataFrame:
+    """Allowed requests per point, allowed ones before it in its window, and the oldest of them.
+
+    Only buckets that a denial can reach are worked out; elsewhere everything in the window was
+    allowed and U(t) already says it.
+    """
+    last_reached = F.col("_t") + F.lit(window_ms - 1)
+    reached = denied.withColumn("_bucket", F.explode(F.array_distinct(F.array(
+        F.floor(F.col("_t") / F.lit(bucket_ms)), F.floor(last_reached / F.lit(bucket_ms))
+    )))).select(*keys, "_bucket").distinct()
+
+    near = _with_margin(points, bucket_ms, window_ms).join(
+        reached, [*keys, "_bucket"], "left_semi")
+    granted = near.join(denied, [*keys, "_t"], "left").withColumn(
+        "_ok", F.col("_n") - F.coalesce("_denied", F.lit(0)))
+    worked_out = granted.withColumns({
+        "_before": F.coalesce(F.sum("_ok").over(_trailing(keys, -(window_ms - 1), -1)),
+                              F.lit(0)),
+        "_oldest": F.min(F.when(F.col("_ok") > 0, F.col("_t")))
+        .over(_trailing(keys, -(window_ms - 1), 0)),
+    }).filter("_own").select(*keys, "_t", "_n", "_ok", "_before", "_oldest")
+
+    calm = points.withColumn("_bucket", F.floor(F.col("_t") / F.lit(bucket_ms))).join(
+        reached, [*keys, "_bucket"], "left_anti")
+    return worked_out.unionByName(calm.select(
+        *keys, "_t", "_n", F.col("_n").alias("_ok"), (F.col("_u") - F.col("_n")).alias("_before"),
+        F.lit(None).cast("bigint").alias("_oldest")))
+
+
 def sliding_quota(df: DataFrame, key: str | Sequence[str], ts_ms: str, limit: int,
                   window_ms: int = config.QUOTA_WINDOW_SECONDS * 1000,
                   order: Sequence[str] = (), windows_per_piece: int = _WINDOWS_PER_PIECE,
                   ) -> DataFrame:
     """Append `allowed`, `count` (allowed in the window, this one included) and `reset_s`.
 
-    Requests of one key in the same millisecond are served in `order`.
+    `order` tells requests of one key and millisecond apart and fixes who is served first.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    order = list(order)
+    if not order:
+        raise ValueError("order must name columns that identify a request")
     bucket_ms = window_ms * _WINDOWS_PER_BUCKET
-    counts = _per_ms(df, keys, ts_ms)
 
-    # U(t), with a margin of two windows: one for U itself, one to see the run's previous point.
-    rolled = _with_margin(counts, bucket_ms, 2 * window_ms).withColumn(
+    counted = _with_margin(_per_ms(df, keys, ts_ms), bucket_ms, window_ms).withColumn(
         "_u", F.sum("_n").over(_trailing(keys, -(window_ms - 1), 0)))
-    denied = _solve_runs(_runs(rolled, keys, limit, window_ms, bucket_ms), keys, window_ms,
-                         windows_per_piece).select(*keys, "_t", "_denied")
-
-    granted = counts.join(denied, [*keys, "_t"], "left").withColumn(
-        "_ok", F.col("_n") - F.coalesce("_denied", F.lit(0)))
-    near = _with_margin(granted, bucket_ms, window_ms)
-    state = near.withColumns({
-        "_before": F.coalesce(F.sum("_ok").over(_trailing(keys, -(window_ms - 1), -1)),
-                              F.lit(0)),
-        "_oldest": F.min(F.when(F.col("_ok") > 0, F.col("_t")))
-        .over(_trailing(keys, -(window_ms - 1), 0)),
-    }).filter("_own").select(*keys, F.col("_t").alias(ts_ms), "_n", "_ok", "_before", "_oldest")
-
-    return _rule(df.join(state, [*keys, ts_ms]), keys, ts_ms, limit, window_ms, list(order))
-
-
-def _rule(df: DataFrame, keys: list[str], ts_ms: str, limit: int, window_ms: int,
-          order: list[str]) -> DataFrame:
-    """Apply the per-millisecond state to the single requests."""
-    # Only requests that share their key and millisecond with another one need a rank.
-    place = F.row_number().over(Window.partitionBy(*keys, ts_ms).orderBy(*(order or [ts_ms])))
-    ranked = df.withColumn("_place", place)
-    allowed = F.col("_place") <= F.col("_ok")
+    # Written once: the runs and the state of every point start from it.
+    points = materialize(counted.filter("_own").select(*keys, "_t", "_n", "_u"))
+    over = points.filter(F.col("_u") > limit).select(
+        *keys, "_t", (F.col("_u") - F.lit(limit)).alias("_excess"))
+    denied = _solve_runs(_runs(over, keys, window_ms, bucket_ms), keys, window_ms,
+                         windows_per_piece)
+    denied = materialize(denied.filter("_denied > 0").select(*keys, "_t", "_denied"))
+    state = _after_denials(points, denied, keys, window_ms, bucket_ms).withColumnRenamed(
+        "_t", ts_ms)
+    return _rule(df, state, keys, ts_ms, limit, window_ms, order)
+
+
+def _rule(df: DataFrame, state: DataFrame, keys: list[str], ts_ms: str, limit: int,
+          window_ms: int, order: list[str]) -> DataFrame:
+    """Apply the per-millisecond state to the single requests.
+
+    Up to `limit` requests of one millisecond are ranked as they are. In a more crowded
+    millisecond only the first `limit` can be served; they are found by a ranked filter, which
+    Spark reduces before the shuffle, and all others are denied without a rank.
+    """
+    def served(rows: DataFrame) -> DataFrame:
+        return df.join(rows, [*keys, ts_ms])
+
+    place = F.row_number().over(Window.partitionBy(*keys, ts_ms).orderBy(*order))
+    calm = served(state.filter(F.col("_n") <= limit)).withColumn("_place", place)
+    crowded = served(state.filter(F.col("_n") > limit))
+    first = crowded.withColumn("_place", place).filter(F.col("_place") <= limit)
+    rest = crowded.join(first.select(*keys, ts_ms, *order), [*keys, ts_ms, *order], "left_anti")
+    ranked = calm.unionByName(first).unionByName(
+        rest.withColumn("_place", F.lit(None).cast("int")))
+
+    allowed = F.coalesce(F.col("_place") <= F.col("_ok"), F.lit(False))
     wait_ms = F.greatest(
         F.lit(0), F.coalesce(F.col("_oldest") + window_ms - F.col(ts_ms), F.lit(window_ms)))
-    return ranked.withColumns({
+    return ranked.select(*df.columns, "_ok", "_before", "_oldest", "_place").withColumns({
         "allowed": allowed,
         "count": F.when(allowed, F.col("_before") + F.col("_place"))
         .otherwise(F.lit(limit).cast("bigint")),
         "reset_s": F.ceil(F.when(allowed, F.lit(window_ms)).otherwise(wait_ms) / 1000),
-    }).drop("_n", "_ok", "_before", "_oldest", "_place")
+    }).drop("_ok", "_before", "_oldest", "_place")
 
 
-def quota_scopes(df: DataFrame, ts_ms: str, order: Sequence[str] = (),
+def quota_scopes(df: DataFrame, ts_ms: str, order: Sequence[str],
                  limits: Mapping[str, int] = config.QUOTA_LIMITS,
                  window_ms: int = config.QUOTA_WINDOW_SECONDS * 1000, ip_col: str = "ip",
                  user_col: str = "user_id", write_col: str = "event_write") -> DataFrame:

@@ -194,18 +194,21 @@ def exact_percentiles(df: DataFrame, value_col: str, quantiles: dict[str, float]
 def _report(access_log: DataFrame, by: list[str], quantiles: dict[str, float]) -> DataFrame:
     """Requests, failures, mean, percentiles in ms and rate per group."""
     log = access_log.withColumn("ms", F.col("duration_s") * 1000.0)
-    span = F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(
-        F.min("ts").cast("timestamp"))
-    seconds = log.agg(span / F.lit(1e6)).scalar()
     counts = log.groupBy(*by).agg(
         F.count("*").alias("requests"),
         F.count_if(F.col("status") >= 500).alias("failures"),
         (F.sum(F.col("ms").cast("decimal(24,6)")).cast("double") / F.count("*"))
         .alias("mean_ms"),
+        F.min("ts").alias("_from"), F.max("ts").alias("_to"),
     )
+    # The span of the whole log, over one row per group.
+    every = Window.partitionBy()
+    span = F.unix_micros(F.max("_to").over(every).cast("timestamp")) - F.unix_micros(
+        F.min("_from").over(every).cast("timestamp"))
+    counts = counts.withColumn("_s", span / F.lit(1e6)).drop("_from", "_to")
     marks = exact_percentiles(log, "ms", quantiles, by, resolution=1.0)
-    rate = F.when(seconds > 0, F.col("requests") / seconds)
-    return counts.join(marks, by, "left").withColumn("rps", rate)
+    rate = F.when(F.col("_s") > 0, F.col("requests") / F.col("_s"))
+    return counts.join(marks, by, "left").withColumn("rps", rate).drop("_s")
 
 
 def endpoint_report(access_log: DataFrame) -> DataFrame:

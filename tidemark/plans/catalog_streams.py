@@ -32,11 +32,13 @@ def landed(stream: DataFrame, path: str) -> None:
      .start().awaitTermination())
 
 
-def board(t: Tables, result: DataFrame, keys: list[str]) -> DataFrame:
+def board(t: Tables, result: DataFrame, keys: list[str],
+          day_col: str | None = None) -> DataFrame:
     path = scratch(t)
-    live.run_board(result, f"{path}/board", keys, f"{path}/checkpoint",
-                   once=True).awaitTermination()
-    return store.read_snapshot(t.spark, f"{path}/board", result.schema)
+    live.run_board(result, f"{path}/board", keys, f"{path}/checkpoint", once=True,
+                   day_col=day_col).awaitTermination()
+    read = store.read_by_day if day_col else store.read_snapshot
+    return read(t.spark, f"{path}/board", result.schema)
 
 
 @query("stream_events", "SELECT event_id, user_id, event_type FROM events")
@@ -72,7 +74,7 @@ SELECT epoch_us(time_bucket(INTERVAL 10 SECOND, ts) - to_seconds(10 * g)) AS win
        CAST(count(*) AS DOUBLE) AS events_per_minute
 FROM events, (SELECT unnest(generate_series(0, 5)) AS g) GROUP BY 1""")
 def stream_epm(t: Tables):
-    return board(t, live.stream_epm(event_stream(t)), ["window_start"]).select(
+    return board(t, live.stream_epm(event_stream(t)), ["window_start"], "window_date").select(
         micros("window_start", "window_us"), "events_per_minute")
 
 

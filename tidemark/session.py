@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,11 +62,31 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _write_aside(df: DataFrame) -> str:
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a result that several later steps read to the shared folder and read it back.
 
     Unlike cached blocks it survives the loss of executors, and later filters reach the files.
+    The table stays until the shared folder is cleared, as its readers are lazy.
     """
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(_write_aside(df))
+
+
+@contextmanager
+def materialized(df: DataFrame) -> Iterator[DataFrame]:
+    """The same for a result whose readers have all finished inside the block."""
+    path = _write_aside(df)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        delete_folder(df.sparkSession, path)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tidemark import schemas
 from tidemark.operators import dedup
+from tidemark.session import delete_folder, materialized
 
 BATCHED_EVENTS = T.StructType([
     *schemas.EVENTS.fields,
@@ -57,6 +58,10 @@ def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: Sequence[
         f"{path}/batch_id={batch_id}")
 
 
+def drop_batch(spark: SparkSession, path: str, batch_id: int) -> None:
+    delete_folder(spark, f"{path}/batch_id={batch_id}")
+
+
 def read_stored_events(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
     return read_batches(spark, path, BATCHED_EVENTS, before)
 
@@ -103,9 +108,38 @@ def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 def upsert_snapshot(spark: SparkSession, path: str, updates: DataFrame,
                     keys: str | Sequence[str]) -> DataFrame:
-    """Insert or replace rows by key, publish the result as a new version and return it."""
+    """Insert or replace rows by key, publish the result as a new version and return it.
+
+    The version before stays for readers that are still on it, older ones are removed.
+    """
     version = snapshot_version(spark, path)
     current = read_snapshot(spark, path, updates.schema)
     dedup.upsert(current, updates, keys).write.mode("overwrite").parquet(
         f"{path}/version={version + 1}")
+    for name in _children(spark, path):
+        if name.startswith("version=") and int(name.split("=")[1]) < version:
+            delete_folder(spark, f"{path}/{name}")
     return read_snapshot(spark, path, updates.schema)
+
+
+def read_by_day(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A snapshot table that is kept in one folder per day."""
+    if not _children(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def upsert_by_day(spark: SparkSession, path: str, updates: DataFrame,
+                  keys: str | Sequence[str], day_col: str) -> DataFrame:
+    """Insert or replace rows by key, rewriting only the days that have updates.
+
+    For snapshot tables too large to be written anew each time. The new content of those days is
+    written aside first, since a folder must not be replaced while it is read.
+    """
+    with materialized(updates) as fresh:
+        touched = fresh.select(day_col).distinct()
+        current = read_by_day(spark, path, fresh.schema).join(touched, day_col, "left_semi")
+        with materialized(dedup.upsert(current, fresh, keys)) as merged:
+            merged.hint("rebalance", day_col).write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic").partitionBy(day_col).parquet(path)
+    return read_by_day(spark, path, updates.schema)

@@ -10,7 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark import config
 from tidemark.operators import contract, reliability, users
 from tidemark.sources import tables
-from tidemark.session import materialize
 
 DEAD_LETTERS = T.StructType([
     T.StructField("original_id", T.StringType()),
@@ -49,6 +48,10 @@ class IngestTables:
     def sketches(self) -> str:
         return f"{self.root}/dau_sketches"
 
+    @property
+    def staging(self) -> str:
+        return f"{self.root}/staging"
+
     @property
     def counts(self) -> str:
         return f"{self.root}/write_counts"
@@ -75,8 +78,9 @@ def write_messages(messages: DataFrame, out: IngestTables, batch_id: int,
     arrived = "arrival_ts" in messages.columns
     stamped = contract.stamp_server_ts(routed, F.col("arrival_ts") if arrived else None)
     # Read four times below. Also pins the write time for this attempt.
-    stamped = materialize(stamped.drop("_kinds").withColumn(
-        "_order", reliability.message_order("message_id")))
+    staged = stamped.drop("_kinds").withColumn("_order", reliability.message_order("message_id"))
+    tables.write_batch(staged, out.staging, batch_id)
+    stamped = tables.read_batch(spark, out.staging, staged.schema, batch_id)
 
     stored = tables.read_stored_events(spark, out.events, before=batch_id)
     if horizon_days is not None:
@@ -91,6 +95,7 @@ def write_messages(messages: DataFrame, out: IngestTables, batch_id: int,
     tables.write_batch(reliability.to_dead_letter(stamped), out.dead_letters, batch_id)
     tables.write_batch(reliability.batch_counts(stamped, written).coalesce(1), out.counts,
                        batch_id)
+    tables.drop_batch(spark, out.staging, batch_id)
 
 
 def run_ingest(messages: DataFrame, out: IngestTables, checkpoint: str,

@@ -57,7 +57,8 @@ def stream_epm(stream: DataFrame, ts_col: str = "server_ts", window: str = "60 s
     return (
         stream.withWatermark(ts_col, WATERMARK)
         .groupBy(F.window(ts_col, window, slide).alias("w")).agg(F.count("*").alias("n"))
-        .select(F.col("w.start").alias("window_start"),
+        .select(F.to_date("w.start").alias("window_date"),
+                F.col("w.start").alias("window_start"),
                 F.col("n").cast("double").alias("events_per_minute"))
     )
 
@@ -76,11 +77,19 @@ def stream_funnel(stream: DataFrame, steps: Sequence[str] = config.FUNNEL_STEPS,
 
 
 def run_board(board: DataFrame, path: str, keys: str | Sequence[str], checkpoint: str,
-              once: bool = False, every: str = "5 seconds") -> StreamingQuery:
+              once: bool = False, every: str = "5 seconds",
+              day_col: str | None = None) -> StreamingQuery:
     """Keep a snapshot table up to date with a live metric. A repeated batch upserts the same
-    rows again."""
+    rows again.
+
+    Boards with few rows per day are rewritten as a whole; `day_col` keeps a folder per day and
+    rewrites only the days that changed.
+    """
     def publish(batch: DataFrame, _: int) -> None:
-        tables.upsert_snapshot(batch.sparkSession, path, batch, keys)
+        if day_col is None:
+            tables.upsert_snapshot(batch.sparkSession, path, batch, keys)
+        else:
+            tables.upsert_by_day(batch.sparkSession, path, batch, keys, day_col)
 
     trigger = {"availableNow": True} if once else {"processingTime": every}
     return (
