@@ -61,12 +61,25 @@ def test_same_millisecond_and_edges(spark):
     assert got[10][0] and not got[9][0] and got[4] == (False, 3, 60)
 
 
+def test_crowded_milliseconds(spark):
+    requests = burst(11, 1_200, 60, ["a", "a", "b"])
+    got = engine(spark, requests, 4, 20)
+    assert got == model(requests, 4, 20)
+
+
+def test_requests_without_a_key_are_not_limited(spark):
+    df = spark.createDataFrame([(None, 5, i) for i in range(5)] + [("a", None, 9)],
+                               "k string, t bigint, id bigint")
+    rows = quota.sliding_quota(df, "k", "t", 1, 1_000, order=["id"]).collect()
+    assert [(r["allowed"], r["count"]) for r in rows] == [(True, None)] * 6
+
+
 def test_limit_zero_denies_all(spark):
     assert engine(spark, [("a", 5, 1), ("a", 6, 2)], 0, 1_000) == {
         1: (False, 0, 1), 2: (False, 0, 1)}
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(data=st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 6_000)), min_size=1,
                      max_size=60),
        limit=st.integers(1, 6))

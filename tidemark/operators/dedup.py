@@ -40,9 +40,25 @@ def stored_keys(target: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return target.select(key).join(probe, key, "left_semi")
 
 
+def _without(rows: DataFrame, hits: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among `hits`.
+
+    Not an anti join: the optimizer moves that below an aggregate, where it meets every copy of
+    a hot key instead of one row of it.
+    """
+    flagged = hits.withColumn("_stored", F.lit(True))
+    return rows.join(flagged, key, "left").filter(F.col("_stored").isNull()).drop("_stored")
+
+
 def new_events_only(incoming: DataFrame, target: DataFrame, key: str = "event_id") -> DataFrame:
     """Drop incoming rows whose key is already stored."""
-    return incoming.join(stored_keys(target, incoming, key), key, "left_anti")
+    return _without(incoming, stored_keys(target, incoming, key), key)
+
+
+def first_new_events(incoming: DataFrame, target: DataFrame, key: str = "event_id",
+                     order: str | Sequence[str] = "arrival_ts") -> DataFrame:
+    """First arrival per key of those that are not stored."""
+    return _without(dedup_first(incoming, key, order), stored_keys(target, incoming, key), key)
 
 
 def insert_if_absent(target: DataFrame, rows: DataFrame, key: str | Sequence[str]) -> DataFrame:
@@ -77,7 +93,8 @@ def ingest_outcome(incoming: DataFrame, target: DataFrame, mode: str = "async",
         else:
             first = incoming.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
             first = first.select(key, "_first.*")
-        first = new_events_only(first, target, key).withColumn("_taken", F.lit(True))
+        first = _without(first, stored_keys(target, incoming, key), key).withColumn(
+            "_taken", F.lit(True))
         out = incoming.join(first, [key, *order], "left").withColumn(
             "deduplicated", F.col("_taken").isNull()).drop("_taken")
     return out.withColumns({

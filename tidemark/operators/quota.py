@@ -20,16 +20,21 @@ ending at t:
    step of its own that gets the last two windows of the one before.
 """
 
+import sys
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.session import materialize
 
+# Python workers get the solver itself and need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # A bucket is this many windows long; its margin adds at most 2 / this share of rows.
 _WINDOWS_PER_BUCKET = 20
 # A piece of a run, in windows. It bounds the points one task solves for one run.
@@ -43,13 +48,25 @@ def _per_ms(df: DataFrame, keys: list[str], ts_ms: str) -> DataFrame:
     )
 
 
+def _bucket(t: Column, bucket_ms: int) -> Column:
+    return F.call_function("div", t, F.lit(bucket_ms).cast("bigint"))
+
+
 def _with_margin(points: DataFrame, bucket_ms: int, margin_ms: int) -> DataFrame:
     """Give every point its time bucket and repeat it as margin of the next bucket if near."""
-    own = F.floor(F.col("_t") / F.lit(bucket_ms))
+    own = _bucket(F.col("_t"), bucket_ms)
     near_end = F.pmod(F.col("_t"), F.lit(bucket_ms)) >= bucket_ms - margin_ms
     homes = F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))
     return points.withColumn("_bucket", F.explode(homes)).withColumn(
-        "_own", F.floor(F.col("_t") / F.lit(bucket_ms)) == F.col("_bucket"))
+        "_own", own == F.col("_bucket"))
+
+
+def _limited(keys: list[str], ts_ms: str) -> Column:
+    """Requests that have a key and a time; others are not limited."""
+    known = F.col(ts_ms).isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return known
 
 
 def _trailing(keys: list[str], lo: int, hi: int):
@@ -173,7 +190,7 @@ def _solve_runs(runs: DataFrame, keys: list[str], window_ms: int,
     piece_ms = window_ms * windows_per_piece
     # Written once: the pieces below read it again.
     pieces = materialize(runs.withColumns({
-        "_piece": F.floor((F.col("_t") - F.col("_run")) / F.lit(piece_ms)),
+        "_piece": _bucket(F.col("_t") - F.col("_run"), piece_ms),
         "_d": F.lit(None).cast("bigint"),
     }))
     by = [*keys, "_run"]
@@ -207,7 +224,7 @@ def _after_denials(points: DataFrame, denied: DataFrame, keys: list[str], window
     """
     last_reached = F.col("_t") + F.lit(window_ms - 1)
     reached = denied.withColumn("_bucket", F.explode(F.array_distinct(F.array(
-        F.floor(F.col("_t") / F.lit(bucket_ms)), F.floor(last_reached / F.lit(bucket_ms))
+        _bucket(F.col("_t"), bucket_ms), _bucket(last_reached, bucket_ms)
     )))).select(*keys, "_bucket").distinct()
 
     near = _with_margin(points, bucket_ms, window_ms).join(
@@ -221,7 +238,7 @@ def _after_denials(points: DataFrame, denied: DataFrame, keys: list[str], window
         .over(_trailing(keys, -(window_ms - 1), 0)),
     }).filter("_own").select(*keys, "_t", "_n", "_ok", "_before", "_oldest")
 
-    calm = points.withColumn("_bucket", F.floor(F.col("_t") / F.lit(bucket_ms))).join(
+    calm = points.withColumn("_bucket", _bucket(F.col("_t"), bucket_ms)).join(
         reached, [*keys, "_bucket"], "left_anti")
     return worked_out.unionByName(calm.select(
         *keys, "_t", "_n", F.col("_n").alias("_ok"), (F.col("_u") - F.col("_n")).alias("_before"),
@@ -235,6 +252,7 @@ def sliding_quota(df: DataFrame, key: str | Sequence[str], ts_ms: str, limit: in
     """Append `allowed`, `count` (allowed in the window, this one included) and `reset_s`.
 
     `order` tells requests of one key and millisecond apart and fixes who is served first.
+    Requests without a key or a time are not limited and have no count.
     """
     keys = [key] if isinstance(key, str) else list(key)
     order = list(order)
@@ -242,7 +260,8 @@ def sliding_quota(df: DataFrame, key: str | Sequence[str], ts_ms: str, limit: in
         raise ValueError("order must name columns that identify a request")
     bucket_ms = window_ms * _WINDOWS_PER_BUCKET
 
-    counted = _with_margin(_per_ms(df, keys, ts_ms), bucket_ms, window_ms).withColumn(
+    limited = df.filter(_limited(keys, ts_ms))
+    counted = _with_margin(_per_ms(limited, keys, ts_ms), bucket_ms, window_ms).withColumn(
         "_u", F.sum("_n").over(_trailing(keys, -(window_ms - 1), 0)))
     # Written once: the runs and the state of every point start from it.
     points = materialize(counted.filter("_own").select(*keys, "_t", "_n", "_u"))
@@ -253,37 +272,50 @@ def sliding_quota(df: DataFrame, key: str | Sequence[str], ts_ms: str, limit: in
     denied = materialize(denied.filter("_denied > 0").select(*keys, "_t", "_denied"))
     state = _after_denials(points, denied, keys, window_ms, bucket_ms).withColumnRenamed(
         "_t", ts_ms)
-    return _rule(df, state, keys, ts_ms, limit, window_ms, order)
+    if points.filter(F.col("_n") > limit).isEmpty():
+        served = _place(limited, state, keys, ts_ms, order)
+    else:
+        served = _place_crowded(limited, materialize(state), keys, ts_ms, limit, order)
+    free = df.filter(~_limited(keys, ts_ms)).withColumns({
+        "allowed": F.lit(True), "count": F.lit(None).cast("bigint"),
+        "reset_s": F.lit(None).cast("bigint")})
+    return _answer(served, ts_ms, limit, window_ms).select(free.columns).unionByName(free)
+
+
+def _place(df: DataFrame, state: DataFrame, keys: list[str], ts_ms: str,
+           order: list[str]) -> DataFrame:
+    """Requests with the state of their millisecond and their place in it."""
+    place = F.row_number().over(Window.partitionBy(*keys, ts_ms).orderBy(*order))
+    return df.join(state, [*keys, ts_ms]).withColumn("_place", place)
 
 
-def _rule(df: DataFrame, state: DataFrame, keys: list[str], ts_ms: str, limit: int,
-          window_ms: int, order: list[str]) -> DataFrame:
-    """Apply the per-millisecond state to the single requests.
+def _place_crowded(df: DataFrame, state: DataFrame, keys: list[str], ts_ms: str, limit: int,
+                   order: list[str]) -> DataFrame:
+    """The same where some millisecond has more than `limit` requests of one key.
 
-    Up to `limit` requests of one millisecond are ranked as they are. In a more crowded
-    millisecond only the first `limit` can be served; they are found by a ranked filter, which
-    Spark reduces before the shuffle, and all others are denied without a rank.
+    There only the first `limit` can be served; they are found by a ranked filter, which Spark
+    reduces before the shuffle, and all others need no place.
     """
-    def served(rows: DataFrame) -> DataFrame:
-        return df.join(rows, [*keys, ts_ms])
+    calm = _place(df, state.filter(F.col("_n") <= limit), keys, ts_ms, order)
+    crowd = state.filter(F.col("_n") > limit)
+    first = _place(df, crowd, keys, ts_ms, order).filter(F.col("_place") <= limit)
+    placed = first.select(*keys, ts_ms, *order, "_place")
+    # Not an anti join, which the optimizer would move below the join with the crowd.
+    rest = df.join(crowd, [*keys, ts_ms]).join(
+        placed, [*keys, ts_ms, *order], "left").filter(F.col("_place").isNull())
+    return calm.unionByName(first).unionByName(rest)
 
-    place = F.row_number().over(Window.partitionBy(*keys, ts_ms).orderBy(*order))
-    calm = served(state.filter(F.col("_n") <= limit)).withColumn("_place", place)
-    crowded = served(state.filter(F.col("_n") > limit))
-    first = crowded.withColumn("_place", place).filter(F.col("_place") <= limit)
-    rest = crowded.join(first.select(*keys, ts_ms, *order), [*keys, ts_ms, *order], "left_anti")
-    ranked = calm.unionByName(first).unionByName(
-        rest.withColumn("_place", F.lit(None).cast("int")))
 
+def _answer(served: DataFrame, ts_ms: str, limit: int, window_ms: int) -> DataFrame:
     allowed = F.coalesce(F.col("_place") <= F.col("_ok"), F.lit(False))
     wait_ms = F.greatest(
         F.lit(0), F.coalesce(F.col("_oldest") + window_ms - F.col(ts_ms), F.lit(window_ms)))
-    return ranked.select(*df.columns, "_ok", "_before", "_oldest", "_place").withColumns({
+    return served.withColumns({
         "allowed": allowed,
         "count": F.when(allowed, F.col("_before") + F.col("_place"))
         .otherwise(F.lit(limit).cast("bigint")),
         "reset_s": F.ceil(F.when(allowed, F.lit(window_ms)).otherwise(wait_ms) / 1000),
-    }).drop("_ok", "_before", "_oldest", "_place")
+    })
 
 
 def quota_scopes(df: DataFrame, ts_ms: str, order: Sequence[str],

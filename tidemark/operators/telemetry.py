@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.functions import scalars as S
+from tidemark.session import materialize
 
 
 def request_counts(access_log: DataFrame) -> DataFrame:
@@ -147,22 +148,20 @@ def exact_percentiles(df: DataFrame, value_col: str, quantiles: dict[str, float]
                       by: Sequence[str] = (), resolution: float = 0.01) -> DataFrame:
     """Exact percentiles with linear interpolation, one column per entry of `quantiles`.
 
-    Holding all values of a group in one aggregate does not scale, so values are counted per
-    (group, value), summed per slot of width `resolution`, and only the slots that hold a wanted
-    rank are ranked value by value. No task sees more than one slot of one group.
+    Holding all values of a group in one aggregate does not scale. A first pass counts rows per
+    slot of width `resolution` and finds the slots that hold a wanted rank, at most two per
+    quantile and group. A second pass reads only the rows of those slots and ranks their
+    distinct values. The table of slots is written, so that its real size decides whether the
+    second pass can broadcast it.
     """
-    slot = F.floor(F.col("_v") / F.lit(resolution))
-    values = (
-        df.filter(F.col(value_col).isNotNull())
-        .groupBy(*by, F.col(value_col).cast("double").alias("_v"))
-        .agg(F.count("*").alias("_k")).withColumn("_slot", slot)
-    )
-    slots = values.groupBy(*by, "_slot").agg(F.sum("_k").alias("_slot_k"))
+    by = list(by)
+    rows = df.select(*by, F.col(value_col).cast("double").alias("_v")).filter(
+        F.col("_v").isNotNull()).withColumn("_slot", F.floor(F.col("_v") / F.lit(resolution)))
     group = Window.partitionBy(*by)
-    slots = slots.withColumns({
-        "_end": F.sum("_slot_k").over(group.orderBy("_slot")),
-        "_total": F.sum("_slot_k").over(group),
-    }).withColumn("_begin", F.col("_end") - F.col("_slot_k"))
+    slots = rows.groupBy(*by, "_slot").agg(F.count("*").alias("_rows")).withColumns({
+        "_end": F.sum("_rows").over(group.orderBy("_slot")),
+        "_total": F.sum("_rows").over(group),
+    }).withColumn("_begin", F.col("_end") - F.col("_rows"))
 
     def position(q: float) -> Column:
         return F.lit(float(q)) * (F.col("_total") - 1)
@@ -175,11 +174,14 @@ def exact_percentiles(df: DataFrame, value_col: str, quantiles: dict[str, float]
     wanted = F.lit(False)
     for _, _, r in ranks:
         wanted = wanted | inside(r, F.col("_begin"), F.col("_end"))
-    slots = slots.filter(wanted)
-
-    ranked = values.join(slots, [*by, "_slot"]).withColumn(
-        "_to", F.col("_begin") + F.sum("_k").over(
-            Window.partitionBy(*by, "_slot").orderBy("_v")))
+    marked = materialize(slots.filter(wanted).select(
+        *[F.col(c).alias(f"_at_{c}") for c in [*by, "_slot"]], "_begin", "_total"))
+
+    same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in [*by, "_slot"]]
+    counted = rows.join(marked, same).groupBy(
+        *by, "_slot", "_begin", "_total", "_v").agg(F.count("*").alias("_k"))
+    ranked = counted.withColumn("_to", F.col("_begin") + F.sum("_k").over(
+        Window.partitionBy(*by, "_slot").orderBy("_v")))
     picked = ranked.groupBy(*by).agg(
         F.max("_total").alias("_total"),
         *[F.max(F.when(inside(r, F.col("_to") - F.col("_k"), F.col("_to")), F.col("_v")))

@@ -69,7 +69,7 @@ def read_stored_events(spark: SparkSession, path: str, before: int | None = None
 def append_events(batch: DataFrame, target: DataFrame, key: str = "event_id",
                   order: str | Sequence[str] = "server_ts") -> DataFrame:
     """The rows of `batch` to insert: first per key, and not stored yet."""
-    return dedup.new_events_only(dedup.dedup_first(batch, key, order), target, key)
+    return dedup.first_new_events(batch, target, key, order)
 
 
 def write_events(rows: DataFrame, path: str, batch_id: int) -> None:
