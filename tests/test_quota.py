@@ -50,7 +50,7 @@ def test_equals_model(spark, limit, window, span):
 def test_long_run_in_many_pieces(spark):
     """One key is over its limit all the time; every piece depends on the one before."""
     requests = burst(7, 3_000, 40_000, ["hot"]) + [("cold", t, 9_000 + t) for t in range(0, 50)]
-    got = engine(spark, requests, 4, 1_000, windows_per_piece=3)
+    got = engine(spark, requests, 4, 1_000, points_per_piece=150)
     assert got == model(requests, 4, 1_000)
 
 
@@ -85,7 +85,7 @@ def test_limit_zero_denies_all(spark):
        limit=st.integers(1, 6))
 def test_random_logs(spark, data, limit):
     requests = [(k, t, i) for i, (k, t) in enumerate(data)]
-    assert engine(spark, requests, limit, 1_000, windows_per_piece=3) == model(
+    assert engine(spark, requests, limit, 1_000, points_per_piece=5) == model(
         requests, limit, 1_000)
 
 

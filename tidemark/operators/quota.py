@@ -15,9 +15,9 @@ ending at t:
 3. D can only grow where U(t) > limit. Those points form runs with gaps below the window; runs
    do not influence each other. A key that stays within its limit has none, and its requests are
    answered from U(t) alone.
-4. The recurrence is solved run by run while the sorted points stream through tasks. A run that
-   lasts longer than one piece (a bounded time) is solved piece after piece: each piece is a
-   step of its own that gets the last two windows of the one before.
+4. The recurrence is solved run by run while the sorted points stream through tasks. A run with
+   more points than one task should see is solved piece after piece: each piece is a step of its
+   own that gets the last two windows of the one before.
 """
 
 import sys
@@ -37,8 +37,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # A bucket is this many windows long; its margin adds at most 2 / this share of rows.
 _WINDOWS_PER_BUCKET = 20
-# A piece of a run, in windows. It bounds the points one task solves for one run.
-_WINDOWS_PER_PIECE = 240
+# About as many points of one run as one task solves in a few seconds.
+_POINTS_PER_PIECE = 5_000_000
 
 
 def _per_ms(df: DataFrame, keys: list[str], ts_ms: str) -> DataFrame:
@@ -186,32 +186,34 @@ def _runs(over: DataFrame, keys: list[str], window_ms: int, bucket_ms: int) -> D
 
 
 def _solve_runs(runs: DataFrame, keys: list[str], window_ms: int,
-                windows_per_piece: int) -> DataFrame:
-    piece_ms = window_ms * windows_per_piece
-    # Written once: the pieces below read it again.
-    pieces = materialize(runs.withColumns({
-        "_piece": _bucket(F.col("_t") - F.col("_run"), piece_ms),
-        "_d": F.lit(None).cast("bigint"),
-    }))
+                points_per_piece: int) -> DataFrame:
+    # Written once: the measurement and every piece below read it again.
+    runs = materialize(runs.withColumn("_d", F.lit(None).cast("bigint")))
     by = [*keys, "_run"]
-    out_schema = pieces.withColumn("_denied", F.col("_d")).schema
+    out_schema = runs.withColumn("_denied", F.col("_d")).schema
     solve = _solver(by, window_ms)
 
     def solved(rows: DataFrame) -> DataFrame:
         return rows.repartition(*by).sortWithinPartitions(*by, "_t").mapInPandas(
             solve, out_schema)
 
-    first = solved(pieces.filter("_piece = 0"))
-    last_piece = pieces.agg(F.max("_piece")).first()[0] or 0
-    if last_piece == 0:
-        return first
-    done = latest = materialize(first)
-    for n in range(1, last_piece + 1):
-        edge = F.col("_run") + F.lit(n * piece_ms)
-        past = latest.filter(F.col("_t") >= edge - 2 * window_ms).drop("_denied")
-        latest = materialize(solved(
-            pieces.filter(F.col("_piece") == n).unionByName(past)))
-        done = done.unionByName(latest)
+    sizes = runs.groupBy(*by).agg(F.count("*").alias("points"),
+                                  (F.max("_t") - F.col("_run") + 1).alias("ms"))
+    largest = sizes.agg(F.max("points"), F.max_by("ms", "points"), F.max("ms")).first()
+    points, ms, longest = (v or 0 for v in largest)
+    if points <= points_per_piece:
+        return solved(runs)
+
+    piece_ms = max(2 * window_ms, ms * points_per_piece // points)
+    since = F.col("_t") - F.col("_run")
+    done, latest = None, None
+    for n in range(-(-longest // piece_ms)):
+        rows = runs.filter((since >= n * piece_ms) & (since < (n + 1) * piece_ms))
+        if latest is not None:
+            past = latest.filter(since >= n * piece_ms - 2 * window_ms).drop("_denied")
+            rows = rows.unionByName(past)
+        latest = materialize(solved(rows))
+        done = latest if done is None else done.unionByName(latest)
     return done
 
 
@@ -247,7 +249,7 @@ def _after_denials(points: DataFrame, denied: DataFrame, keys: list[str], window
 
 def sliding_quota(df: DataFrame, key: str | Sequence[str], ts_ms: str, limit: int,
                   window_ms: int = config.QUOTA_WINDOW_SECONDS * 1000,
-                  order: Sequence[str] = (), windows_per_piece: int = _WINDOWS_PER_PIECE,
+                  order: Sequence[str] = (), points_per_piece: int = _POINTS_PER_PIECE,
                   ) -> DataFrame:
     """Append `allowed`, `count` (allowed in the window, this one included) and `reset_s`.
 
@@ -268,7 +270,7 @@ def sliding_quota(df: DataFrame, key: str | Sequence[str], ts_ms: str, limit: in
     over = points.filter(F.col("_u") > limit).select(
         *keys, "_t", (F.col("_u") - F.lit(limit)).alias("_excess"))
     denied = _solve_runs(_runs(over, keys, window_ms, bucket_ms), keys, window_ms,
-                         windows_per_piece)
+                         points_per_piece)
     denied = materialize(denied.filter("_denied > 0").select(*keys, "_t", "_denied"))
     state = _after_denials(points, denied, keys, window_ms, bucket_ms).withColumnRenamed(
         "_t", ts_ms)
