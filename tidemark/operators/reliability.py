@@ -16,8 +16,9 @@ def message_order(message_id: Column | str) -> Column:
     text = S.col(message_id).cast("string")
     return F.struct(
         F.split_part(text, F.lit("-"), F.lit(1)).try_cast("bigint").alias("ms"),
-        F.coalesce(F.split_part(text, F.lit("-"), F.lit(2)).try_cast("bigint"), F.lit(0))
-        .alias("seq"),
+        # Only where there is one: a failing cast of '' costs more than all the rest.
+        F.coalesce(F.when(text.contains("-"), F.split_part(text, F.lit("-"), F.lit(2))
+                          .try_cast("bigint")), F.lit(0)).alias("seq"),
     )
 
 

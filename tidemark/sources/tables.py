@@ -76,8 +76,8 @@ def write_events(rows: DataFrame, path: str, batch_id: int) -> None:
     """Add a batch to the event table, one folder per day, rows in time order within files.
 
     Rows are rebalanced by day: quiet days end in one file, a busy day is split by size. Time
-    order keeps row-group ranges narrow for trailing-window reads; the bloom filter lets a
-    lookup by id skip row groups.
+    order keeps row-group ranges narrow for trailing-window reads; the bloom filter, sized by
+    the ids of a file, lets a lookup by id skip row groups.
     """
     names = {f.name for f in schemas.EVENTS.fields}
     full = rows.select(
@@ -88,7 +88,8 @@ def write_events(rows: DataFrame, path: str, batch_id: int) -> None:
     )
     write_batch(
         full.hint("rebalance", "event_date").sortWithinPartitions("event_date", "server_ts"), path, batch_id, ["event_date"],
-        **{"parquet.bloom.filter.enabled#event_id": "true"},
+        **{"parquet.bloom.filter.enabled#event_id": "true",
+           "parquet.bloom.filter.adaptive.enabled": "true"},
     )
 
 

@@ -78,7 +78,8 @@ def write_messages(messages: DataFrame, out: IngestTables, batch_id: int,
     arrived = "arrival_ts" in messages.columns
     stamped = contract.stamp_server_ts(routed, F.col("arrival_ts") if arrived else None)
     # Read four times below. Also pins the write time for this attempt.
-    staged = stamped.drop("_kinds").withColumn("_order", reliability.message_order("message_id"))
+    staged = stamped.drop("_kinds", "_raw").withColumn(
+        "_order", reliability.message_order("message_id"))
     tables.write_batch(staged, out.staging, batch_id)
     stamped = tables.read_batch(spark, out.staging, staged.schema, batch_id)
 
