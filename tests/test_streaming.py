@@ -4,9 +4,9 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import users
+from tidemark.operators import retention, users
 from tidemark.sources import tables
-from tidemark.sources.events import read_event_stream
+from tidemark.sources.events import read_event_stream, read_events
 from tidemark.streaming import ingest, live
 
 EVENT = "00000000-0000-4000-8000-{:012d}"
@@ -71,6 +71,23 @@ def test_sketches_follow_the_stored_events(spark, tmp_path):
     assert total.first()["dau_estimate"] == 7
 
 
+def test_day_folders_are_pruned(spark, tmp_path):
+    rows = spark.createDataFrame(event_rows(300), SCHEMA)
+    tables.write_events(rows, str(tmp_path / "e"), 0)
+    events = read_events(spark, str(tmp_path / "e"))
+    assert events.schema["event_date"].dataType.simpleString() == "date"
+    counts = users.users_per_day(users.in_days(events, "2024-01-02", "2024-01-03"))
+    plan = spark._jvm.PythonSQLUtils.explainString(counts._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    want = users.users_per_day(users.in_days(rows, "2024-01-02", "2024-01-03")).collect()
+    assert {tuple(r) for r in counts.collect()} == {tuple(r) for r in want} and len(want) == 2
+    series = retention.retention_series(events)
+    plan = spark._jvm.PythonSQLUtils.explainString(series._jdf.queryExecution(), "formatted")
+    assert "ReadSchema: struct<user_id:string>" in plan
+    assert {tuple(r) for r in series.collect()} == {
+        tuple(r) for r in retention.retention_series(rows).collect()}
+
+
 def test_delivery_counts_decide_when_they_are_known(spark, tmp_path):
     out = ingest.IngestTables(str(tmp_path))
     rows = spark.createDataFrame([("1", "{bad", 4), ("2", "{bad", 5)],

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.functions import scalars as S
-from tidemark.operators.users import in_days, known_users
+from tidemark.operators.users import event_day, in_days, known_users
 
 
 def _flags(steps: Sequence[str], type_col: str) -> list:
@@ -61,7 +61,7 @@ def funnel_for_windows(events: DataFrame, windows: DataFrame,
     """
     per_day = (
         known_users(events, user_col).filter(F.col(type_col).isin(*steps))
-        .groupBy(S.utc_day(ts_col).alias("_day"), user_col).agg(*_flags(steps, type_col))
+        .groupBy(event_day(events, ts_col).alias("_day"), user_col).agg(*_flags(steps, type_col))
     )
     keys = ["window_start", "window_end"]
     days = windows.select(

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators.users import day_start, in_days, known_users
+from tidemark.operators.users import day_start, event_day, in_days, known_users
 
 
 def first_seen(events: DataFrame, user_col: str = "user_id",
@@ -78,7 +78,7 @@ def retention_series(events: DataFrame, user_col: str = "user_id", ts_col: str =
     whether day 7 has passed.
     """
     days = known_users(events, user_col).select(
-        user_col, S.utc_day(ts_col).alias("_day")).distinct()
+        user_col, event_day(events, ts_col).alias("_day")).distinct()
     age = F.datediff("_day", F.min("_day").over(Window.partitionBy(user_col)))
     counts = (
         days.withColumn("_age", age).filter(F.col("_age").isin(0, 1, 7))

@@ -16,6 +16,8 @@ def read_events(spark: SparkSession, path: str, schema: T.StructType = schemas.E
     """
     df = spark.read.schema(schema).parquet(path)
     df = df.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
+    if "event_date" in df.columns:
+        return df
     return df.withColumn("event_date", F.to_date(ts_col))
 
 
