@@ -81,6 +81,10 @@ def test_day_folders_are_pruned(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(event_date" in plan
     want = users.users_per_day(users.in_days(rows, "2024-01-02", "2024-01-03")).collect()
     assert {tuple(r) for r in counts.collect()} == {tuple(r) for r in want} and len(want) == 2
+    late = users.active_users(events, "2024-01-08 10:00:00")
+    plan = spark._jvm.PythonSQLUtils.explainString(late._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    assert late.first() == users.active_users(rows, "2024-01-08 10:00:00").first()
     series = retention.retention_series(events)
     plan = spark._jvm.PythonSQLUtils.explainString(series._jdf.queryExecution(), "formatted")
     assert "ReadSchema: struct<user_id:string>" in plan

@@ -23,6 +23,8 @@ CLAIM_MIN_IDLE_MS = 60_000
 MAX_DELIVERIES = 5
 STREAM_KEEP = 1_000_000
 DEAD_LETTER_KEEP = 100_000
+
+# Names shown in queue statistics.
 STREAM_NAME = "stream:events"
 GROUP_NAME = "cg:event-writers"
 

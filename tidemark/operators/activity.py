@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import scalars as S
+from tidemark.operators.users import since
 
 
 def events_per_minute(events: DataFrame, as_of, ts_col: str = "server_ts") -> DataFrame:
     """Events at or after `as_of - 60 s`, anonymous ones included, as a double."""
-    return events.filter(F.col(ts_col) >= S.before(as_of, 60, "secs")).agg(
+    return since(events, S.before(as_of, 60, "secs"), ts_col).agg(
         F.count("*").cast("double").alias("events_per_minute")
     ).withColumn("window_seconds", F.lit(60))
 

@@ -190,6 +190,7 @@ def classify_for_write(decoded: DataFrame, uuid_ids: bool = True) -> DataFrame:
 
     too_long = (F.length("session_id") > config.SESSION_ID_MAX) | (
         F.length("event_type") > config.EVENT_TYPE_MAX)
+    # The reasons, as they appear in dead letters.
     verdict = (
         F.when(F.col("_parse_error") | ~has("event_id"), "invalid_payload")
         .when(F.col("_event_id").isNull(), "invalid_event")

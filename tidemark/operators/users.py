@@ -40,6 +40,14 @@ def in_days(df: DataFrame, start, end, ts_col: str = "server_ts") -> DataFrame:
     return out
 
 
+def since(df: DataFrame, bound: Column, ts_col: str = "server_ts") -> DataFrame:
+    """Rows at or after a time; the event table also drops the day folders before it."""
+    out = df.filter(F.col(ts_col) >= bound)
+    if ts_col == "server_ts" and "event_date" in df.columns:
+        out = out.filter(F.col("event_date") >= F.to_date(bound))
+    return out
+
+
 def dau(events: DataFrame, day, user_col: str = "user_id",
         ts_col: str = "server_ts") -> DataFrame:
     """Distinct known users of one day; 0 when there are none."""
@@ -124,7 +132,7 @@ def expire_sketches(sketches: DataFrame, as_of,
 def active_users(events: DataFrame, as_of, hours: int = 24, user_col: str = "user_id",
                  ts_col: str = "server_ts") -> DataFrame:
     """Distinct known users of the trailing hours."""
-    return events.filter(F.col(ts_col) >= S.before(as_of, hours, "hours")).agg(
+    return since(events, S.before(as_of, hours, "hours"), ts_col).agg(
         F.count_distinct(user_col).alias("active_users"))
 
 
