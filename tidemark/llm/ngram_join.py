@@ -12,12 +12,13 @@ union. All links are found without multiplying the whole matrix:
    columns are the rarest n-grams of each row, as many as a linked pair can differ by, plus one, so
    a linked pair meets in at least one. In the first blocks one row per column, its hub, meets the
    others; pairs outside the size bound are discarded, the rest get their exact overlap.
-   Members of one component need no further proof, so the last block multiplies only rows of one
-   column that are still in different components. It is exact: every pair that could link either
-   has been multiplied or is connected already.
+   Members of one component need no further proof. The columns whose rows still lie in different
+   components go into the last product: the rows that meet one hub are cut into blocks, a task
+   multiplies two blocks tile by tile and returns the links that join components. It is exact:
+   every pair that could link either has been multiplied or is connected already.
 
 Nothing is capped. A column of half the corpus costs one entry per batch of documents in the first
-pass, and one pair per member in a hub block.
+pass, and one pair per member in a hub block. No pair leaves a task unless it links.
 """
 
 from collections.abc import Iterator
@@ -33,7 +34,9 @@ from tidemark.llm.components import components
 
 #: Rows of at most this many n-grams are summed over all columns.
 SMALL_SET = 200
-HUB_BLOCKS = 2
+HUB_BLOCKS = 1
+#: Rows of a block of the last product, and what its tiles hold at most.
+BLOCK_ROWS, TILE_ROWS, TILE_GRAMS = 1024, 256, 1 << 16
 
 _SETS = "doc_id long, n int, hi long, lo long, z int, own_all int, own_zone int, once array<long>, twice array<long>"
 
@@ -182,6 +185,76 @@ def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
             .filter(100 * F.col("i") >= percent * union).select("a", "b"))
 
 
+def _tiles(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Cut rows into runs of at most `TILE_ROWS` rows and about `TILE_GRAMS` n-grams."""
+    cuts, at, held = [0], 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and (i - at == TILE_ROWS or held + n > TILE_GRAMS):
+            cuts.append(i)
+            at, held = i, 0
+        held += n
+    return list(zip(cuts, [*cuts[1:], len(sizes)]))
+
+
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The product of two tiles of the incidence matrix: overlap counts of all their rows."""
+    left, right = np.concatenate(a), np.concatenate(b)
+    shared = np.intersect1d(left, right)
+    out = []
+    for rows, grams in ((a, left), (b, right)):
+        at = np.searchsorted(shared, grams)
+        at[at == len(shared)] = 0
+        hit = shared[at] == grams if len(shared) else np.zeros(len(grams), bool)
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        tile = np.zeros((len(rows), len(shared)), np.float32)
+        tile[row[hit], at[hit]] = 1
+        out.append(tile)
+    return (out[0] @ out[1].T).astype(np.int64)
+
+
+def _block_product(percent: int):
+    """Links between the rows of one pair of blocks, as far as they join components."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("n")
+        first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
+        cid = table.column("cid").to_numpy()
+        n = table.column("n").to_numpy().astype(np.int64)
+        block = table.column("block").to_numpy()
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        roots = table.column("root").to_pylist()
+        grams = [g.values.to_numpy() for g in table.column("grams")]
+        links = []
+        tiles = _tiles(n)
+        for i, (a, b) in enumerate(tiles):
+            for c, d in tiles[i:]:
+                if 100 * n[b - 1] < percent * n[c]:
+                    break  # rows are in order of size: no later row is small enough either
+                mine = np.array([find(r) for r in roots[a:b]])
+                others = np.array([find(r) for r in roots[c:d]])
+                open_pairs = mine[:, None] != others[None, :]
+                if first != second:
+                    open_pairs &= block[a:b, None] != block[None, c:d]
+                if not open_pairs.any():
+                    continue
+                both = _overlaps(grams[a:b], grams[c:d])
+                union = n[a:b, None] + n[None, c:d] - both
+                for x, y in zip(*np.nonzero(open_pairs & (100 * both >= percent * union))):
+                    p, q = find(roots[a + x]), find(roots[c + y])
+                    if p != q:
+                        parent[p] = q
+                        links.append((int(cid[a + x]), int(cid[c + y])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()),
+                         "b": pa.array([y for _, y in links], pa.int64())})
+    return run
+
+
 def _near_sizes(percent: int):
     low, high = F.least("n", "m"), F.greatest("n", "m")
     return 100 * low.cast("long") >= percent * high.cast("long")
@@ -313,18 +386,21 @@ def _linked(rows: DataFrame, limit: int, percent: int, tables) -> DataFrame:
         found = tables.table(_verified(pairs, rows, percent))
         links = found if links is None else links.union(found)
         roots = components(links, tables)
-    # The last block: what still lies in different components, without the pairs within one.
+    # The last blocks: what still lies in different components, each column beside its hub.
     open_lists = tables.table(_several(lists, roots, key))
-    sizes = open_lists.groupBy(*key, "root").agg(F.count("*").alias("k"))
-    major = sizes.groupBy(*key).agg(F.max_by("root", F.struct("k", "root")).alias("major"))
-    marked = open_lists.join(major, key)
-    minor = marked.filter("root <> major").select(
-        *key, F.col("cid").alias("hub"), F.col("n").alias("m"), F.col("root").alias("other"))
-    pairs = (marked.join(minor, key).filter("root <> other")
-             .filter(_near_sizes(percent))
-             .select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b"))
-             .distinct())
-    found = tables.table(_verified(pairs, rows, percent))
+    rank = F.struct(F.xxhash64("cid", F.lit(HUB_BLOCKS)), "cid")
+    hubs = open_lists.groupBy(*key).agg(F.min(rank)["cid"].alias("hub"))
+    members = tables.table(open_lists.join(hubs, key).select("hub", "cid", "root").distinct())
+    blocks = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("k"))
+    mine, other = F.col("block"), F.col("other")
+    placed = (members.join(blocks, "hub")
+              .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+              .select("hub", "cid", "root", "block", F.least(mine, other).alias("first"),
+                      F.greatest(mine, other).alias("second")))
+    found = tables.table(
+        placed.join(rows.select("cid", "n", "grams"), "cid")
+        .groupBy("hub", "first", "second").applyInArrow(_block_product(percent), "a long, b long"))
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
                       .union(found), tables)
 
@@ -336,3 +412,57 @@ def _several(lists: DataFrame, roots: DataFrame, key: list[str]) -> DataFrame:
               .withColumn("root", F.coalesce("root", "cid")))
     several = marked.groupBy(*key).agg(F.min("root").alias("x"), F.max("root").alias("y"))
     return marked.join(several.filter("x < y").select(*key), key, "left_semi")
+
+
+def _digests(n_words: int, names: list[str]):
+    """Rows with the size and digest of their n-gram set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            texts = batch.column(batch.schema.get_field_index("text"))
+            n, hi, lo, _ = set_digests(*incidence(texts, n_words), batch.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                batch.columns + [pa.array(n, pa.int32()), pa.array(hi.view(np.int64)),
+                                 pa.array(lo.view(np.int64))], names=names)
+    return run
+
+
+def one_per_component(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, with all their columns, of which one of each component stays.
+
+    The document with the smallest doc_id stays, of several rows with that id the one whose n-gram
+    set has the smallest digest, of equal sets one row. Rows without an id only give way to a linked
+    document with an id or to an equal set. Documents without words stay, one per doc_id. Needs
+    no column but `doc_id` and `text`; clashing names of helper columns do not matter.
+    """
+    found = ngram_components(docs, n_words, percent)
+    group = F.struct("component_id", *[F.when(F.col("component_id").isNull(), F.col(c)).alias(c)
+                                       for c in ("n_shingles", "hi", "lo")])
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hi", "lo")
+    best = found.groupBy(group.alias("g")).agg(F.min(row).alias("best"))
+    marked = (found.withColumn("g", group).withColumn("row", row).join(best, "g")
+              .withColumn("stays", F.col("row") == F.col("best")))
+    ids = marked.groupBy("doc_id").agg(F.count("*").alias("rows"),
+                                       F.max("stays").alias("stays"))
+    several = ids.filter("doc_id is null or rows > 1").select(F.col("doc_id").alias("_several"))
+    gone = ids.filter("doc_id is null or rows > 1 or not stays").select(
+        F.col("doc_id").alias("_gone"))
+    single = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    # Rows that share an id are told apart by their sets.
+    repeated = docs.join(several, docs["doc_id"].eqNullSafe(several["_several"]), "left_semi")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    names[docs.columns.index("text")] = "text"
+    id_name = names[docs.columns.index("doc_id")]
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
+    key = ["_n", "_hi", "_lo"]
+    told = repeated.toDF(*names).mapInArrow(_digests(n_words, names + key),
+                                            schema + ", _n int, _hi long, _lo long")
+    kept = (marked.filter("stays").select(
+        F.col("doc_id").alias("_id"), F.col("n_shingles").cast("int").alias("_n"),
+        F.col("hi").alias("_hi"), F.col("lo").alias("_lo")).distinct()
+        .join(several, F.col("_id").eqNullSafe(F.col("_several")), "left_semi"))
+    same = told[id_name].eqNullSafe(kept["_id"])
+    for c in key:
+        same = same & (told[c] == kept[c])
+    stay = (told.join(kept, same, "left_semi").dropDuplicates([id_name, *key])
+            .select(*names).toDF(*docs.columns))
+    return single.unionByName(stay)
