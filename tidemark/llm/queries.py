@@ -4,15 +4,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ngram_join
+from tidemark.llm import (
+    chat, decontamination, exact_dedup, html_text, line_dedup, mixing, ngram_join, quality,
+    token_counts, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
-def _query(name: str):
+def _query(name: str, sql: str | None = None):
     def register(function):
         QUERIES[name] = function
+        if sql is not None:
+            CHECKS[name] = sql
         return function
     return register
 
@@ -21,7 +26,166 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-@_query("op10_ngram_jaccard_join")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+@_query("op1_benchmark_decontamination")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.find_leaks(_read(spark, folder, "documents"),
+                                      _read(spark, folder, "benchmark"))
+
+
+@_query("op2_exact_dedup", f"""
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS x
+           FROM documents),
+g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size, sha256(x) AS text_sha256
+      FROM t GROUP BY x)
+SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, g.text_sha256
+FROM t JOIN g ON t.x = g.x""")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_read(spark, folder, "documents"))
+
+
+@_query("op3_mixing_to_weights", f"""
+WITH d AS (SELECT doc_id, source,
+                  coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS size,
+                  md5(coalesce(doc_id::VARCHAR, '')) AS o
+           FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS s,
+              row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r
+       FROM d GROUP BY source),
+s1 AS (SELECT *, [5, 2, 1][(r % 3 + 1)::INT]::BIGINT AS w FROM s0),
+-- Sources reach their cap in the order of size by weight; the first k are capped.
+s2 AS (SELECT *, sum(s) OVER ()::BIGINT AS total, sum(w) OVER ()::BIGINT AS weights,
+              coalesce(sum(s) OVER k, 0)::BIGINT AS s_before,
+              coalesce(sum(w) OVER k, 0)::BIGINT AS w_before
+       FROM s1
+       WINDOW k AS (ORDER BY s::DOUBLE / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s3 AS (SELECT *, w::HUGEINT * (150 * total - 200 * s_before) > 200 * s::HUGEINT * (weights - w_before)
+              OR s = 0 AS capped
+       FROM s2),
+f AS (SELECT sum(CASE WHEN capped THEN 0 ELSE w END)::BIGINT AS free,
+             (150 * max(total) - 200 * sum(CASE WHEN capped THEN s ELSE 0 END))::BIGINT AS rest
+      FROM s3),
+t AS (SELECT source, s, r, CASE WHEN capped THEN 2.0::DOUBLE * s
+                           ELSE (w * rest)::DOUBLE / (100 * free)::DOUBLE END AS target,
+             CASE WHEN capped THEN 2 * s ELSE (w * rest) // (100 * free) END::BIGINT AS whole
+      FROM s3, f),
+p AS (SELECT d.doc_id, d.size, t.s AS source_size, t.target, t.whole, t.r,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id, d.size
+                               ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS a
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, greatest(0, least(size, whole - a)) AS one,
+             greatest(0, least(size, whole - source_size - a)) AS two,
+             a::DOUBLE / whole AS x, (source_size + a)::DOUBLE / whole AS y,
+             CASE r % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.0 ELSE 1.5 END AS l,
+             CASE r % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.0 ELSE -1.0 END AS g
+      FROM p)
+SELECT doc_id, size, source_size, target, (one + two)::BIGINT AS taken,
+       CASE WHEN one > 0 THEN floor(1000000 * (2 * x / (l + sqrt(l * l + 2 * g * x))))::BIGINT END
+           AS first_position,
+       CASE WHEN two > 0 THEN floor(1000000 * (2 * y / (l + sqrt(l * l + 2 * g * y))))::BIGINT END
+           AS second_position
+FROM q""")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(_read(spark, folder, "documents"))
+
+
+@_query("op4_toxicity")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(_read(spark, folder, "documents"),
+                                    _read(spark, folder, "labels"), threshold=0.3)
+
+
+@_query("op5_quality_classifier")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(_read(spark, folder, "documents"),
+                                  _read(spark, folder, "labels"), threshold=0.7)
+
+
+_GUARDED = (r"<\\*\||<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]|<\\*<SYS>>|<\\*</SYS>>"
+            r"|<\\*start_of_turn>|<\\*end_of_turn>")
+_SPEC = "</s>[INST] ok [/INST]"
+
+
+@_query("op6_chat_formatting", f"""
+WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+           FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '{_SPEC}'
+           UNION ALL SELECT -1, 1, 'assistant', '{_SPEC}'),
+x AS (SELECT *, length('<|im_start|>') + length('<|im_sep|>') + length('<|im_end|>') + 1
+             + length(role) + len(regexp_extract_all(role, '{_GUARDED}'))
+             + length(text) + len(regexp_extract_all(text, '{_GUARDED}')) AS chars
+      FROM m)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text))
+           AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text)
+                       FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM x GROUP BY conv_id""")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    special = spark.createDataFrame(
+        [(-1, 0, "user", _SPEC), (-1, 1, "assistant", _SPEC)],
+        "conv_id long, turn long, role string, text string")
+    messages = _read(spark, folder, "conversations").select(*special.columns).union(special)
+    return chat.conversation_digests(chat.format_messages(messages))
+
+
+@_query("op7_token_counts")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(_read(spark, folder, "documents"),
+                                     public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+@_query("op8_html_extraction")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_text(_read(spark, folder, "pages"))
+
+
+@_query("op9_line_dedup", f"""
+WITH l AS (SELECT doc_id, source, i, trim(line, ' ' || chr(9) || chr(13)) AS line
+           FROM (SELECT doc_id, source, string_split(text, chr(10)) AS s,
+                        unnest(s) AS line, unnest(range(len(s))) AS i
+                 FROM documents WHERE text IS NOT NULL)),
+k AS (SELECT line, min(struct_pack(doc_id := doc_id, i := i)) AS first
+      FROM l WHERE line <> '' GROUP BY line
+      HAVING count(DISTINCT coalesce('s' || source, 'null')) >= {line_dedup.MIN_SITES}),
+r AS (SELECT l.doc_id, list(l.i) AS gone FROM l JOIN k ON l.line = k.line
+      WHERE struct_pack(doc_id := l.doc_id, i := l.i) <> k.first GROUP BY l.doc_id),
+n AS (SELECT doc_id, count(*) AS n_lines FROM l WHERE line <> '' GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN r.gone IS NULL THEN d.text ELSE array_to_string(
+           list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(r.gone, i - 1)),
+           chr(10)) END AS text,
+       coalesce(n.n_lines, 0)::INT AS n_lines, coalesce(len(r.gone), 0)::INT AS n_removed
+FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN n ON d.doc_id = n.doc_id""")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.remove_spread_lines(_read(spark, folder, "documents")).select(
+        "doc_id", "text", "n_lines", "n_removed")
+
+
+@_query("op10_ngram_jaccard_join", f"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w
+    FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+             ELSE [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)] END) AS x
+      FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i, any_value(m.n) AS n, any_value(o.n) AS o
+      FROM g a JOIN g b ON a.x = b.x AND a.doc_id <> b.doc_id
+           JOIN n m ON m.doc_id = a.doc_id JOIN n o ON o.doc_id = b.doc_id
+      WHERE 100 * least(m.n, o.n) >= 90 * greatest(m.n, o.n)
+      GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(m.n) + any_value(o.n) - count(*))),
+r AS (SELECT a AS d, b AS c FROM e UNION SELECT r.d, e.b FROM r JOIN e ON e.a = r.c)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles,
+       least(d.doc_id, coalesce(m.c, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+     LEFT JOIN (SELECT d, min(c) AS c FROM r GROUP BY d) m ON m.d = d.doc_id""")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents")
     return ngram_join.ngram_components(docs, n_words=3, percent=90).select(
