@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import retention, users
-from tidemark.sources import tables
+from tidemark.sources import keys, tables
+from tidemark.sources.batches import Batch
 from tidemark.sources.events import read_event_stream, read_events
 from tidemark.streaming import ingest, live
 
@@ -92,13 +93,79 @@ def test_day_folders_are_pruned(spark, tmp_path):
         tuple(r) for r in retention.retention_series(rows).collect()}
 
 
-def test_delivery_counts_decide_when_they_are_known(spark, tmp_path):
+def counted(spark, rows):
+    return spark.createDataFrame(rows, "message_id string, data string, delivery_count int")
+
+
+def test_bad_messages_wait_until_they_are_spent(spark, tmp_path):
+    out = ingest.IngestTables(str(tmp_path))
+    good = message(9, 1)["data"]
+    for _ in range(2):  # repeating a batch changes nothing
+        ingest.write_messages(counted(spark, [("1", "{bad", 4), ("2", "{bad", 5), ("9", good, 1),
+                                              ("3", "{bad", 1)]), out, 0)
+        assert [r["original_id"] for r in ingest.dead_letters(spark, out).collect()] == ["2"]
+        assert {(r.message_id, r.delivery_count) for r in ingest.still_waiting(
+            spark, out).collect()} == {("1", 4), ("3", 1)}
+        assert tables.read_stored_events(spark, out.events).count() == 1
+    for _ in range(2):  # the broker sends one of them again, with its own count
+        ingest.write_messages(counted(spark, [("3", "{bad", 3)]), out, 1)
+        assert {r["original_id"] for r in ingest.dead_letters(spark, out).collect()} == {"1", "2"}
+        assert [tuple(r)[:3] for r in ingest.still_waiting(spark, out).collect()] == [
+            ("3", "{bad", 3)]
+    total = ingest.write_counts(spark, out).agg(
+        F.sum("processed"), F.sum("dead_lettered")).first()
+    assert tuple(total) == (1, 2)
+
+
+def test_a_new_checkpoint_adds_to_the_tables(spark, tmp_path):
+    land(tmp_path / "in", "1.json", [message(i, i) for i in range(20)])
+    out = start(spark, tmp_path)
+    land(tmp_path / "in2", "1.json", [message(i, i) for i in range(15, 25)])
+    for _ in range(2):
+        stream = read_event_stream(spark, str(tmp_path / "in2"), 1)
+        ingest.run_ingest(stream, out, str(tmp_path / "ck2"), once=True).awaitTermination()
+        events = ingest.stored_events(spark, out)
+        assert events.count() == 25 and events.select("event_id").distinct().count() == 25
+        assert events.filter("id is null").count() == 0
+        assert events.select("id").distinct().count() == 25
+
+
+def test_waiting_messages_are_taken_over_by_a_new_stream(spark, tmp_path):
+    out = ingest.IngestTables(str(tmp_path))
+    ingest.write_messages(counted(spark, [("1", "{bad", 3)]), out, Batch(0, "old"))
+    for number in (0, 0, 1):
+        ingest.write_messages(counted(spark, [("7", message(7, 7)["data"], 1)]), out,
+                              Batch(number, "new"))
+    assert [r["original_id"] for r in ingest.dead_letters(spark, out).collect()] == ["1"]
+    assert ingest.still_waiting(spark, out).count() == 0
+
+
+def test_the_probe_reads_a_bounded_number_of_key_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keys, "FAN_OUT", 3)
+    path, columns = str(tmp_path / "k"), "event_id string"
+    keys.start(spark, path, spark.createDataFrame([("old",)], columns), "event_id")
+    for n in range(14):
+        batch = Batch(n, "s")
+        keys.compact(spark, path, batch)
+        asked = spark.createDataFrame([("old",), (f"e{n - 1}",), (f"e{n}",), (None,)], columns)
+        for _ in range(2):  # a repeated batch does not meet its own keys
+            hits = {r[0] for r in keys.known(spark, path, asked, "event_id", batch).collect()}
+            assert hits == {"old"} | ({f"e{n - 1}"} if n else set())
+            keys.add(path, spark.createDataFrame([(f"e{n}",)], columns), "event_id", batch)
+    runs = keys._runs(spark, path)
+    assert all(len(r) <= 4 for r in runs.values()) and max(runs) >= 2
+    everything = spark.createDataFrame([(f"e{n}",) for n in range(14)], columns)
+    assert keys.known(spark, path, everything, "event_id", Batch(99, "s")).count() == 14
+
+
+def test_the_writer_probes_keys_and_not_events(spark, tmp_path):
     out = ingest.IngestTables(str(tmp_path))
-    rows = spark.createDataFrame([("1", "{bad", 4), ("2", "{bad", 5)],
-                                 "message_id string, data string, delivery_count int")
+    rows = spark.createDataFrame([("1", message(1, 1)["data"])], "message_id string, data string")
     ingest.write_messages(rows, out, 0)
-    assert [r["original_id"] for r in ingest.dead_letters(spark, out).collect()] == ["2"]
-    assert tables.read_stored_events(spark, out.events).count() == 0
+    hits = keys.known(spark, out.keys, spark.createDataFrame([(EVENT.format(1),)], "event_id string"),
+                      "event_id", Batch(1))
+    plan = spark._jvm.PythonSQLUtils.explainString(hits._jdf.queryExecution(), "formatted")
+    assert "event_keys" in plan and "/events" not in plan and hits.count() == 1
 
 
 def event_rows(n):

@@ -10,6 +10,7 @@ ROLE_NAMES = ("admin", "analyst", "client_app")
 # Column limits of the event table.
 SESSION_ID_MAX = 64
 EVENT_TYPE_MAX = 32
+IP_HASH_MAX = 64
 
 # Ingest limits.
 BATCH_MIN_EVENTS = 1

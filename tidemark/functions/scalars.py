@@ -79,6 +79,12 @@ def parse_client_ts(c: Column | str) -> Column:
     )
 
 
+def uuid_of(text: Column) -> Column:
+    """An id that depends on the text alone, in the form of a UUID; NULL for NULL."""
+    return F.regexp_replace(F.md5(text), "^(.{8})(.{4}).(.{3}).(.{3})(.{12})$",
+                            "$1-$2-3$3-8$4-$5")
+
+
 def utc_day(ts: Column | str) -> Column:
     """The UTC calendar day of a timestamp (the session zone is UTC)."""
     return F.to_date(col(ts))
@@ -125,7 +131,10 @@ def evaluated_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add or replace columns whose expressions are too large to be repeated.
 
     The optimizer copies a projected expression into every filter and projection above it, but
-    not one that depends on the partition. The condition is always true.
+    not what a generator makes. Filters on the other columns pass a generator and reach the scan.
     """
-    here = F.spark_partition_id() >= 0
-    return df.withColumns({n: F.when(here, e) for n, e in columns.items()})
+    made = F.struct(*[e.alias(f"_once_{i}") for i, e in enumerate(columns.values())])
+    out = df.select("*", F.array(made).alias("_once")).select(*df.columns, F.inline("_once"))
+    place = {n: F.col(f"_once_{i}") for i, n in enumerate(columns)}
+    return out.select(*[place.pop(c).alias(c) if c in place else F.col(c) for c in df.columns],
+                      *[e.alias(n) for n, e in list(place.items())])

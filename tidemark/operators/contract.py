@@ -99,9 +99,12 @@ def decode_envelope(messages: DataFrame) -> DataFrame:
 # -- strict form: what a sender may submit -----------------------------------------------------
 
 def _valid_time(text: Column) -> Column:
-    numeric = text.rlike(r"^[+-]?\d+(\.\d+)?$") & (F.length(text) < 8)
-    epoch = text.rlike(r"^[+-]?\d{9,13}(\.\d+)?$")
-    return numeric | epoch | S.parse_client_ts(text).isNotNull()
+    """ISO text, or a number: seconds since 1970 up to 2e10, milliseconds beyond, as far as the
+    year 9999."""
+    number = F.when(text.rlike(r"^[+-]?\d+(\.\d+)?$"), text.try_cast("double"))
+    seconds = F.when(F.abs(number) > 2e10, number / 1000).otherwise(number)
+    in_range = F.coalesce(seconds.between(-62_135_596_800, 253_402_300_799), F.lit(False))
+    return in_range | S.parse_client_ts(text).isNotNull()
 
 
 def violations(get, kind=None, types=config.EVENT_TYPES, uuid_ids: bool = True) -> Column:
@@ -189,7 +192,8 @@ def classify_for_write(decoded: DataFrame, uuid_ids: bool = True) -> DataFrame:
         return F.col(f"_has.{n}")
 
     too_long = (F.length("session_id") > config.SESSION_ID_MAX) | (
-        F.length("event_type") > config.EVENT_TYPE_MAX)
+        F.length("event_type") > config.EVENT_TYPE_MAX) | F.coalesce(
+        F.length("ip_hash") > config.IP_HASH_MAX, F.lit(False))
     # The reasons, as they appear in dead letters.
     verdict = (
         F.when(F.col("_parse_error") | ~has("event_id"), "invalid_payload")

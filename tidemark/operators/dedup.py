@@ -21,13 +21,23 @@ def _list(names: str | Sequence[str]) -> list[str]:
 
 def dedup_first(df: DataFrame, key: str = "event_id",
                 order: str | Sequence[str] = "arrival_ts") -> DataFrame:
-    """Keep the first arrival per key.
+    """Keep the first arrival per key. Rows without a key are no replays of each other and pass.
 
     The rank filter is applied on both sides of the shuffle (window group limit), so a key that
     is replayed without end costs one row per map task.
     """
-    by_arrival = Window.partitionBy(key).orderBy(*_list(order))
-    return df.withColumn("_n", F.row_number().over(by_arrival)).filter("_n = 1").drop("_n")
+    return first_by(df, [key], [F.col(c) for c in _list(order)])
+
+
+def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The first row per key in an order; each row with a NULL in the key is its own key."""
+    loose = F.lit(False)
+    for k in keys:
+        loose = loose | F.col(k).isNull()
+    alone = df.withColumn("_alone", F.when(loose, F.monotonically_increasing_id()))
+    by_order = Window.partitionBy(*keys, "_alone").orderBy(*order)
+    return alone.withColumn("_n", F.row_number().over(by_order)).filter("_n = 1").drop(
+        "_n", "_alone")
 
 
 def stored_keys(target: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
@@ -61,9 +71,17 @@ def first_new_events(incoming: DataFrame, target: DataFrame, key: str = "event_i
     return _without(dedup_first(incoming, key, order), stored_keys(target, incoming, key), key)
 
 
-def insert_if_absent(target: DataFrame, rows: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """`target` plus those rows whose natural key it does not hold yet."""
-    return target.unionByName(rows.join(target.select(*_list(key)), _list(key), "left_anti"))
+def insert_if_absent(target: DataFrame, rows: DataFrame, key: str | Sequence[str],
+                     order: str | Sequence[str] | None = None) -> DataFrame:
+    """`target` plus those rows whose natural key it does not hold yet.
+
+    Of rows that share a key the first in `order` is inserted, by default the one with the
+    smallest other values.
+    """
+    keys = _list(key)
+    order = _list(order) if order else [c for c in rows.columns if c not in keys] or keys
+    fresh = first_by(rows, keys, [F.col(c) for c in order])
+    return target.unionByName(fresh.join(target.select(*keys), keys, "left_anti"))
 
 
 def ingest_outcome(incoming: DataFrame, target: DataFrame, mode: str = "async",
@@ -72,7 +90,8 @@ def ingest_outcome(incoming: DataFrame, target: DataFrame, mode: str = "async",
     """Tell for every arrival whether it was taken or is a replay.
 
     The first arrival of an id that is not stored is `accepted` (sync) or `queued` (async),
-    all others are `deduplicated`. `order` must be unique per key.
+    all others are `deduplicated`. `order` must be unique per key. Arrivals without an id are
+    never replays.
 
     With `claim_ttl_seconds`, an async claim is forgotten after that time, so a later replay
     is queued again (and stopped by the stored-id check when it is written). `order` is then a
@@ -84,7 +103,7 @@ def ingest_outcome(incoming: DataFrame, target: DataFrame, mode: str = "async",
             incoming.withColumn("_ms", S.epoch_ms(_list(order)[0])), key, "_ms", limit=1,
             window_ms=claim_ttl_seconds * 1000, order=_list(order))
         is_taken = F.col("allowed")
-        out = ruled.withColumn("deduplicated", ~is_taken)
+        out = ruled.withColumn("deduplicated", ~is_taken & F.col(key).isNotNull())
         out = out.drop("_ms", "allowed", "count", "reset_s")
     else:
         order = _list(order)
@@ -96,7 +115,7 @@ def ingest_outcome(incoming: DataFrame, target: DataFrame, mode: str = "async",
         first = _without(first, stored_keys(target, incoming, key), key).withColumn(
             "_taken", F.lit(True))
         out = incoming.join(first, [key, *order], "left").withColumn(
-            "deduplicated", F.col("_taken").isNull()).drop("_taken")
+            "deduplicated", F.col("_taken").isNull() & F.col(key).isNotNull()).drop("_taken")
     return out.withColumns({
         "status": F.when(F.col("deduplicated"), "deduplicated").otherwise(taken),
         "mode": F.lit(mode),
@@ -118,9 +137,14 @@ def expire_keys(df: DataFrame, as_of, hours: int = config.EXPIRED_KEY_GRACE_HOUR
     return df.filter(~gone | F.col(expires_col).isNull()), df.filter(gone)
 
 
-def upsert(existing: DataFrame, updates: DataFrame, keys: str | Sequence[str]) -> DataFrame:
-    """Insert or replace by unique key."""
+def upsert(existing: DataFrame, updates: DataFrame, keys: str | Sequence[str],
+           newest: str = "computed_at") -> DataFrame:
+    """Insert or replace by unique key. Of several updates of a key the newest wins, by the column
+    `newest` if there is one and then by the largest other values."""
     keys = _list(keys)
+    rest = [c for c in updates.columns if c not in keys and c != newest]
+    by = [F.col(c).desc_nulls_last() for c in [newest, *rest] if c in updates.columns]
+    updates = first_by(updates, keys, by or [F.col(k) for k in keys])
     return existing.join(updates.select(*keys), keys, "left_anti").unionByName(updates)
 
 

@@ -12,13 +12,15 @@ from tidemark.functions import scalars as S
 
 
 def message_order(message_id: Column | str) -> Column:
-    """Sort key of a message id: plain numbers, or `<milliseconds>-<sequence>`, as numbers."""
+    """Sort key of a message id: plain numbers, or `<milliseconds>-<sequence>`, as numbers. Other
+    ids come first, in the order of their text."""
     text = S.col(message_id).cast("string")
     return F.struct(
         F.split_part(text, F.lit("-"), F.lit(1)).try_cast("bigint").alias("ms"),
         # Only where there is one: a failing cast of '' costs more than all the rest.
         F.coalesce(F.when(text.contains("-"), F.split_part(text, F.lit("-"), F.lit(2))
                           .try_cast("bigint")), F.lit(0)).alias("seq"),
+        text.alias("text"),
     )
 
 
@@ -108,12 +110,34 @@ def retain_newest(df: DataFrame, n: int, order_col: str = "server_ts",
     """Keep about the newest `n` rows and never fewer.
 
     Whole days are kept, newest first, until they hold `n` rows: one count per day instead of a
-    global sort. `exact` keeps precisely `n`.
+    global sort. `exact` keeps precisely `n`: of the oldest day that is needed only whole seconds,
+    of the oldest second the last rows by time and then by the other columns, the largest first.
     """
-    if exact:
-        return df.orderBy(F.col(order_col).desc()).limit(n)
-    per_day = df.groupBy(S.utc_day(order_col).alias("_day")).agg(F.count("*").alias("_rows"))
-    newer = Window.orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    kept = per_day.withColumn("_newer", F.coalesce(F.sum("_rows").over(newer), F.lit(0)))
-    oldest = kept.filter(F.col("_newer") < n).agg(F.min("_day")).scalar()
-    return df.filter(S.utc_day(order_col) >= oldest)
+    if not exact:
+        oldest, _ = _cut(df, S.utc_day(order_col), n)
+        return df.filter(S.utc_day(order_col) >= oldest)
+    second = F.coalesce(F.unix_seconds(F.col(order_col).cast("timestamp")),
+                        F.lit(-2 ** 40)).alias("_second")
+    rows = df.withColumn("_second", second)
+    day = F.floor(F.col("_second") / 86_400)
+    cut_day, after_day = _cut(rows, day, n)
+    cut_second, newer = _cut(rows.filter(day == cut_day), F.col("_second"), n - after_day)
+    rest = [c for c in df.columns if c != order_col]
+    last = Window.orderBy(F.col(order_col).desc_nulls_last(),
+                          *[F.col(c).cast("string").desc_nulls_last() for c in rest])
+    border = rows.filter(F.col("_second") == cut_second).withColumn(
+        "_n", F.row_number().over(last)).filter(F.col("_n") <= n - after_day - newer).drop("_n")
+    return rows.filter(F.col("_second") > cut_second).unionByName(border).drop("_second")
+
+
+def _cut(df: DataFrame, slot: Column, n) -> tuple[Column, Column]:
+    """The oldest time slot that the newest `n` rows reach into, and the rows in newer slots.
+
+    One row per slot is ordered in one task; slots are days, or the seconds of one day.
+    """
+    per_slot = df.groupBy(slot.alias("_slot")).agg(F.count("*").alias("_rows"))
+    newer = Window.orderBy(F.col("_slot").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    kept = per_slot.withColumn("_newer", F.coalesce(F.sum("_rows").over(newer), F.lit(0))).filter(
+        F.col("_newer") < n)
+    return (kept.agg(F.min("_slot")).scalar(),
+            F.coalesce(kept.agg(F.max("_newer")).scalar(), F.lit(0)))

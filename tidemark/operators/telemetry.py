@@ -144,24 +144,24 @@ def queue_gauges(stats: DataFrame) -> DataFrame:
 
 # -- exact percentiles -------------------------------------------------------------------------
 
+#: Slots with more rows are cut further before their values are ranked.
+_SLOT_ROWS = 1_000_000
+
+
 def exact_percentiles(df: DataFrame, value_col: str, quantiles: dict[str, float],
                       by: Sequence[str] = (), resolution: float = 0.01) -> DataFrame:
     """Exact percentiles with linear interpolation, one column per entry of `quantiles`.
 
     Holding all values of a group in one aggregate does not scale. A first pass counts rows per
     slot of width `resolution` and finds the slots that hold a wanted rank, at most two per
-    quantile and group. A second pass reads only the rows of those slots and ranks their
-    distinct values. The table of slots is written, so that its real size decides whether the
-    second pass can broadcast it.
+    quantile and group. While such a slot holds more than `_SLOT_ROWS` rows of different values,
+    its rows are counted again in slots a thousandth as wide. A last pass reads only the rows of
+    the slots found and ranks their distinct values. The tables of slots are written, so that
+    their real size decides whether a later pass can broadcast them.
     """
     by = list(by)
     rows = df.select(*by, F.col(value_col).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull()).withColumn("_slot", F.floor(F.col("_v") / F.lit(resolution)))
-    group = Window.partitionBy(*by)
-    slots = rows.groupBy(*by, "_slot").agg(F.count("*").alias("_rows")).withColumns({
-        "_end": F.sum("_rows").over(group.orderBy("_slot")),
-        "_total": F.sum("_rows").over(group),
-    }).withColumn("_begin", F.col("_end") - F.col("_rows"))
+        F.col("_v").isNotNull())
 
     def position(q: float) -> Column:
         return F.lit(float(q)) * (F.col("_total") - 1)
@@ -174,11 +174,37 @@ def exact_percentiles(df: DataFrame, value_col: str, quantiles: dict[str, float]
     wanted = F.lit(False)
     for _, _, r in ranks:
         wanted = wanted | inside(r, F.col("_begin"), F.col("_end"))
-    marked = materialize(slots.filter(wanted).select(
-        *[F.col(c).alias(f"_at_{c}") for c in [*by, "_slot"]], "_begin", "_total"))
 
-    same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in [*by, "_slot"]]
-    counted = rows.join(marked, same).groupBy(
+    def found(within: DataFrame, parents: list[str]) -> DataFrame:
+        """The slots with a wanted rank. `_begin` counts the rows of the group below a slot."""
+        parent = Window.partitionBy(*by, *parents)
+        base = F.col("_base") if parents else F.lit(0)
+        total = F.col("_all") if parents else F.sum("_rows").over(parent)
+        kept = [*parents, "_base", "_all"] if parents else []
+        counts = within.groupBy(*by, *kept, "_slot").agg(
+            F.count("*").alias("_rows"), (F.min("_v") < F.max("_v")).alias("_differ"))
+        return materialize(counts.withColumns({
+            "_end": base + F.sum("_rows").over(parent.orderBy("_slot")), "_total": total,
+        }).withColumn("_begin", F.col("_end") - F.col("_rows")).filter(wanted).select(
+            *[F.col(c).alias(f"_at_{c}") for c in [*by, "_slot"]], "_begin", "_total", "_rows",
+            "_differ"))
+
+    def hits(marked: DataFrame, width: float) -> DataFrame:
+        """The rows of the slots."""
+        slotted = rows.withColumn("_slot", F.floor(F.col("_v") / F.lit(width)))
+        same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in [*by, "_slot"]]
+        return slotted.join(marked.drop("_rows", "_differ"), same).select(*slotted.columns,
+                                                                         "_begin", "_total")
+
+    width = resolution
+    marked = found(rows.withColumn("_slot", F.floor(F.col("_v") / F.lit(width))), [])
+    while width > resolution * 1e-9 and marked.filter(
+            F.col("_differ") & (F.col("_rows") > _SLOT_ROWS)).limit(1).count():
+        inner = hits(marked, width).withColumnsRenamed(
+            {"_slot": "_parent", "_begin": "_base", "_total": "_all"})
+        width /= 1024
+        marked = found(inner.withColumn("_slot", F.floor(F.col("_v") / F.lit(width))), ["_parent"])
+    counted = hits(marked, width).groupBy(
         *by, "_slot", "_begin", "_total", "_v").agg(F.count("*").alias("_k"))
     ranked = counted.withColumn("_to", F.col("_begin") + F.sum("_k").over(
         Window.partitionBy(*by, "_slot").orderBy("_v")))
@@ -203,10 +229,9 @@ def _report(access_log: DataFrame, by: list[str], quantiles: dict[str, float]) -
         .alias("mean_ms"),
         F.min("ts").alias("_from"), F.max("ts").alias("_to"),
     )
-    # The span of the whole log, over one row per group.
-    every = Window.partitionBy()
-    span = F.unix_micros(F.max("_to").over(every).cast("timestamp")) - F.unix_micros(
-        F.min("_from").over(every).cast("timestamp"))
+    # The span of the whole log; the aggregate under it is that of the groups.
+    first, last = counts.agg(F.min("_from")).scalar(), counts.agg(F.max("_to")).scalar()
+    span = F.unix_micros(last.cast("timestamp")) - F.unix_micros(first.cast("timestamp"))
     counts = counts.withColumn("_s", span / F.lit(1e6)).drop("_from", "_to")
     marks = exact_percentiles(log, "ms", quantiles, by, resolution=1.0)
     rate = F.when(F.col("_s") > 0, F.col("requests") / F.col("_s"))

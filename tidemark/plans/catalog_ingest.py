@@ -239,12 +239,20 @@ def session_events(t: Tables):
     return activity.session_events(t.std, "s-8-2024-01-01").select("n", "event_type")
 
 
-_DUCK_BATCHES = """
-, members AS (
-  SELECT session_id AS batch_id, event_id, event_type FROM std
-  UNION ALL SELECT CAST(CAST(server_ts AS DATE) AS VARCHAR), event_id, event_type FROM std),
+_SENT_USER = ("CASE WHEN user_id IS NULL THEN NULL ELSE concat('00000000-0000-4000-9000-', "
+              "lpad(cast(user_id AS varchar(20)), 12, '0')) END")
+_SENT_TIME = "CASE WHEN n % 97 = 0 THEN 'yesterday' END"
+_LONG = "cast(floor(n / 150) AS int)"  # every tenth run of 150 events is one batch, too long
+_DUCK_BATCHES = f"""
+, sent AS (
+  SELECT n, event_id, session_id, event_type, properties, {_SENT_USER} AS user_id,
+         {_SENT_TIME} AS client_ts FROM std),
+members AS (
+  SELECT session_id AS batch_id, * EXCLUDE n FROM sent
+  UNION ALL SELECT concat('long-', {_LONG}), * EXCLUDE n FROM sent WHERE {_LONG} % 10 = 0),
 sizes AS (
-  SELECT batch_id, count(*) AS n, bool_or(event_type = 'error') AS bad
+  SELECT batch_id, count(*) AS n,
+         bool_or(event_type = 'error' OR client_ts IS NOT NULL) AS bad
   FROM members GROUP BY 1
   UNION ALL SELECT 'empty-' || c_custkey, 0, false FROM customer),
 verdicts AS (
@@ -254,11 +262,14 @@ verdicts AS (
 
 
 def batches(t: Tables):
-    """One batch per session, one per day (too many events) and empty ones."""
-    event = F.struct("event_id", "session_id", "event_type",
-                     F.col("user_id").cast("string").alias("_unused"))
-    members = t.std.select(F.col("session_id").alias("batch_id"), event.alias("e")).unionByName(
-        t.std.select(F.to_date("server_ts").cast("string").alias("batch_id"), event.alias("e")))
+    """One batch per session, batches that are too long, and empty ones."""
+    sent = t.std.select(
+        "n", "event_id", F.expr(_SENT_USER).alias("user_id"), "session_id", "event_type",
+        F.parse_json("properties").alias("properties"), F.expr(_SENT_TIME).alias("client_ts"))
+    event = F.struct(*[c for c in sent.columns if c != "n"]).alias("e")
+    long = F.expr(_LONG)
+    members = sent.select(F.col("session_id").alias("batch_id"), event).unionByName(
+        sent.filter(long % 10 == 0).select(F.concat(F.lit("long-"), long).alias("batch_id"), event))
     body = F.to_json(F.struct(F.collect_list("e").alias("events")))
     filled = members.groupBy("batch_id").agg(body.alias("body"))
     empty = t.customer.select(F.concat(F.lit("empty-"), "c_custkey").alias("batch_id"),
@@ -267,11 +278,16 @@ def batches(t: Tables):
 
 
 @query("explode_batch", _DUCK_BATCHES + """
-SELECT m.batch_id, m.event_id, m.event_type FROM members m JOIN verdicts v USING (batch_id)
+SELECT m.batch_id, m.event_id, m.user_id, m.session_id, m.event_type, m.client_ts,
+       CAST(json_extract(m.properties, '$.k') AS BIGINT) AS k
+FROM members m JOIN verdicts v USING (batch_id)
 WHERE v.reason IS NULL""", ("std",))
 def explode_batch(t: Tables):
     rows, _ = contract.explode_batches(batches(t))
-    return rows.select("batch_id", "event_id", "event_type")
+    return rows.select(
+        "batch_id", "event_id", "user_id", "session_id", "event_type",
+        F.col("client_ts").cast("string").alias("client_ts"),
+        F.get_json_object(F.col("properties").cast("string"), "$.k").cast("bigint").alias("k"))
 
 
 @query("explode_batch_rejected", _DUCK_BATCHES + """
@@ -389,7 +405,11 @@ def upsert_snapshot(t: Tables):
     store.upsert_snapshot(t.spark, path, early.withColumn(
         "value", (F.col("value") + wrong).cast("decimal(20,4)")), keys)
     late = users.dau_series(t.std, "2024-01-10", "2024-01-30", computed_at="2024-01-31")
-    table = store.upsert_snapshot(t.spark, path, late, keys)
+    # Each update also comes once more, older and wrong.
+    older = late.withColumns({
+        "value": (F.col("value") + 7).cast("decimal(20,4)"),
+        "computed_at": F.col("computed_at") - F.make_dt_interval(days=F.lit(1))})
+    table = store.upsert_snapshot(t.spark, path, late.unionByName(older), keys)
     return table.select(
         text("metric_date"), "name", F.col("value").cast("double").alias("value"),
         F.when(F.col("computed_at") > "2024-01-20", "second").otherwise("first")
@@ -453,7 +473,8 @@ FROM (SELECT *, lower(c_name) || '@example.com' AS email FROM customer)""")
 def insert_if_absent(t: Tables):
     known = t.users.filter("id % 2 = 0").select("email", "full_name")
     rows = t.users.select("email", F.lit("new").alias("full_name"))
-    return dedup.insert_if_absent(known, rows, "email")
+    again = t.users.select("email", F.lit("newer").alias("full_name"))
+    return dedup.insert_if_absent(known, rows.unionByName(again), "email")
 
 
 # -- reliability -------------------------------------------------------------------------------

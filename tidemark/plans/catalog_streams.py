@@ -8,15 +8,27 @@ from pyspark.sql import types as T
 from tidemark.plans.catalog import micros, query, text
 from tidemark.plans.catalog_ingest import scratch
 from tidemark.plans.testdata import STD_COLUMNS, Tables
-from tidemark.schemas import RAW_EVENTS
+from tidemark.schemas import MESSAGES, RAW_EVENTS
 from tidemark.sources import tables as store
 from tidemark.sources.events import read_event_stream
 from tidemark.streaming import ingest, live
 
 
+PARTS = 4
+
+
+def in_files(df: DataFrame, part, path: str, file_format: str = "parquet") -> str:
+    """Write the rows in `PARTS` files, one after another, for a stream to take one per batch."""
+    for i in range(PARTS):
+        df.filter(part == i).coalesce(1).write.format(file_format).save(f"{path}/part={i}")
+    return f"{path}/part=*"
+
+
 def raw_stream(t: Tables) -> DataFrame:
-    return read_event_stream(t.spark, t.folder, 1, RAW_EVENTS, "parquet",
-                             pathGlobFilter="events.parquet")
+    """The event table in time order, in several batches, so that state is carried over."""
+    week = F.least(F.lit(PARTS - 1), F.floor((F.dayofmonth("ts") - 1) / 8).cast("int"))
+    path = in_files(t.events, week, f"{scratch(t)}/files")
+    return read_event_stream(t.spark, path, 1, RAW_EVENTS, "parquet")
 
 
 def event_stream(t: Tables) -> DataFrame:
@@ -109,18 +121,73 @@ _DUCK_FINAL = """
 """
 
 
+def sent_twice(t: Tables) -> DataFrame:
+    sent = t.messages.select(F.col("message_id").cast("string").alias("message_id"), "data")
+    return sent.unionByName(sent.withColumn("message_id", F.concat("message_id", F.lit("-1"))))
+
+
 def ran(t: Tables) -> ingest.IngestTables:
     """The writer over all messages, landed as files, each of them sent twice."""
     path = scratch(t)
-    sent = t.messages.select(F.col("message_id").cast("string").alias("message_id"), "data")
-    again = sent.withColumn("message_id", F.concat("message_id", F.lit("-1")))
-    sent.unionByName(again).write.json(f"{path}/landing")
+    sent_twice(t).write.json(f"{path}/landing")
     out = ingest.IngestTables(f"{path}/tables")
     stream = read_event_stream(t.spark, f"{path}/landing", 4)
     ingest.run_ingest(stream, out, f"{path}/checkpoint", once=True).awaitTermination()
     return out
 
 
+@query("ingest_stream_restart", _DUCK_FINAL + """
+SELECT eid AS event_id, CAST(2 AS BIGINT) AS streams FROM final WHERE final_route = 'write'""",
+       ("classified",))
+def ingest_stream_restart(t: Tables):
+    """Two checkpoints write into the same tables: the second one starts its batches at 0 again and
+    gets every second message that the first one had, besides new ones."""
+    path = scratch(t)
+    out = ingest.IngestTables(f"{path}/tables")
+    number = F.split_part("message_id", F.lit("-"), F.lit(1)).cast("bigint")
+    first = (number % 3 == 0) | (number % 2 == 0)
+    for name, rows in (("first", sent_twice(t).filter(first)),
+                       ("second", sent_twice(t).filter(number % 2 == 0).unionByName(
+                           sent_twice(t).filter(~first)))):
+        rows.write.json(f"{path}/{name}")
+        stream = read_event_stream(t.spark, f"{path}/{name}", 4)
+        ingest.run_ingest(stream, out, f"{path}/checkpoint-{name}", once=True).awaitTermination()
+    rows = ingest.stored_events(t.spark, out)
+    streams = rows.select("stream").distinct().agg(F.count("*")).scalar()
+    return rows.select("event_id", streams.alias("streams"))
+
+
+@query("ingest_stream_retry", """
+, fate AS (
+  SELECT *, CASE WHEN verdict = 'ok' THEN 'event'
+                 WHEN delivery_count + 3 - message_id % 4 >= 5 THEN 'dead letter'
+                 ELSE 'waiting' END AS place,
+         least(5, delivery_count + 3 - message_id % 4) AS at_last FROM classified)
+SELECT place, CASE WHEN place = 'event' THEN NULL ELSE greatest(delivery_count, at_last) END
+           AS delivery_count, count(*) AS n
+FROM fate GROUP BY 1, 2""", ("classified",))
+def ingest_stream_retry(t: Tables):
+    """Messages with delivery counts in four batches: a bad one comes again with every later batch
+    until its fifth delivery. Each message is in one place at the end."""
+    path = scratch(t)
+    sent = t.messages.select(F.col("message_id").cast("string").alias("message_id"), "data",
+                             F.col("delivery_count").cast("int").alias("delivery_count"))
+    landing = in_files(sent, F.col("message_id").cast("bigint") % PARTS, f"{path}/landing", "json")
+    schema = T.StructType([*MESSAGES.fields, T.StructField("delivery_count", T.IntegerType())])
+    out = ingest.IngestTables(f"{path}/tables")
+    ingest.run_ingest(read_event_stream(t.spark, landing, 1, schema), out, f"{path}/checkpoint",
+                      once=True).awaitTermination()
+    count = F.col("delivery_count").cast("bigint")
+    places = (
+        ingest.stored_events(t.spark, out).select(F.lit("event").alias("place"),
+                                                  F.lit(None).cast("bigint").alias("delivery_count"))
+        .unionByName(ingest.dead_letters(t.spark, out).select(
+            F.lit("dead letter").alias("place"), count.alias("delivery_count")))
+        .unionByName(ingest.still_waiting(t.spark, out).select(
+            F.lit("waiting").alias("place"), count.alias("delivery_count"))))
+    return places.groupBy("place", "delivery_count").agg(F.count("*").alias("n"))
+
+
 @query("ingest_stream", _DUCK_FINAL + """
 SELECT eid AS event_id, session_id, event_type,
        CAST(json_extract(properties, '$.k') AS BIGINT) AS k

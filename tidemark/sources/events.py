@@ -33,19 +33,28 @@ def read_event_stream(spark: SparkSession, path: str, max_files_per_trigger: int
 
 def read_kafka_messages(spark: SparkSession, servers: str, topic: str,
                         max_per_trigger: int = 1_000_000, **options) -> DataFrame:
-    """A topic as `(message_id, data)`; needs the Kafka connector on the class path.
-
-    The id is unique over partitions and sorts by offset within one.
-    """
+    """A topic in the form of `topic_messages`; needs the Kafka connector on the class path."""
     raw = (
         spark.readStream.format("kafka")
         .options(**{"kafka.bootstrap.servers": servers, "subscribe": topic,
                     "startingOffsets": "earliest", "maxOffsetsPerTrigger": max_per_trigger,
                     **options}).load()
     )
+    return topic_messages(raw)
+
+
+def topic_messages(raw: DataFrame) -> DataFrame:
+    """Topic records as messages: `message_id`, `data` and what orders them.
+
+    Offsets of different partitions say nothing about time, so arrival is ordered by the broker's
+    time, then by partition and offset. The id is unique over partitions.
+    """
     return raw.select(
-        F.concat_ws("-", F.col("offset"), F.col("partition")).alias("message_id"),
+        F.concat_ws("-", F.col("partition"), F.col("offset")).alias("message_id"),
         F.col("value").cast("string").alias("data"),
+        F.col("timestamp").alias("arrival_ts"),
+        F.col("partition").cast("int").alias("topic_partition"),
+        F.col("offset").cast("bigint").alias("topic_offset"),
     )
 
 

@@ -1,6 +1,6 @@
 """Tables on plain Parquet folders: batch-addressed event table, versioned snapshot tables.
 
-Events:    `<path>/batch_id=<n>/event_date=<day>/*.parquet`
+Events:    `<path>/stream=<id>/batch_id=<n>/event_date=<day>/*.parquet`
 Snapshots: `<path>/version=<n>/*.parquet`, the newest complete version is the table.
 
 Both are safe to repeat: a batch replaces its own folder, a snapshot never overwrites the
@@ -14,55 +14,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import schemas
+from tidemark.functions import scalars as S
 from tidemark.operators import dedup
 from tidemark.session import delete_folder, materialized
+from tidemark.sources.batches import (  # noqa: F401
+    ADDRESS, Batch, children, complete, drop_batch, read_batch, read_batches, write_batch,
+)
 
 BATCHED_EVENTS = T.StructType([
-    *schemas.EVENTS.fields,
-    T.StructField("batch_id", T.LongType()),
-    T.StructField("event_date", T.DateType()),
+    *schemas.EVENTS.fields, *ADDRESS, T.StructField("event_date", T.DateType()),
 ])
 
 
-def _children(spark: SparkSession, path: str) -> list[str]:
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-
-
-def _complete(spark: SparkSession, path: str) -> bool:
-    return "_SUCCESS" in _children(spark, path)
-
-
-def read_batches(spark: SparkSession, path: str, schema: T.StructType,
-                 before: int | None = None) -> DataFrame:
-    """All batches of a table, or only those before a batch; empty if there are none."""
-    if not any(n.startswith("batch_id=") for n in _children(spark, path)):
-        return spark.createDataFrame([], schema)
-    df = spark.read.schema(schema).parquet(path)
-    return df if before is None else df.filter(F.col("batch_id") < before)
-
-
-def read_batch(spark: SparkSession, path: str, schema: T.StructType,
-               batch_id: int) -> DataFrame:
-    """One batch, without listing the other ones."""
-    return spark.read.schema(schema).option("basePath", path).parquet(
-        f"{path}/batch_id={batch_id}")
-
-
-def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = (),
-                **options) -> None:
-    """Write one batch's rows; writing the same batch again replaces them."""
-    df.write.mode("overwrite").options(**options).partitionBy(*partition_by).parquet(
-        f"{path}/batch_id={batch_id}")
-
-
-def drop_batch(spark: SparkSession, path: str, batch_id: int) -> None:
-    delete_folder(spark, f"{path}/batch_id={batch_id}")
-
-
-def read_stored_events(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+def read_stored_events(spark: SparkSession, path: str,
+                       before: Batch | int | None = None) -> DataFrame:
     return read_batches(spark, path, BATCHED_EVENTS, before)
 
 
@@ -72,22 +37,24 @@ def append_events(batch: DataFrame, target: DataFrame, key: str = "event_id",
     return dedup.first_new_events(batch, target, key, order)
 
 
-def write_events(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Add a batch to the event table, one folder per day, rows in time order within files.
+def write_events(rows: DataFrame, path: str, batch: Batch | int) -> None:
+    """Add a batch to the event table, one folder per day, rows in time order within files. An event
+    without an `id` gets one made of its event id.
 
     Rows are rebalanced by day: quiet days end in one file, a busy day is split by size. Time
     order keeps row-group ranges narrow for trailing-window reads; the bloom filter, sized by
     the ids of a file, lets a lookup by id skip row groups.
     """
-    names = {f.name for f in schemas.EVENTS.fields}
+    known = F.col("id").cast("string") if "id" in rows.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("id", F.coalesce(known, S.uuid_of(F.col("event_id").cast("string"))))
     full = rows.select(
         *[F.col(f.name).cast(f.dataType) if f.name in rows.columns
-          else F.lit(None).cast(f.dataType).alias(f.name)
-          for f in schemas.EVENTS.fields if f.name in names],
+          else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.EVENTS.fields],
         F.to_date("server_ts").alias("event_date"),
     )
     write_batch(
-        full.hint("rebalance", "event_date").sortWithinPartitions("event_date", "server_ts"), path, batch_id, ["event_date"],
+        full.hint("rebalance", "event_date").sortWithinPartitions(
+            "event_date", "server_ts"), path, batch, ["event_date"],
         **{"parquet.bloom.filter.enabled#event_id": "true",
            "parquet.bloom.filter.adaptive.enabled": "true"},
     )
@@ -95,9 +62,9 @@ def write_events(rows: DataFrame, path: str, batch_id: int) -> None:
 
 def snapshot_version(spark: SparkSession, path: str) -> int:
     """Number of the newest complete version, 0 if there is none."""
-    numbers = sorted((int(n.split("=")[1]) for n in _children(spark, path)
+    numbers = sorted((int(n.split("=")[1]) for n in children(spark, path)
                       if n.startswith("version=")), reverse=True)
-    return next((n for n in numbers if _complete(spark, f"{path}/version={n}")), 0)
+    return next((n for n in numbers if complete(spark, f"{path}/version={n}")), 0)
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -117,7 +84,7 @@ def upsert_snapshot(spark: SparkSession, path: str, updates: DataFrame,
     current = read_snapshot(spark, path, updates.schema)
     dedup.upsert(current, updates, keys).write.mode("overwrite").parquet(
         f"{path}/version={version + 1}")
-    for name in _children(spark, path):
+    for name in children(spark, path):
         if name.startswith("version=") and int(name.split("=")[1]) < version:
             delete_folder(spark, f"{path}/{name}")
     return read_snapshot(spark, path, updates.schema)
@@ -125,7 +92,7 @@ def upsert_snapshot(spark: SparkSession, path: str, updates: DataFrame,
 
 def read_by_day(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A snapshot table that is kept in one folder per day."""
-    if not _children(spark, path):
+    if not children(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
