@@ -4,8 +4,9 @@ The test items form an inverted index with BM25 impacts and, per term, the large
 block of items. Every document is cut into overlapping passages, and every passage is a query. An
 item is retrieved if the passage's terms reach a share of the score the item gives itself, so one
 threshold holds for short and long items. Block maxima summed over a passage's terms bound its
-score with any item of a block; passages whose bounds stay below the threshold need no more. The
-rest run block-max WAND. Retrieved items are verified by the share of the word n-grams of their
+score with any item of a block. Bounds over coarse blocks are summed for every passage, those over
+fine blocks for the passages that are left; in the blocks whose bounds reach the threshold, block-max
+WAND finds the items. Retrieved items are verified by the share of the word n-grams of their
 question and of their answer that the passage holds.
 
 The index covers a bounded number of items and goes to every task; larger benchmarks go through in
@@ -13,6 +14,7 @@ several passes over the documents.
 """
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +28,8 @@ from tidemark.llm.common import slices
 
 #: An index holds at most this many items and characters of text.
 MAX_ITEMS, MAX_CHARS = 4000, 4_000_000
-BLOCKS = 32
+#: Coarse blocks of an index, and items of a fine block.
+BLOCKS, BLOCK_ITEMS = 32, 2
 
 #: Words for retrieval and verification: letters, digits and bytes beyond ASCII, without marks.
 WORDS_ONLY = np.where(words.LETTERS_AND_MARKS == 1, 1, 0).astype(np.uint8)
@@ -80,8 +83,9 @@ class Index:
         self.ids = [items[i][0] for i in order]
         tokens = [tokens[i] for i in order]
         self.size = len(order)
-        self.block = max(1, -(-self.size // BLOCKS))
-        self.blocks = -(-self.size // self.block) if self.size else 0
+        coarse = BLOCK_ITEMS * max(1, -(-self.size // (BLOCKS * BLOCK_ITEMS)))
+        self.coarse = -(-self.size // coarse)
+        self.fine = -(-self.size // BLOCK_ITEMS)
         self.passage = max([limits.min_passage, *(2 * len(t) for t in tokens)])
         self.terms = np.unique(np.concatenate(tokens)) if tokens else np.zeros(0, np.uint64)
         n = max(1, self.size)
@@ -91,54 +95,81 @@ class Index:
                          minlength=len(self.terms))
         idf = np.log1p((self.size - df + 0.5) / (df + 0.5))
         postings: list[list] = [[] for _ in self.terms]
-        self.maxima = np.zeros((len(self.terms), self.blocks), np.float32)
+        self.maxima = np.zeros((len(self.terms), self.coarse), np.float32)
         for i, (terms, tf) in enumerate(counted):
             impact = idf[terms] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(tokens[i]) / average))
             impact /= impact.sum()
             for t, x in zip(terms, impact):
-                postings[t].append((i, x))
-            rows = self.maxima[terms, i // self.block]
-            self.maxima[terms, i // self.block] = np.maximum(rows, impact)
+                postings[t].append((i, float(x)))
+            rows = self.maxima[terms, i // coarse]
+            self.maxima[terms, i // coarse] = np.maximum(rows, impact)
         self.postings = [([i for i, _ in p], [x for _, x in p]) for p in postings]
+        self.upper = [max(x) for _, x in self.postings]
+        self.in_block: list[dict[int, float]] = []
+        for who, impacts in self.postings:
+            most: dict[int, float] = {}
+            for i, x in zip(who, impacts):
+                most[i // BLOCK_ITEMS] = max(x, most.get(i // BLOCK_ITEMS, 0.0))
+            self.in_block.append(most)
+        # The same block maxima as arrays, term after term.
+        self.block_ends = np.append(0, np.cumsum([len(b) for b in self.in_block])).astype(np.int64)
+        self.block_of = np.array([b for m in self.in_block for b in m], np.int64)
+        self.block_max = np.array([x for m in self.in_block for x in m.values()])
         texts = _hashes([x for i in order for x in parts[i]])
         self.questions = [_grams(x, limits.ngram) for x in texts[::2]]
         self.answers = [_grams(x, limits.ngram) for x in texts[1::2]]
         self.lengths = [(len(q), len(a)) for q, a in zip(texts[::2], texts[1::2])]
         self.everything = [_grams(t, limits.ngram) for t in tokens]
 
-    def retrieve(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """Items whose score with a set of terms reaches the share, by block-max WAND."""
+    def block_bounds(self, passage: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+        """Bounds of `n` passages, given their distinct terms, with the items of each fine block."""
+        sizes = self.block_ends[term + 1] - self.block_ends[term]
+        who = np.repeat(passage, sizes)
+        at = np.arange(len(who)) + np.repeat(
+            self.block_ends[term] - np.append(0, np.cumsum(sizes)[:-1]), sizes)
+        sums = np.bincount(who * self.fine + self.block_of[at], weights=self.block_max[at],
+                           minlength=n * self.fine)
+        return sums.reshape(n, self.fine)
+
+    def retrieve(self, terms, blocks=None) -> list[tuple[int, float]]:
+        """Items whose score with distinct terms reaches the share, by block-max WAND. With `blocks`,
+        only items in these fine blocks, in ascending order, are looked at."""
         share = self.limits.share - 1e-9
-        cursors = [[0, t] for t in terms]
+        blocks = range(self.fine) if blocks is None else blocks
+        lists = [(self.postings[t], self.upper[t], self.in_block[t]) for t in map(int, terms)]
+        cursors = [0] * len(lists)
         out = []
         while True:
-            heads = sorted((self.postings[t][0][at], t, c) for c, (at, t) in enumerate(cursors)
-                           if at < len(self.postings[t][0]))
+            heads = sorted((lists[c][0][0][at], c) for c, at in enumerate(cursors)
+                           if at < len(lists[c][0][0]))
             bound, pivot = 0.0, None
-            for item, t, _ in heads:
-                bound += float(self.maxima[t].max())
+            for item, c in heads:
+                bound += lists[c][1]
                 if bound >= share:
                     pivot = item
                     break
             if pivot is None:
                 return out
-            block = pivot // self.block
-            near = [(t, c) for item, t, c in heads if item <= pivot]
-            if sum(float(self.maxima[t, block]) for t, _ in near) < share:
+            block = pivot // BLOCK_ITEMS
+            wanted = bisect_left(blocks, block)
+            if wanted == len(blocks):
+                return out
+            near = [c for item, c in heads if item <= pivot]
+            if blocks[wanted] != block:
+                near, target = [c for _, c in heads], blocks[wanted] * BLOCK_ITEMS
+            elif sum(lists[c][2].get(block, 0.0) for c in near) < share:
                 # No item up to the block's end, or the next head, can reach it.
-                later = [item for item, _, _ in heads if item > pivot]
-                target = min([(block + 1) * self.block, *later])
+                target = min([(block + 1) * BLOCK_ITEMS,
+                              *(item for item, _ in heads[len(near):])])
             elif heads[0][0] == pivot:
-                score = sum(self.postings[t][1][cursors[c][0]] for item, t, c in heads
-                            if item == pivot)
+                score = sum(lists[c][0][1][cursors[c]] for item, c in heads if item == pivot)
                 if score >= share:
                     out.append((pivot, score))
                 target = pivot + 1
             else:
                 target = pivot
-            for _, c in near:
-                at, t = cursors[c]
-                cursors[c][0] = at + int(np.searchsorted(self.postings[t][0][at:], target))
+            for c in near:
+                cursors[c] = bisect_left(lists[c][0][0], target, cursors[c])
 
     def overlaps(self, item: int, passage: np.ndarray) -> tuple[float, float, float]:
         """Shares of the n-grams of question, answer and all that a passage's words hold."""
@@ -176,7 +207,8 @@ def build_index(items: list[tuple[int, str]], limits: Limits) -> Index:
 
 
 def _passages(index: Index, doc: np.ndarray, hashes: np.ndarray):
-    """(text number, first word, end word) of the passages whose block bounds reach the share.
+    """(text number, first word, end word, terms, fine blocks) of the passages whose bounds reach the
+    share in some blocks.
 
     A passage is two neighbouring halves of a text, so each run of words up to half a passage long
     lies in one passage as a whole.
@@ -184,30 +216,40 @@ def _passages(index: Index, doc: np.ndarray, hashes: np.ndarray):
     half = index.passage // 2
     starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     within = np.arange(len(doc)) - np.repeat(starts, np.diff(np.append(starts, len(doc))))
-    new = np.append(True, (doc[1:] != doc[:-1]) | (within[1:] % half == 0))
-    piece = np.cumsum(new) - 1
-    term = np.searchsorted(index.terms, hashes)
-    term[term == len(index.terms)] = 0
-    hit = index.terms[term] == hashes
-    pairs = np.unique(piece[hit] * len(index.terms) + term[hit])
-    piece_of, term_of = np.divmod(pairs, len(index.terms))
-    edges = np.flatnonzero(new)
+    edges = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (within[1:] % half == 0)))
     ends = np.append(edges[1:], len(doc))
-    bounds = np.zeros((len(edges), index.blocks), np.float32)
-    step = 1 << 16
-    for a in range(0, len(pairs), step):
-        who = piece_of[a:a + step]
+    size = len(index.terms)
+    term = np.searchsorted(index.terms, hashes)
+    term[term == size] = 0
+    hit = np.flatnonzero(index.terms[term] == hashes)
+    pairs = words.distinct((np.searchsorted(edges, hit, "right") - 1) * size + term[hit])
+    piece_of, term_of = np.divmod(pairs, size)
+    bounds = np.zeros((len(edges), index.coarse), np.float32)
+    for a in range(0, len(pairs), 1 << 16):
+        who = piece_of[a:a + (1 << 16)]
         first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
-        bounds[who[first]] += np.add.reduceat(index.maxima[term_of[a:a + step]], first)
-    joined = doc[edges[1:]] == doc[edges[:-1]]
-    double = bounds.copy()
-    double[:-1][joined] += bounds[1:][joined]
+        bounds[who[first]] += np.add.reduceat(index.maxima[term_of[a:a + (1 << 16)]], first)
+    joined = np.append(doc[edges[1:]] == doc[edges[:-1]], False)
+    bounds[:-1][joined[:-1]] += bounds[1:][joined[:-1]]
     # A last half is part of the passage before it, unless it is a text's only one.
-    only = np.append(True, ~joined) & np.append(~joined, True)
-    wanted = (double.max(1) >= index.limits.share - 1e-4) & (np.append(joined, False) | only)
-    for k in np.flatnonzero(wanted):
-        last = k + 1 if k + 1 < len(edges) and doc[edges[k + 1]] == doc[edges[k]] else k
-        yield int(doc[edges[k]]), int(edges[k]), int(ends[last])
+    only = ~joined & ~np.append(False, joined[:-1])
+    share = index.limits.share
+    wanted = np.flatnonzero((bounds.max(1) >= share - 1e-4) & (joined | only))
+    first_pair = np.searchsorted(piece_of, np.arange(len(edges) + 1))
+    for a in range(0, len(wanted), 2048):
+        part = wanted[a:a + 2048]
+        last = part + joined[part]
+        low, high = first_pair[part], first_pair[last + 1]
+        who = np.repeat(np.arange(len(part)), high - low)
+        at = np.arange(len(who)) + np.repeat(low - np.append(0, np.cumsum(high - low)[:-1]),
+                                             high - low)
+        distinct = words.distinct(who * size + term_of[at])
+        who, terms = np.divmod(distinct, size)
+        fine = index.block_bounds(who, terms, len(part)) >= share - 1e-9
+        for i in np.flatnonzero(fine.any(1)):
+            yield (int(doc[edges[part[i]]]), int(edges[part[i]]), int(ends[last[i]]),
+                   terms[np.searchsorted(who, i):np.searchsorted(who, i, "right")],
+                   np.flatnonzero(fine[i]).tolist())
 
 
 def search(index: Index, texts: pa.Array) -> dict[tuple[int, int], tuple]:
@@ -219,12 +261,9 @@ def search(index: Index, texts: pa.Array) -> dict[tuple[int, int], tuple]:
     if not len(doc):
         return found
     limits = index.limits
-    for text, a, b in _passages(index, doc, hashes):
+    for text, a, b, terms, blocks in _passages(index, doc, hashes):
         passage = hashes[a:b]
-        terms = np.unique(passage)
-        at = np.searchsorted(index.terms, terms)
-        at[at == len(index.terms)] = 0
-        for item, score in index.retrieve(np.unique(at[index.terms[at] == terms])):
+        for item, score in index.retrieve(terms, blocks):
             question, answer, whole = index.overlaps(item, passage)
             if min(question, answer) >= limits.overlap or whole >= limits.whole:
                 best = found.get((text, item))

@@ -170,3 +170,9 @@ def unique_per_text(doc: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np
         values[a:b].sort()
     keep = np.append(True, (doc[1:] != doc[:-1]) | (values[1:] != values[:-1]))
     return doc[keep], values[keep]
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; a sort, which is quicker here than hashing."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])[:len(values)]]
