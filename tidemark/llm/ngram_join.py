@@ -266,8 +266,8 @@ def ngram_components(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Da
     Reads columns `doc_id` (integer) and `text`; other columns are ignored. Words are what white
     space (space, tab to carriage return) separates, lower-cased A-Z only. A text with fewer words
     than `n_words` has one n-gram of all its words. Returns a row per input row:
-    doc_id, n_shingles (size of the set), component_id (smallest doc_id that links reach), and the
-    digest of the set (`hi`, `lo`).
+    doc_id, n_shingles (size of the set), component_id (smallest doc_id that links reach), the digest of
+    the set (`hi`, `lo`) and the digest of the set that names the component (`best_hi`, `best_lo`).
 
     A null text and a text without words have an empty set, which links with nothing: component_id
     is the row's own doc_id. Rows with equal sets are linked, repeated rows are all returned. Rows
@@ -290,23 +290,23 @@ def ngram_components(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Da
         roots = _linked(rows, limit, percent, tables)
 
         one = ["hi", "lo", "n"]
-        classes = sets.filter("n > 0").groupBy(*one).agg(F.min("doc_id").alias("least"))
-        numbered = rows.select("cid", *one)
-        joined = tables.table(
-            roots.withColumnRenamed("node", "cid").join(numbered, "cid").join(classes, one)
-            .select("root", *one, "least")
-            .union(roots.select("root").distinct().withColumn("cid", F.col("root"))
-                   .join(numbered, "cid").join(classes, one).select("root", *one, "least")))
-        names = joined.groupBy("root").agg(F.min("least").alias("name"))
-        named = joined.join(names, "root").select(*one, "name")
-        labels = classes.join(named, one, "left").select(
-            *one, F.coalesce("name", "least").alias("component_id"))
-        repeated = sets.filter("n > 0").groupBy(*one).count().filter("count > 1").select(*one)
-        several = labels.join(repeated, one, "left_semi").union(
-            labels.join(repeated, one, "left_anti").join(named, one, "left_semi"))
-        out = sets.select("doc_id", "n", "hi", "lo").join(several, one, "left").select(
+        row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hi", "lo")
+        full = sets.filter("n > 0")
+        classes = full.groupBy(*one).agg(F.min(row).alias("least"), F.count("*").alias("rows"))
+        linked = roots.withColumnRenamed("node", "cid").union(
+            roots.select("root", "root").distinct().toDF("cid", "root"))
+        joined = tables.table(linked.join(rows.select("cid", *one), "cid").join(classes, one)
+                              .select("root", *one, "least"))
+        names = joined.groupBy("root").agg(F.min("least").alias("best"))
+        named = joined.join(names, "root").select(*one, "best")
+        # Sets of one row that link with nothing need no label.
+        labels = named.union(classes.filter("rows > 1").join(named, one, "left_anti")
+                             .select(*one, F.col("least").alias("best")))
+        out = sets.select("doc_id", "n", "hi", "lo").join(labels, one, "left").select(
             "doc_id", F.col("n").cast("long").alias("n_shingles"),
-            F.coalesce("component_id", "doc_id").alias("component_id"), "hi", "lo")
+            F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
+            .alias("component_id"), "hi", "lo",
+            F.coalesce("best.hi", "hi").alias("best_hi"), F.coalesce("best.lo", "lo").alias("best_lo"))
         return keep(out)
 
 
@@ -435,12 +435,9 @@ def one_per_component(docs: DataFrame, n_words: int = 5, percent: int = 80) -> D
     no column but `doc_id` and `text`; clashing names of helper columns do not matter.
     """
     found = ngram_components(docs, n_words, percent)
-    group = F.struct("component_id", *[F.when(F.col("component_id").isNull(), F.col(c)).alias(c)
-                                       for c in ("n_shingles", "hi", "lo")])
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hi", "lo")
-    best = found.groupBy(group.alias("g")).agg(F.min(row).alias("best"))
-    marked = (found.withColumn("g", group).withColumn("row", row).join(best, "g")
-              .withColumn("stays", F.col("row") == F.col("best")))
+    marked = found.withColumn(
+        "stays", F.col("doc_id").eqNullSafe(F.col("component_id"))
+        & (F.col("hi") == F.col("best_hi")) & (F.col("lo") == F.col("best_lo")))
     ids = marked.groupBy("doc_id").agg(F.count("*").alias("rows"),
                                        F.max("stays").alias("stays"))
     several = ids.filter("doc_id is null or rows > 1").select(F.col("doc_id").alias("_several"))

@@ -58,7 +58,7 @@ def terms(texts: pa.Array, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct(doc: np.ndarray, term: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    pair = np.unique(doc << bits | term)
+    pair = words.distinct(doc << bits | term)
     return pair >> bits, pair & ((1 << bits) - 1)
 
 
