@@ -48,6 +48,27 @@ def keep(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).table(df)
 
 
+def _cut(texts: pa.Array, at: int, size: int) -> int:
+    """The row up to which the texts from row `at` on hold about `size` bytes, one row at least."""
+    low, high = at + 1, len(texts)
+    while low < high:
+        middle = (low + high + 1) // 2
+        if texts.slice(at, middle - at).nbytes <= size:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def pieces(texts: pa.Array, size: int = 1 << 20) -> Iterator[pa.Array]:
+    """Texts cut into runs of about `size` bytes at most, or one text."""
+    at = 0
+    while at < len(texts):
+        end = _cut(texts, at, size)
+        yield texts.slice(at, end - at)
+        at = end
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str,
            size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a text column holds about `size` bytes at most, or one row."""
@@ -55,14 +76,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str,
         i = batch.schema.get_field_index(column)
         at = 0
         while at < batch.num_rows:
-            # Offsets of the text column grow with the rows, so the cut is found by halving.
-            low, high = at + 1, batch.num_rows
-            texts = batch.column(i)
-            while low < high:
-                mid = (low + high + 1) // 2
-                if texts.slice(at, mid - at).nbytes <= size:
-                    low = mid
-                else:
-                    high = mid - 1
-            yield batch.slice(at, low - at)
-            at = low
+            end = _cut(batch.column(i), at, size)
+            yield batch.slice(at, end - at)
+            at = end

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import words
-from tidemark.llm.common import slices
+from tidemark.llm.common import pieces, slices
 from tidemark.llm.samples import held_out, labelled
 
 _FEATURES = "doc_id long, y int, at array<int>, value array<float>"
@@ -148,10 +148,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality",
 
 
 def scores(texts: pa.Array, weights: np.ndarray, settings: Settings) -> np.ndarray:
-    doc, feature = features(texts, settings.bits)
-    rows = len(texts)
-    total = np.maximum(np.bincount(doc, minlength=rows), 1)
-    dot = np.bincount(doc, weights=weights[feature], minlength=rows) * settings.scale / total
+    out = []
+    for part in pieces(texts):
+        doc, feature = features(part, settings.bits)
+        total = np.maximum(np.bincount(doc, minlength=len(part)), 1)
+        dot = np.bincount(doc, weights=weights[feature], minlength=len(part))
+        out.append(dot * settings.scale / total)
+    dot = np.concatenate(out) if out else np.zeros(0)
     return 1 / (1 + np.exp(-np.clip(dot + weights[-1], -35, 35)))
 
 
