@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import contract, reliability
 
@@ -77,7 +78,10 @@ def test_properties_keep_their_shape(spark):
     ({"user_id": "x"}, ["user_id"]), ({"event_id": None}, ["event_id"]),
     ({"properties": [1]}, ["properties"]), ({"properties": None}, ["properties"]),
     ({"client_ts": "yesterday"}, ["client_ts"]), ({"session_id": 5}, ["session_id"]),
-    ({"client_ts": 1700000000}, []),
+    ({"client_ts": 1700000000}, []), ({"client_ts": 99999999}, []), ({"client_ts": -5}, []),
+    ({"client_ts": 12345678.5}, []), ({"client_ts": 17040672000000}, []),
+    ({"client_ts": 1704067200000}, []), ({"client_ts": 10 ** 15}, ["client_ts"]),
+    ({"client_ts": "1704067200"}, []), ({"client_ts": "20240101"}, []),
 ])
 def test_strict_form(spark, change, want):
     df = contract.validate_event(contract.decode_envelope(messages(spark, {**GOOD, **change})))
@@ -150,3 +154,21 @@ def test_dead_letters_wrap_unreadable_text(spark):
     assert got["0"] == ("invalid_payload", {"_raw": "{bad", "_parse_error": True})
     assert got["1"] == ("invalid_payload", {})
     assert got["2"][0] == "exception:ValueError" and got["2"][1]["user_id"] == "x"
+
+
+def test_filters_reach_the_scan_below_the_verdict(spark, tmp_path):
+    path = str(tmp_path / "m")
+    messages(spark, GOOD, {**GOOD, "event_id": "x"}).withColumn(
+        "n", F.col("message_id").cast("int")).write.parquet(path)
+    rows = contract.classify_for_write(contract.decode_envelope(spark.read.parquet(path)))
+    plan = spark._jvm.PythonSQLUtils.explainString(
+        rows.filter("n > 0 and verdict = 'ok'")._jdf.queryExecution(), "formatted")
+    assert "GreaterThan(n,0)" in plan
+    assert rows.filter("verdict = 'ok'").count() == 1
+
+
+def test_address_hashes_must_fit(spark):
+    rows = contract.classify_for_write(contract.decode_envelope(
+        messages(spark, {**GOOD, "ip_hash": "a" * 64}, {**GOOD, "ip_hash": "a" * 65})))
+    got = [r[0] for r in rows.orderBy("message_id").select("verdict").collect()]
+    assert got == ["ok", "exception:DBAPIError"]

@@ -106,3 +106,31 @@ def test_snapshot_versions(spark, tmp_path):
     # a version without its success mark was never published
     (tmp_path / "snap" / "version=3").mkdir()
     assert tables.snapshot_version(spark, path) == 2
+
+
+def test_rows_without_a_key_are_no_replays(spark):
+    df = arrivals(spark, (None, 0, 1), (None, 0, 1), ("a", 1, 2), ("a", 0, 3))
+    assert sorted((r["event_id"], r["v"]) for r in dedup.dedup_first(df).collect()
+                  if r["event_id"]) == [("a", 3)]
+    assert dedup.dedup_first(df).count() == 3
+    none = df.limit(0)
+    for options in ({"mode": "sync"}, {"mode": "async", "claim_ttl_seconds": 60}):
+        got = dedup.ingest_outcome(df.dropDuplicates(), none, **options).collect()
+        assert [r["deduplicated"] for r in got if r["event_id"] is None] == [False]
+
+
+def test_insert_if_absent_inserts_a_key_once(spark):
+    known = spark.createDataFrame([("a", "old")], "email string, name string")
+    rows = spark.createDataFrame([("b", "y"), ("b", "x"), ("a", "new"), (None, "n"), (None, "n")],
+                                 known.schema)
+    got = sorted(map(tuple, dedup.insert_if_absent(known, rows, "email").collect()), key=str)
+    assert got == [("a", "old"), ("b", "x"), (None, "n"), (None, "n")]
+
+
+def test_the_newest_of_repeated_updates_wins(spark):
+    columns = "k string, value int, computed_at timestamp"
+    old = spark.createDataFrame([("a", 1, T0), ("z", 9, T0)], columns)
+    updates = spark.createDataFrame(
+        [("a", 2, T0 + timedelta(hours=1)), ("a", 3, T0), ("b", 4, T0), ("b", 5, T0)], columns)
+    got = sorted((r["k"], r["value"]) for r in dedup.upsert(old, updates, "k").collect())
+    assert got == [("a", 2), ("b", 5), ("z", 9)]

@@ -54,3 +54,20 @@ def test_retained_days_never_hold_fewer(spark):
         kept = reliability.retain_newest(df, n)
         assert {r["d"] for r in kept.collect()} == days
     assert reliability.retain_newest(df, 7, exact=True).count() == 7
+
+
+def test_exact_retention_with_ties_and_missing_times(spark):
+    times = [datetime(2024, 1, d, h, 0, 0, us) for d in (1, 2, 3) for h in (3, 3, 20)
+             for us in (0, 0, 7)] + [None, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "n int, server_ts timestamp_ntz")
+    order = sorted(((t or datetime(1, 1, 1), str(i)) for i, t in enumerate(times)), reverse=True)
+    for n in (1, 2, 5, 9, 10, 14, 27, 28, 50):
+        kept = reliability.retain_newest(df, n, exact=True)
+        assert kept.columns == df.columns
+        assert sorted(str(r["n"]) for r in kept.collect()) == sorted(i for _, i in order[:n])
+
+
+def test_ids_that_are_no_numbers_have_an_order(spark):
+    df = spark.createDataFrame([("b",), ("10",), ("a",), ("9-3",), ("9",)], "message_id string")
+    got = [r[0] for r in df.orderBy(reliability.message_order("message_id")).collect()]
+    assert got == ["a", "b", "9", "9-3", "10"]

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tidemark.operators import retention, users
 from tidemark.sources import keys, tables
 from tidemark.sources.batches import Batch
-from tidemark.sources.events import read_event_stream, read_events
+from tidemark.plans import snapshots
+from tidemark.plans.summary import metrics_summary
+from tidemark.sources.events import read_event_stream, read_events, topic_messages
 from tidemark.streaming import ingest, live
 
 EVENT = "00000000-0000-4000-8000-{:012d}"
@@ -229,3 +231,68 @@ def test_dedup_within_the_claim_time(spark, tmp_path, live_events):
              .trigger(availableNow=True).start())
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "o")).count() == 300
+
+
+def test_topic_messages_arrive_in_the_order_of_the_broker(spark, tmp_path):
+    body = [message(i, 1, session_id=s)["data"] for i, s in enumerate(("late", "first", "later"))]
+    t0 = datetime(2024, 1, 1)
+    raw = spark.createDataFrame(
+        [(body[0].encode(), 0, 1, t0 + timedelta(seconds=5)), (body[1].encode(), 1, 900, t0),
+         (body[2].encode(), 1, 901, t0 + timedelta(seconds=9))],
+        "value binary, partition int, offset long, timestamp timestamp")
+    rows = topic_messages(raw)
+    assert {r["message_id"] for r in rows.collect()} == {"0-1", "1-900", "1-901"}
+    out = ingest.IngestTables(str(tmp_path))
+    ingest.write_messages(rows, out, 0)
+    one = ingest.stored_events(spark, out).collect()
+    assert [(r["session_id"], r["server_ts"]) for r in one] == [("first", t0)]
+
+
+def plan_of(spark, df):
+    return spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+@pytest.fixture
+def month(spark, tmp_path):
+    rows = spark.createDataFrame(event_rows(800), SCHEMA)
+    tables.write_events(rows, str(tmp_path / "e"), 0)
+    return rows, read_events(spark, str(tmp_path / "e"))
+
+
+def test_the_summary_reads_nine_days(spark, month):
+    rows, events = month
+    seen = retention.first_seen(rows)
+    as_of = "2024-01-20 12:00:00"
+    one = metrics_summary(events, as_of, seen=seen)
+    assert "PartitionFilters: [isnotnull(event_date" in plan_of(spark, one)
+    assert one.first() == metrics_summary(rows, as_of).first()
+
+
+def test_stored_snapshots_answer_without_events(spark, month, tmp_path):
+    rows, events = month
+    seen = retention.first_seen(rows)
+    days = spark.createDataFrame([(date(2024, 1, d),) for d in (1, 2, 30)], "cohort_date date")
+    windows = days.selectExpr("cohort_date AS window_start", "date_add(cohort_date, 2) AS window_end")
+    reads = {
+        "dau": lambda p: snapshots.daily_users(
+            events, days.withColumnRenamed("cohort_date", "metric_date"), p, "2024-02-01"),
+        "funnel": lambda p: snapshots.funnel_windows(events, windows, p, "2024-02-01",
+                                                     ["view", "order"]),
+        "retention": lambda p: snapshots.cohort_retention(events, seen, days, p, "2024-02-01"),
+    }
+    for name, read in reads.items():
+        path = str(tmp_path / name)
+        first = read(path)
+        assert {r["source"] for r in first.collect()} == {"computed"}
+        again = read(path)
+        assert {r["source"] for r in again.collect()} == {"database"}
+        assert str(tmp_path / "e") not in plan_of(spark, again)
+        drop = ["source", "computed_at"]
+        assert sorted(first.drop(*drop).collect()) == sorted(again.drop(*drop).collect())
+    got = {r["cohort_date"]: r for r in reads["retention"](str(tmp_path / "retention")).collect()}
+    want = {r["cohort_date"]: r for r in retention.retention_series(rows).collect()}
+    one = date(2024, 1, 1)
+    assert (got[one]["cohort_size"], got[one]["d7_rate"]) == (
+        want[one]["cohort_size"], want[one]["d7_rate"])
+    assert got[date(2024, 1, 30)]["cohort_size"] == 0
+

@@ -79,3 +79,25 @@ def test_error_rate_without_requests(spark):
     from pyspark.sql import functions as F
     df = spark.range(1).select(telemetry.error_rate(F.lit(0), F.lit(0)).alias("e"))
     assert df.first()["e"] == "0%"
+
+
+def test_crowded_slots_are_cut_further(spark, monkeypatch):
+    monkeypatch.setattr(telemetry, "_SLOT_ROWS", 20)
+    rng = random.Random(5)
+    rows = [(g, rng.random() * 1e-4 if rng.random() < 0.9 else 0.5) for g in "ab" for _ in range(900)]
+    rows += [("c", 0.25)] * 100
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = telemetry.exact_percentiles(df, "v", {"p50": 0.5, "p95": 0.95}, ["g"], 1.0).collect()
+    for r in got:
+        values = [v for g, v in rows if g == r["g"]]
+        assert r["p50"] == pytest.approx(np.percentile(values, 50), rel=1e-12)
+        assert r["p95"] == pytest.approx(np.percentile(values, 95), rel=1e-12)
+    assert len(got) == 3
+
+
+def test_reports_have_no_task_for_all_groups(spark):
+    df = telemetry.endpoint_report(log(spark, (0, "/a", 200, 1.0), (9, "/b", 500, 2.0)))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(specifiedwindowframe" not in plan
+    assert {(r["name"], r["requests"], r["rps"]) for r in df.collect()} == {
+        ("GET /a", 1, 1 / 9), ("GET /b", 1, 1 / 9)}

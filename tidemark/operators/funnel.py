@@ -56,16 +56,18 @@ def funnel_for_windows(events: DataFrame, windows: DataFrame,
                        ts_col: str = "server_ts", type_col: str = "event_type") -> DataFrame:
     """Counts for many `(window_start, window_end)` rows in one scan.
 
-    Events are first reduced to one row per user and day; the windows are spelled out as days,
-    so the match is an equality on the day. Windows without events give zeros.
+    Only the days of the windows are read. Events are reduced to one row per user and day; the
+    windows are spelled out as days, so the match is an equality on the day. Windows without events give zeros.
     """
-    per_day = (
-        known_users(events, user_col).filter(F.col(type_col).isin(*steps))
-        .groupBy(event_day(events, ts_col).alias("_day"), user_col).agg(*_flags(steps, type_col))
-    )
     keys = ["window_start", "window_end"]
     days = windows.select(
         *keys, F.explode(F.sequence("window_start", "window_end")).alias("_day"))
+    per_day = (
+        known_users(events, user_col).filter(F.col(type_col).isin(*steps))
+        .withColumn("_day", event_day(events, ts_col))
+        .join(days.select("_day").distinct(), "_day", "left_semi")
+        .groupBy("_day", user_col).agg(*_flags(steps, type_col))
+    )
     counted = (
         per_day.join(days, "_day")
         .groupBy(*keys, user_col).agg(*[F.max(s).alias(s) for s in steps])

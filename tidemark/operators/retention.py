@@ -69,6 +69,32 @@ def retention(events: DataFrame, cohort_day, user_col: str = "user_id",
     return _with_rates(counts.select(day.alias("cohort_date"), "*"))
 
 
+def retention_for_cohorts(events: DataFrame, seen: DataFrame, cohorts: DataFrame,
+                          user_col: str = "user_id", ts_col: str = "server_ts") -> DataFrame:
+    """Retention of a table of `cohort_date`s, given the first-seen table.
+
+    Reads the events of the two days on which a cohort may come back and no others. An empty cohort
+    gives zeros.
+    """
+    wanted = cohorts.select("cohort_date").distinct()
+    members = seen.select(user_col, S.utc_day("first_ts").alias("cohort_date")).join(
+        wanted, "cohort_date", "left_semi")
+    due = wanted.select("cohort_date", F.explode(F.array(F.lit(1), F.lit(7))).alias("_age")).select(
+        "cohort_date", "_age", F.date_add("cohort_date", F.col("_age")).alias("_day"))
+    active = (
+        known_users(events, user_col).select(user_col, event_day(events, ts_col).alias("_day"))
+        .join(due.select("_day").distinct(), "_day", "left_semi").distinct()
+    )
+    back = active.join(due, "_day").join(members, [user_col, "cohort_date"]).groupBy(
+        "cohort_date").agg(F.count_if(F.col("_age") == 1).alias("d1_retained"),
+                           F.count_if(F.col("_age") == 7).alias("d7_retained"))
+    sizes = members.groupBy("cohort_date").agg(F.count("*").alias("cohort_size"))
+    counts = wanted.join(sizes, "cohort_date", "left").join(back, "cohort_date", "left")
+    return _with_rates(counts.select("cohort_date", *[
+        F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+        for c in ("cohort_size", "d1_retained", "d7_retained")]))
+
+
 def retention_series(events: DataFrame, user_col: str = "user_id", ts_col: str = "server_ts",
                      as_of=None) -> DataFrame:
     """Retention of every cohort day that has members, in one pass.

@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import activity, directory, funnel, retention, users
-from tidemark.plans import readthrough
+from tidemark.plans import readthrough, snapshots
 from tidemark.plans.catalog import query, text
+from tidemark.plans.catalog_ingest import scratch
 from tidemark.plans.summary import metrics_summary
 from tidemark.plans.testdata import Tables
+from tidemark.session import materialize
 
 STEPS = ["view", "search", "add_to_cart", "order"]
 
@@ -192,7 +194,7 @@ def events_total(t: Tables):
     return activity.events_total(t.std)
 
 
-@query("metrics_summary", _DUCK_FUNNEL.rstrip() + _DUCK_SEEN + """
+_DUCK_SUMMARY = _DUCK_FUNNEL.rstrip() + _DUCK_SEEN + """
 SELECT (SELECT count(DISTINCT user_id) FROM std
         WHERE CAST(server_ts AS DATE) = (SELECT CAST(t AS DATE) FROM now)) AS dau_today,
        (SELECT count(*) FROM std) AS events_total,
@@ -202,9 +204,20 @@ SELECT (SELECT count(DISTINCT user_id) FROM std
        coalesce(c.cohort_size, 0) AS cohort_size, coalesce(c.d1_retained, 0) AS d1_retained,
        coalesce(c.d7_retained, 0) AS d7_retained, coalesce(c.d1_rate, 0) AS d1_rate,
        coalesce(c.d7_rate, 0) AS d7_rate
-FROM k LEFT JOIN s c ON c.cohort_date = '2024-01-22'""", ("std", "now"))
+FROM k LEFT JOIN s c ON c.cohort_date = '2024-01-22'"""
+
+
+@query("metrics_summary", _DUCK_SUMMARY, ("std", "now"))
 def summary(t: Tables):
-    one = metrics_summary(t.std, t.now)
+    return summary_row(metrics_summary(t.std, t.now))
+
+
+@query("metrics_summary_with_first_seen", _DUCK_SUMMARY, ("std", "now"))
+def summary_with_first_seen(t: Tables):
+    return summary_row(metrics_summary(t.std, t.now, seen=retention.first_seen(t.std)))
+
+
+def summary_row(one):
     step = [F.element_at("funnel.steps", i + 1)["count"].alias(s) for i, s in enumerate(STEPS)]
     return one.select(
         "dau_today", "events_total", "events_last_minute", *step, "retention.cohort_size",
@@ -323,6 +336,68 @@ def epm_read_through(t: Tables):
     return readthrough.read_epm(t.std, cache, t.now)
 
 
+# -- stored snapshots --------------------------------------------------------------------------
+# Each is read twice: the first read computes and stores what is missing, the second one finds all.
+
+def read_twice(t: Tables, keys: list[str], read):
+    path = f"{scratch(t)}/snapshots"
+    first = materialize(read(path, True))
+    second = read(path, False)
+    return second.join(first.select(*keys, F.col("source").alias("first_source")), keys, "left")
+
+
+@query("stored_dau", """
+SELECT CAST(CAST(server_ts AS DATE) AS VARCHAR) AS metric_date,
+       count(DISTINCT user_id) AS dau, 'database' AS source,
+       CASE WHEN CAST(server_ts AS DATE) <= DATE '2024-01-15' THEN 'computed' END AS first_source
+FROM std GROUP BY 1, CAST(server_ts AS DATE)
+HAVING CAST(server_ts AS DATE) <= DATE '2024-01-15'""", ("std",))
+def stored_dau(t: Tables):
+    days = t.std.select(F.to_date("server_ts").alias("metric_date")).distinct().filter(
+        "metric_date <= '2024-01-15'")
+    out = read_twice(t, ["metric_date"], lambda path, _: snapshots.daily_users(
+        t.std, days, path, AS_OF))
+    return out.select(text("metric_date"), "dau", "source", "first_source")
+
+
+@query("stored_funnel", """
+, w AS (SELECT DISTINCT CAST(server_ts AS DATE) AS window_start FROM std),
+x AS (SELECT window_start, window_start + 6 AS window_end FROM w)
+SELECT CAST(window_start AS VARCHAR) AS window_start, CAST(window_end AS VARCHAR) AS window_end,
+       count(DISTINCT CASE WHEN event_type = 'view' THEN user_id END) AS "view",
+       count(DISTINCT CASE WHEN event_type = 'search' THEN user_id END) AS search,
+       count(DISTINCT CASE WHEN event_type = 'add_to_cart' THEN user_id END) AS add_to_cart,
+       count(DISTINCT CASE WHEN event_type = 'order' THEN user_id END) AS "order",
+       CASE WHEN window_start <= DATE '2024-01-10' THEN 'database' ELSE 'computed' END AS source,
+       CASE WHEN window_start <= DATE '2024-01-10' THEN 'computed' END AS first_source
+FROM x LEFT JOIN std ON CAST(server_ts AS DATE) BETWEEN window_start AND window_end
+GROUP BY 1, 2, x.window_start""", ("std",))
+def stored_funnel(t: Tables):
+    """The first read asks for ten windows, the second one for all."""
+    windows = t.std.select(F.to_date("server_ts").alias("window_start")).distinct().withColumn(
+        "window_end", F.date_add("window_start", 6).cast("date"))
+    out = read_twice(t, ["window_start", "window_end"], lambda path, first: snapshots.funnel_windows(
+        t.std, windows.filter("window_start <= '2024-01-10'") if first else windows, path, AS_OF))
+    return out.select(text("window_start"), text("window_end"), *STEPS, "source", "first_source")
+
+
+@query("stored_retention", _DUCK_SEEN + """
+, days AS (SELECT DISTINCT CAST(server_ts AS DATE) AS d FROM std)
+SELECT CAST(d AS VARCHAR) AS cohort_date, coalesce(cohort_size, 0) AS cohort_size,
+       coalesce(d1_retained, 0) AS d1_retained, coalesce(d7_retained, 0) AS d7_retained,
+       coalesce(d1_rate, 0) AS d1_rate, coalesce(d7_rate, 0) AS d7_rate,
+       'database' AS source, 'computed' AS first_source, d <= DATE '2024-01-23' AS complete
+FROM days LEFT JOIN s ON s.cohort_date = CAST(days.d AS VARCHAR)""", ("std",))
+def stored_retention(t: Tables):
+    days = t.std.select(F.to_date("server_ts").alias("cohort_date")).distinct()
+    seen = retention.first_seen(t.std)
+    out = read_twice(t, ["cohort_date"], lambda path, _: snapshots.cohort_retention(
+        t.std, seen, days, path, AS_OF))
+    return out.select(text("cohort_date"), "cohort_size", "d1_retained", "d7_retained",
+                      as_double("d1_rate"), as_double("d7_rate"), "source", "first_source",
+                      "complete")
+
+
 # -- users and lookups -------------------------------------------------------------------------
 
 @query("users_with_role", """

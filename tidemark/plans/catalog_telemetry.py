@@ -239,12 +239,48 @@ def ruled(t: Tables):
     return quota.quota_scopes(log, "t", ["n"], {"ip": 30, "user": 12, "events": 5})
 
 
-@query("quota_scopes")
+def _scope(name: str, rows: str, owner: str, limit: int) -> str:
+    """One scope in SQL: its requests in order per owner, then one request per step."""
+    return f"""
+r_{name} AS (SELECT n, t, {owner} AS k,
+                    row_number() OVER (PARTITION BY {owner} ORDER BY n) AS i FROM {rows}),
+q_{name} AS (SELECT k, i, n, t, [t] AS st, true AS allowed, CAST(1 AS BIGINT) AS cnt
+             FROM r_{name} WHERE i = 1
+             UNION ALL
+             SELECT x.k, x.i, x.n, x.t,
+                    CASE WHEN len(x.f) < {limit} THEN list_append(x.f, x.t) ELSE x.f END,
+                    len(x.f) < {limit},
+                    CAST(least(len(x.f) + 1, {limit}) AS BIGINT)
+             FROM (SELECT r.k, r.i, r.n, r.t, list_filter(q.st, lambda v: v > r.t - 60000) AS f
+                   FROM q_{name} q JOIN r_{name} r ON r.k = q.k AND r.i = q.i + 1) x)"""
+
+
+_DUCK_SCOPES = f"""
+, log AS (SELECT n, n * 50 AS t, ip, user_id, event_write FROM access_log),
+{_scope("ip", "log", "ip", 30)},
+l_user AS (SELECT log.* FROM log JOIN q_ip q ON q.n = log.n WHERE q.allowed),
+{_scope("user", "(SELECT * FROM l_user WHERE user_id IS NOT NULL)", "user_id", 12)},
+l_events AS (SELECT l.* FROM l_user l LEFT JOIN q_user q ON q.n = l.n
+             WHERE coalesce(q.allowed, true)),
+{_scope("events", "(SELECT * FROM l_events WHERE event_write)",
+        "coalesce(CAST(user_id AS VARCHAR), ip)", 5)},
+ruled AS (
+  SELECT log.n, CASE WHEN NOT i.allowed THEN 'ip' WHEN NOT u.allowed THEN 'user'
+                     WHEN NOT e.allowed THEN 'events' END AS denied_scope,
+         30 - i.cnt AS ip_remaining, 12 - u.cnt AS user_remaining, 5 - e.cnt AS events_remaining
+  FROM log LEFT JOIN q_ip i ON i.n = log.n LEFT JOIN q_user u ON u.n = log.n
+       LEFT JOIN q_events e ON e.n = log.n)
+"""
+
+
+@query("quota_scopes", _DUCK_SCOPES + "SELECT * FROM ruled", ("access_log",), recursive=True)
 def quota_scopes(t: Tables):
     return ruled(t).select("n", "denied_scope", "ip_remaining", "user_remaining",
                            "events_remaining")
 
 
-@query("quota_hits_by_scope")
+@query("quota_hits_by_scope", _DUCK_SCOPES + """
+SELECT denied_scope AS scope, count(*) AS n FROM ruled WHERE denied_scope IS NOT NULL GROUP BY 1""",
+       ("access_log",), recursive=True)
 def quota_hits_by_scope(t: Tables):
     return telemetry.quota_hits_by_scope(ruled(t))

@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.functions import scalars as S
+from tidemark.operators.users import in_days, since
 
 
 def metrics_summary(events: DataFrame, as_of, steps: Sequence[str] = config.FUNNEL_STEPS,
                     user_col: str = "user_id", ts_col: str = "server_ts",
-                    type_col: str = "event_type") -> DataFrame:
+                    type_col: str = "event_type", seen: DataFrame | None = None) -> DataFrame:
     """Users today, all events, events of the last minute, the funnel of the last seven days and
     the retention of the cohort of eight days ago.
 
     Every figure is a sum over users of something one user contributes, so one aggregate per
     user feeds them all: one scan, one shuffle of one small row per user. Anonymous events form
     the NULL group, which counts events only.
+
+    With a first-seen table only the last nine days of events are read, and all of them are
+    counted from the row counts of the files.
     """
     now = S.at(as_of)
     today = F.to_date(now)
@@ -29,7 +33,10 @@ def metrics_summary(events: DataFrame, as_of, steps: Sequence[str] = config.FUNN
         return F.max(F.when(cond, 1).otherwise(0))
 
     in_funnel = day.between(F.date_sub(today, 6), today)
-    per_user = events.groupBy(user_col).agg(
+    recent = events
+    if seen is not None:
+        recent = since(events, F.date_sub(today, 8).cast(events.schema[ts_col].dataType), ts_col)
+    per_user = recent.groupBy(user_col).agg(
         F.count("*").alias("_events"),
         F.count_if(F.col(ts_col) >= S.before(as_of, 60, "secs")).alias("_minute"),
         flag(day == today).alias("_today"),
@@ -39,13 +46,19 @@ def metrics_summary(events: DataFrame, as_of, steps: Sequence[str] = config.FUNN
         flag(day == F.date_add(cohort, 7)).alias("_d7"),
     )
     member = known & (F.col("_first") == cohort)
+    if seen is not None:
+        new = in_days(seen, cohort, cohort, "first_ts").select(user_col).withColumn(
+            "_new", F.lit(True))
+        per_user = per_user.join(new, user_col, "left")
+        member = F.coalesce(F.col("_new"), F.lit(False))
 
     def total(value: Column, cond: Column) -> Column:
         return F.coalesce(F.sum(F.when(cond, value)), F.lit(0))
 
     sums = per_user.agg(
         total(F.col("_today"), known).alias("dau_today"),
-        F.coalesce(F.sum("_events"), F.lit(0)).alias("events_total"),
+        (F.coalesce(F.sum("_events"), F.lit(0)) if seen is None
+         else events.agg(F.count("*")).scalar()).alias("events_total"),
         F.coalesce(F.sum("_minute"), F.lit(0)).cast("double").alias("events_last_minute"),
         *[total(F.col(f"_step_{s}"), known).alias(s) for s in steps],
         F.count_if(member).alias("cohort_size"),

@@ -27,6 +27,32 @@ PAYLOAD_FIELDS = [
     "user_agent",
 ]
 
+# The stored metrics: a row per day, metric and set of dimensions; per window; per cohort.
+DAILY_METRICS = T.StructType([
+    T.StructField("metric_date", T.DateType()),
+    T.StructField("name", T.StringType()),
+    T.StructField("dimensions", T.StringType()),
+    T.StructField("dim_hash", T.StringType()),
+    T.StructField("value", T.DecimalType(20, 4)),
+    T.StructField("computed_at", T.TimestampType()),
+])
+RETENTION_SNAPSHOTS = T.StructType([
+    T.StructField("cohort_date", T.DateType()),
+    *[T.StructField(n, T.LongType()) for n in ("cohort_size", "d1_retained", "d7_retained")],
+    *[T.StructField(n, T.DecimalType(8, 4)) for n in ("d1_rate", "d7_rate")],
+    T.StructField("computed_at", T.TimestampType()),
+])
+
+
+def funnel_snapshots(steps) -> T.StructType:
+    return T.StructType([
+        T.StructField("window_start", T.DateType()),
+        T.StructField("window_end", T.DateType()),
+        *[T.StructField(s, T.LongType()) for s in steps],
+        T.StructField("computed_at", T.TimestampType()),
+    ])
+
+
 MESSAGES = T.StructType([
     T.StructField("message_id", T.StringType()),
     T.StructField("data", T.StringType()),
