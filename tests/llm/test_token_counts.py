@@ -25,7 +25,7 @@ def texts():
             random.randrange(0xD000), random.randrange(0xE000, 0x1FFFF), 32, 10, 0x85, 0xA0, 0x2028]))
 
     return ["", "a", "a" * 12, "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext",
-            "  \n\n  x ", "é" * 50, " " * 100 + "x", "don't we'll I'M", "!" * 999, "ab" * 500,
+            "  \n\n  x ", "é" * 50, "a\u0558b \u088f1 \U00018d80x \U0003d000", "\U000323b0" * 9, " " * 100 + "x", "don't we'll I'M", "!" * 999, "ab" * 500,
             "".join(random.choice("abcdefgh") for _ in range(20_000))] + [
         "".join(letter() for _ in range(random.randrange(60))) for _ in range(3000)]
 

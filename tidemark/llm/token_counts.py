@@ -19,6 +19,24 @@ from tidemark.llm.common import slices
 #: Fixed value: how byte-level BPE vocabularies of this family split text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Code points that `regex` knows as letters or numbers, but the tables of the
+#: library's pre-tokenizer do not yet; there they are neither.
+UNKNOWN = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC),
+    (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4),
+    (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F),
+    (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3),
+    (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20),
+    (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128),
+    (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81),
+    (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF),
+    (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479),
+    (0x3D000, 0x3FC3F),
+)
+
 #: Distinct pre-tokens whose counts a task remembers between batches.
 REMEMBERED = 500_000
 SYMBOLS_AT_ONCE = 1 << 20
@@ -123,10 +141,18 @@ class Counter:
 
     def __init__(self, merges: Merges):
         self.merges, self.known = merges, {}
-        self.split = regex.compile(SPLIT)
+        self.pattern = regex.compile(SPLIT)
+        self.unknown = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in UNKNOWN) + "]")
         self.special = (regex.compile("|".join(map(regex.escape, merges.specials)))
                         if merges.specials else None)
 
+    def split(self, text: str) -> list[str]:
+        if text.isascii() or self.unknown.search(text) is None:
+            return self.pattern.findall(text)
+        # U+E000 is neither letter nor number nor space; only the places of the cuts are taken.
+        shown = self.unknown.sub("\ue000", text)
+        return [text[m.start():m.end()] for m in self.pattern.finditer(shown)]
+
     def _learn(self, pieces: list[str]) -> None:
         # Sequences of like length leave in like rounds, and keep the arrays in bounds.
         encoded = sorted(((p.encode(), p) for p in pieces), key=lambda x: len(x[0]))
@@ -151,7 +177,7 @@ class Counter:
                 parts = self.special.split(text)
             pieces: list[str] = []
             for part in parts:
-                pieces += self.split.findall(part)
+                pieces += self.split(part)
             split.append(pieces)
             extra.append(specials)
         new = set().union(*split).difference(self.known) if split else set()
