@@ -134,3 +134,19 @@ def test_the_newest_of_repeated_updates_wins(spark):
         [("a", 2, T0 + timedelta(hours=1)), ("a", 3, T0), ("b", 4, T0), ("b", 5, T0)], columns)
     got = sorted((r["k"], r["value"]) for r in dedup.upsert(old, updates, "k").collect())
     assert got == [("a", 2), ("b", 5), ("z", 9)]
+
+
+def test_claims_of_a_key_replayed_without_end(spark):
+    seconds = [*range(0, 400_000, 97), *range(86_395, 86_405), 1_000_000, 1_086_399, 1_086_400]
+    rows = [("hot", T0 + timedelta(seconds=s)) for s in sorted(set(seconds))]
+    rows += [(f"k{i}", T0 + timedelta(hours=i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "event_id string, arrival_ts timestamp_ntz")
+    got = dedup.claims(df, "event_id", "arrival_ts", 86_400).collect()
+    want, last = set(), None
+    for key, at in rows:
+        if key != "hot" or last is None or at >= last + timedelta(days=1):
+            want.add((key, at))
+            last = at if key == "hot" else last
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    plan = dedup.claims(df, "event_id", "arrival_ts", 86_400)._jdf.queryExecution().toString()
+    assert "Window" not in plan

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.functions import scalars as S
-from tidemark.operators import quota
+from tidemark.session import materialize
 
 
 def _list(names: str | Sequence[str]) -> list[str]:
@@ -98,15 +98,11 @@ def ingest_outcome(incoming: DataFrame, target: DataFrame, mode: str = "async",
     single timestamp column.
     """
     taken = "accepted" if mode == "sync" else "queued"
+    order = _list(order)
     if claim_ttl_seconds is not None and mode != "sync":
-        ruled = quota.sliding_quota(
-            incoming.withColumn("_ms", S.epoch_ms(_list(order)[0])), key, "_ms", limit=1,
-            window_ms=claim_ttl_seconds * 1000, order=_list(order))
-        is_taken = F.col("allowed")
-        out = ruled.withColumn("deduplicated", ~is_taken & F.col(key).isNotNull())
-        out = out.drop("_ms", "allowed", "count", "reset_s")
+        first = claims(incoming, key, order[0], claim_ttl_seconds).withColumn(
+            "_taken", F.lit(True))
     else:
-        order = _list(order)
         if len(order) == 1:
             first = incoming.groupBy(key).agg(F.min(order[0]).alias(order[0]))
         else:
@@ -114,14 +110,38 @@ def ingest_outcome(incoming: DataFrame, target: DataFrame, mode: str = "async",
             first = first.select(key, "_first.*")
         first = _without(first, stored_keys(target, incoming, key), key).withColumn(
             "_taken", F.lit(True))
-        out = incoming.join(first, [key, *order], "left").withColumn(
-            "deduplicated", F.col("_taken").isNull() & F.col(key).isNotNull()).drop("_taken")
+    out = incoming.join(first, [key, *order], "left").withColumn(
+        "deduplicated", F.col("_taken").isNull() & F.col(key).isNotNull()).drop("_taken")
     return out.withColumns({
         "status": F.when(F.col("deduplicated"), "deduplicated").otherwise(taken),
         "mode": F.lit(mode),
     })
 
 
+def claims(arrivals: DataFrame, key: str, ts: str, ttl_seconds: int) -> DataFrame:
+    """(key, time) of the arrivals that claim their key: the first one, and every first one after
+    the claim before it has run out.
+
+    The first claims come from one aggregate. Only keys that arrive again after the claim time are
+    followed further: each round finds their next claim by one more aggregate, which Spark reduces
+    before the shuffle, so a key that is replayed without end costs a row per task and round.
+    There are as many rounds as claim times between the first and the last arrival of a key.
+    """
+    ttl = F.make_dt_interval(secs=F.lit(ttl_seconds))
+    known = arrivals.select(key, ts).filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    spans = known.groupBy(key).agg(F.min(ts).alias("_at"), F.max(ts).alias("_last"))
+    long = materialize(spans.filter(F.col("_last") >= F.col("_at") + ttl).select(key, "_at"))
+    taken = spans.select(key, F.col("_at").alias(ts))
+    if long.isEmpty():
+        return taken
+    later = materialize(known.join(long, key).filter(F.col(ts) >= F.col("_at") + ttl).select(key, ts))
+    while not long.isEmpty():
+        after = later.join(long, key).filter(F.col(ts) >= F.col("_at") + ttl)
+        long = materialize(after.groupBy(key).agg(F.min(ts).alias("_at")))
+        taken = taken.unionByName(long.select(key, F.col("_at").alias(ts)))
+    return taken
+
+
 def batch_outcome(outcomes: DataFrame, by: str | Sequence[str]) -> DataFrame:
     """Accepted (queued ones included) and deduplicated counts per batch."""
     return outcomes.groupBy(*_list(by)).agg(
