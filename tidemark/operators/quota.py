@@ -17,7 +17,7 @@ ending at t:
    answered from U(t) alone.
 4. The recurrence is solved run by run while the sorted points stream through tasks. A run with
    more points than one task should see is solved piece after piece: each piece is a step of its
-   own that gets the last two windows of the one before.
+   own that gets the last two windows before it.
 """
 
 import sys
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config
-from tidemark.session import materialize
+from tidemark.session import delete_folder, materialize, new_folder
 
 # Python workers get the solver itself and need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -197,24 +197,40 @@ def _solve_runs(runs: DataFrame, keys: list[str], window_ms: int,
         return rows.repartition(*by).sortWithinPartitions(*by, "_t").mapInPandas(
             solve, out_schema)
 
-    sizes = runs.groupBy(*by).agg(F.count("*").alias("points"),
-                                  (F.max("_t") - F.col("_run") + 1).alias("ms"))
-    largest = sizes.agg(F.max("points"), F.max_by("ms", "points"), F.max("ms")).first()
-    points, ms, longest = (v or 0 for v in largest)
-    if points <= points_per_piece:
+    largest = runs.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= points_per_piece:
         return solved(runs)
 
-    piece_ms = max(2 * window_ms, ms * points_per_piece // points)
-    since = F.col("_t") - F.col("_run")
-    done, latest = None, None
-    for n in range(-(-longest // piece_ms)):
-        rows = runs.filter((since >= n * piece_ms) & (since < (n + 1) * piece_ms))
-        if latest is not None:
-            past = latest.filter(since >= n * piece_ms - 2 * window_ms).drop("_denied")
-            rows = rows.unionByName(past)
-        latest = materialize(solved(rows))
-        done = latest if done is None else done.unionByName(latest)
-    return done
+    # Slices of one window are gathered into pieces by their points, and every piece is written to a
+    # folder of its own, so that a step reads no more than it solves.
+    spark = runs.sparkSession
+    slices = runs.withColumn("_slice", F.floor((F.col("_t") - F.col("_run")) / window_ms))
+    counts = slices.groupBy(*by, "_slice").agg(F.count("*").alias("_points"))
+    before = F.sum("_points").over(Window.partitionBy(*by).orderBy("_slice")) - F.col("_points")
+    pieces = materialize(counts.withColumn(
+        "_piece", F.floor(before / points_per_piece).cast("int")).drop("_points"))
+    starts = pieces.groupBy(*by, "_piece").agg(
+        (F.min("_slice") * window_ms + F.col("_run") - 2 * window_ms).alias("_since"))
+    folder = new_folder(spark)
+    same = [slices[c].eqNullSafe(pieces[c]) for c in [*by, "_slice"]]
+    slices.join(pieces, same).select(*[slices[c] for c in runs.columns], "_piece").write.partitionBy(
+        "_piece").parquet(f"{folder}/in")
+
+    def recent(rows: DataFrame, n: int) -> DataFrame:
+        """The last two windows before piece `n` of each run that goes on."""
+        return rows.join(starts.filter(F.col("_piece") == n), by).filter(
+            F.col("_t") >= F.col("_since")).select(*runs.columns)
+
+    past = None
+    steps = pieces.agg(F.max("_piece")).first()[0] + 1
+    for n in range(steps):
+        rows = spark.read.schema(runs.schema).parquet(f"{folder}/in/_piece={n}")
+        done = f"{folder}/out/step={n}"
+        solved(rows if past is None else rows.unionByName(past)).write.parquet(done)
+        latest = spark.read.schema(out_schema).parquet(done).drop("_denied")
+        past = materialize(recent(latest if past is None else latest.unionByName(past), n + 1))
+    delete_folder(spark, f"{folder}/in")
+    return spark.read.schema(out_schema).parquet(*[f"{folder}/out/step={n}" for n in range(steps)])
 
 
 def _after_denials(points: DataFrame, denied: DataFrame, keys: list[str], window_ms: int,

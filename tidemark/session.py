@@ -67,8 +67,12 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+
+
 def _write_aside(df: DataFrame) -> str:
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return path
 
