@@ -23,12 +23,19 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/llm/{uuid.uuid4().hex}"
         self.count = 0
+        self.paths: dict[int, str] = {}
 
     def table(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = path
+        return table
+
+    def drop(self, table: DataFrame) -> None:
+        """Delete a table that nothing reads any more."""
+        delete_folder(self.spark, self.paths.pop(id(table)))
 
     def close(self) -> None:
         delete_folder(self.spark, self.root)

@@ -41,9 +41,13 @@ BLOCK_ROWS, TILE_ROWS, TILE_GRAMS = 1024, 256, 1 << 16
 _SETS = "doc_id long, n int, hi long, lo long, z int, own_all int, own_zone int, once array<long>, twice array<long>"
 
 
+#: The zone's share of all columns, as a multiple of the share in which a linked pair may differ.
+ZONE = 1.75
+
+
 def zone_limit(percent: int) -> int:
-    """Hashes below it are in the zone: twice the share in which a linked pair may differ."""
-    return int(min(1.0, 2 * (100 - percent) / 100) * 2.0 ** 64) if percent > 50 else 2 ** 64
+    """Hashes below it are in the zone."""
+    return int(min(1.0, ZONE * (100 - percent) / 100) * 2.0 ** 64)
 
 
 def _in_zone(values: np.ndarray, limit: int) -> np.ndarray:
@@ -280,8 +284,10 @@ def ngram_components(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text"))
     with scratch(spark) as tables:
-        sets = tables.table(docs.mapInArrow(_first_pass(n_words, limit, percent), _SETS))
-        left = _candidates(sets, limit, percent)
+        first = tables.table(docs.mapInArrow(_first_pass(n_words, limit, percent), _SETS))
+        left = tables.table(_candidates(first, limit, percent))
+        sets = tables.table(first.select("doc_id", "n", "hi", "lo"))
+        tables.drop(first)  # its columns of n-grams are most of what is on disk
         texts = docs.join(left, docs["doc_id"].eqNullSafe(left["id"]), "left_semi").select("text")
         rows = tables.table(
             texts.mapInArrow(_full_rows(n_words), "hi long, lo long, n int, grams array<long>")
