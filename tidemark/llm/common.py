@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.session import delete_folder, shared_dir
 
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 
 
 class Scratch:
