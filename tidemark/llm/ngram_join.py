@@ -359,13 +359,12 @@ def _columns(rows: DataFrame, limit: int, percent: int) -> DataFrame:
         (F.col("n") * percent <= SMALL_SET * 100) | (F.size("zone") <= F.col("slack"))).select(
         F.lit(1).alias("order"), "cid", "n", "slack", F.col("grams").alias("cols"))
     both = cut.union(whole)
-    flat = both.select("order", "cid", F.explode("cols").alias("col"))
+    flat = both.select("order", "cid", "n", "slack", F.size("cols").alias("all"),
+                       F.explode("cols").alias("col"))
     held = flat.groupBy("order", "col").agg(F.count("*").alias("df")).filter("df > 1")
-    rare = (flat.join(held, ["order", "col"])
-            .groupBy("order", "cid").agg(F.sort_array(F.collect_list(F.struct("df", "col")))
-                                         .alias("met")))
-    return (both.select("order", "cid", "n", "slack", F.size("cols").alias("all"))
-            .join(rare, ["order", "cid"])
+    same = [F.first(c).alias(c) for c in ("n", "slack", "all")]
+    return (flat.join(held, ["order", "col"]).groupBy("order", "cid")
+            .agg(*same, F.sort_array(F.collect_list(F.struct("df", "col"))).alias("met"))
             # Columns of this set alone come first in the order and meet nothing.
             .withColumn("take", F.col("slack") + 1 - (F.col("all") - F.size("met")))
             .filter("take > 0")
