@@ -27,6 +27,7 @@ START, ROLE_END, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<start_of_turn>",
            "<end_of_turn>")
 
+_FIRST = tuple(sorted({c[0] for c in CONTROL}))
 _GUARD = re.compile("|".join(rf"({re.escape(c[0])})(\\*)({re.escape(c[1:])})" for c in CONTROL))
 _MESSAGE = re.compile(r"<\|im_start\|>(.*?)<\|im_sep\|>(.*?)<\|im_end\|>\n", re.S)
 _PLACEHOLDER = re.compile(r"<\|(image|audio|document):(\d+)\|>")
@@ -39,7 +40,7 @@ _FORMATTED = ("segment string, loss_start long, loss_end long, n_tokens long, "
 
 def escape(text: str) -> str:
     """Put one more backslash into every control string, escaped or not, so that it is undone."""
-    return _GUARD.sub(lambda m: "\\".join(_pieces(m)), text)
+    return text if _harmless(text) else _GUARD.sub(lambda m: "\\".join(_pieces(m)), text)
 
 
 def unescape(text: str) -> str:
@@ -47,7 +48,12 @@ def unescape(text: str) -> str:
     def plain(m):
         head, slashes, tail = (g for g in m.groups() if g is not None)
         return head + slashes[1:] + tail
-    return _GUARD.sub(plain, text)
+    return text if _harmless(text) else _GUARD.sub(plain, text)
+
+
+def _harmless(text: str) -> bool:
+    """Whether a text has no letter that a control string starts with."""
+    return not any(c in text for c in _FIRST)
 
 
 def _pieces(m) -> tuple[str, str]:
