@@ -127,3 +127,13 @@ def test_scopes_equal_model(spark):
            for r in quota.quota_scopes(df, "t", ["n"], limits, window).collect()}
     assert got == want
     assert {w[0] for w in want.values()} == {None, "ip", "user", "events"}
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    from tidemark.session import clear_intermediate, materialize, shared_dir
+    from tidemark.sources.batches import children
+
+    assert materialize(spark.range(3)).count() == 3
+    assert children(spark, f"{shared_dir(spark)}/tables")
+    clear_intermediate(spark)
+    assert children(spark, f"{shared_dir(spark)}/tables") == []

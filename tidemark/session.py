@@ -81,11 +81,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write a result that several later steps read to the shared folder and read it back.
 
     Unlike cached blocks it survives the loss of executors, and later filters reach the files.
-    The table stays until the shared folder is cleared, as its readers are lazy.
+    The table stays until `clear_intermediate`, as its readers are lazy.
     """
     return df.sparkSession.read.schema(df.schema).parquet(_write_aside(df))
 
 
+def clear_intermediate(spark: SparkSession) -> None:
+    """Delete all intermediate tables in the shared folder. Results that were computed from them and
+    are still lazy can no longer be read, so write or collect those first."""
+    delete_folder(spark, f"{shared_dir(spark)}/tables")
+
+
 @contextmanager
 def materialized(df: DataFrame) -> Iterator[DataFrame]:
     """The same for a result whose readers have all finished inside the block."""
