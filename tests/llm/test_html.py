@@ -82,3 +82,106 @@ def test_repetition_and_options_are_found():
         "ul ( li # /li )+ /ul ( p # )?", "ul ( li # /li )? /ul ( p # )?",
         "ul ( ( li # /li )+ )? ( li # /li )? /ul ( p # )?")
     assert wrappers.slots(wrapper) >= 2
+
+
+def texts_of(spark, rows):
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_text.extract_text(frame).collect()}
+
+
+def test_text_that_all_pages_of_a_host_repeat_is_no_content(spark):
+    def html(i):
+        related = "<ul><li>Top stories</li><li>Our shop</li></ul>" if i % 2 else ""
+        return (f"<body><article><h2>Report</h2><p>Follow us here</p><p>own words {i} of the page</p>"
+                f"{related}</article></body>")
+
+    rows = [(i, "http://big/", html(i)) for i in range(12)]
+    # Copies of one page tell nothing, nor do a few pages, nor text that is most of its page.
+    rows += [(100 + i, "http://copies/", html(0)) for i in range(12)]
+    rows += [(200 + i, "http://few/", html(2 * i)) for i in range(4)]
+    rows += [(300 + i, "http://license/", f"<article><p>{'same words ' * 30}</p><p>{i}</p></article>")
+             for i in range(12)]
+    got = texts_of(spark, rows)
+    assert {i: got[i] for i in range(12)} == {
+        i: f"Report\nown words {i} of the page" for i in range(12)}
+    assert all(got[100 + i] == "Report\nFollow us here\nown words 0 of the page" for i in range(12))
+    assert all("Follow us here" in got[200 + i] for i in range(4))
+    assert all(got[300 + i] == "same words " * 29 + f"same words\n{i}" for i in range(12))
+
+
+def test_pages_without_an_article_keep_their_own_content(spark):
+    def html(inner):
+        return f"<body><div class=menu>Menu</div>{inner}<div class=x>tiny</div></body>"
+
+    rows, want = [], {}
+    for i in range(9):  # two templates on a host, the second with a container of its own per page
+        words = f"{i} has words " * 10
+        if i % 3:
+            rows.append((i, "http://two/", html(f"<div class=content><p>{words}</p></div>")))
+        else:
+            rows.append((i, "http://two/", html(f"<div id=post-{i}x class=post><p>{words}</p></div>")))
+        want[i] = words.strip()
+    for i in range(10, 16):
+        rows.append((i, "http://ids/", html(f"<div id=p{i}>{f'body {i} ' * 10}</div>")))
+        want[i] = (f"body {i} " * 10).strip()
+    for i in range(20, 26):  # an article in sibling containers
+        parts = [f"<div class=section{k}>{f'part {i} {k} ' * (9 - 4 * k)}</div>" for k in range(2)]
+        rows.append((i, "http://parts/", html("<div class=text>" + "".join(parts) + "</div>")))
+        want[i] = "\n".join((f"part {i} {k} " * (9 - 4 * k)).strip() for k in range(2))
+    assert texts_of(spark, rows) == want
+
+
+def test_ids_of_pages_do_not_make_shapes_or_lists_of_paths(spark):
+    rows = [(i, "http://hot/", f"<article id=post-{i} class='post p-{i}'><div class=n{i}>text {i}</div>"
+             + "<p>more" * (i % 5) + "</article>") for i in range(300)]
+    rows += [(1000 + i, "http://hot/", f"<div id=d{i}>plain {i}</div>") for i in range(300)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    shapes = {" ".join(html_text.read_page(h)[0]) for _, _, h in rows}
+    assert len(shapes) == 6
+    host = html_text.infer_wrappers(frame).first()
+    assert host.n_pages == 600 and len(host.wrapper.split()) < 60
+    known = html_text.classify(frame).collect()
+    assert len(known) == 1 and len(known[0].containers) <= html_text.CONTAINERS
+    got = {r.page_id: r.text for r in html_text.extract_text(frame).collect()}
+    assert got == {i: "\n".join([f"text {i}"] + ["more"] * (i % 5)) for i in range(300)} | {
+        1000 + i: f"plain {i}" for i in range(300)}
+
+
+def test_groups_of_shapes_align_and_match():
+    rng = random.Random(9)
+    for _ in range(100):
+        shapes = [[rng.choice("abcd#") for _ in range(rng.randint(0, 12))] for _ in range(9)]
+        parts = []
+        for k in range(3):
+            wrapper = None
+            for shape in shapes[k::3]:
+                wrapper = wrappers.generalise(wrapper, wrappers.fold(shape))
+            parts.append(wrapper)
+        whole = None
+        for part in parts:
+            whole = wrappers.generalise(whole, part)
+        matcher = wrappers.Matcher(whole)
+        assert all(matcher.fits(wrappers.Matcher(part)) for part in parts)
+        for shape in shapes:
+            places = matcher.match(shape)
+            assert [matcher.leaves[i] for i in places] == shape
+        for _ in range(20):
+            shape = [rng.choice("abcd#") for _ in range(rng.randint(0, 6))]
+            line = "".join(t + " " for t in shape)
+            accepted = re.fullmatch(wrappers.pattern(parts[0]), line) is not None
+            one = wrappers.Matcher(parts[0])
+            assert (one.match(shape) is not None) == accepted
+            assert one.fits(wrappers.Matcher(tuple(shape))) == accepted
+
+
+def test_only_hidden_parts_are_hidden(spark):
+    shown = ["style='overflow:hidden'", "class=overflow-hidden", "title='hidden gems'",
+             "data-x='display:none'", "hidden=false", "data-hidden", "aria-hidden=false"]
+    gone = ["hidden", "HIDDEN=''", "aria-hidden='true'", "style='color:red; display: none'",
+            "style=visibility:hidden"]
+    rows = [(i, "http://h/", f"<body {a}><article {a}>a <a href='/hidden/x' {a}>b</a> c</article>")
+            for i, a in enumerate(shown)]
+    rows += [(100 + i, "http://h/", f"<article>a<p>x <i {a}>b</i> c</p><div {a}>d</div></article>")
+             for i, a in enumerate(gone)]
+    assert texts_of(spark, rows) == {i: "a b c" for i in range(len(shown))} | {
+        100 + i: "a\nx c" for i in range(len(gone))}

@@ -1,17 +1,24 @@
 """Main text of web pages through wrappers inferred per host.
 
 Each page is read into tags and blocks of text. The distinct shapes of a host's pages are aligned
-into a wrapper (see `wrappers`), whose text slots are told apart by the containers around them:
-slots of the article are content; menus, headers, footers, sidebars, notices, adverts, forms and
-comments are not. A host whose pages mark no article takes the container with the most text.
+into a wrapper (see `wrappers`), and every page is matched against the wrapper of its host. A text
+slot carries what the containers around it say: part of an article, part of nothing in particular,
+or dropped (menus, headers, footers, sidebars, notices, adverts, forms, comments, hidden parts).
+Over all pages of a host, a slot whose text is always the same is boilerplate too, article or not;
+headings are not, and neither is text that makes up most of its page.
 
-Distinct shapes and text amounts per container are what is shuffled and merged per host, so a host
-that holds a third of all pages costs no more than its distinct shapes.
+A page that marks no article takes the container that holds the most text on pages like it: of those
+its host's pages chose, the fullest that is on the page and holds most of its text, or else its own.
+
+Distinct shapes of a host are aligned in groups and then group with group. What reaches a page is
+its host's wrapper, if that has boilerplate to tell, and at most `CONTAINERS` containers.
 """
 
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -39,9 +46,10 @@ _TOKEN = re.compile(
     r"|<(?P<end>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)"
     r"""(?P<more>(?:[^>"']|"[^"]*"|'[^']*')*)>"""
     r"|<[!?][^>]*>", re.S | re.I)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""",
-                     re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+_HIDING = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+_DIGITS = re.compile(r"\d+")
 _BOILERPLATE = re.compile(
     r"(?<!no-)(?<!has-)(?<!with-)\b(?:ads?|adverts?|advertisement|advertising|adslot|adsense|banner|"
     r"promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|nav|navbar|"
@@ -51,10 +59,36 @@ _BOILERPLATE = re.compile(
 _HEAD = re.compile(r"\b(?:header|masthead|topbar|site-?head)\b", re.I)
 
 
+#: Pages that must differ before text that they share counts as boilerplate.
+MIN_PAGES = 5
+#: Groups that the shapes of a host are aligned in, and the most containers a host offers its pages.
+GROUPS, CONTAINERS = 16, 32
+#: A container holds this share of the text of the one around it, or that one is the content.
+MOST = 0.8
+
+
+def _attributes(more: str) -> tuple[str, str, str, bool]:
+    """A tag's first class, its id, all names that tell what it is for, and whether it is hidden."""
+    if not _TELLING.search(more):
+        return "", "", "", False
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(more):
+        found.setdefault(name.lower(), "".join(values))
+    classes = found.get("class", "").split()
+    names = " ".join(found[x] for x in found if x in ("class", "id", "role"))
+    hidden = ("hidden" in found and found["hidden"].lower() != "false"
+              or found.get("aria-hidden", "").strip().lower() == "true"
+              or _HIDING.search(found.get("style", "")) is not None)
+    return classes[0] if classes else "", "".join(found.get("id", "").split()), names, hidden
+
+
 def read_page(html: str) -> tuple[list[str], list[tuple[str, str]]]:
     """The shape's tokens and the blocks of text, each with the path of containers around it.
 
-    A path that can hold no content ends in "!", one inside an article has "article" or "main".
+    A path that can hold no content ends in "!", one inside an article has "article" or "main". Tags
+    of a shape have their first class with digits made alike and no id, since ids name single pages;
+    paths have ids. A slot's token ends in "!" if it is dropped, in "?" if it is outside of
+    articles, after "h" if it is a heading.
     """
     shape: list[str] = []
     blocks: list[tuple[str, str]] = []
@@ -67,8 +101,10 @@ def read_page(html: str) -> tuple[list[str], list[tuple[str, str]]]:
             text.clear()
             if words:
                 path, dropped = stack[-1][1:]
-                blocks.append((path + "!" if dropped else path, words))
-                shape.append(wrappers.SLOT)
+                path = path + "!" if dropped else path
+                blocks.append((path, words))
+                kind = "!" if dropped else "" if in_article(path) else "?"
+                shape.append(wrappers.SLOT + ("h" if shape and _is_heading(shape[-1]) else "") + kind)
 
     at = 0
     for m in _TOKEN.finditer(html):
@@ -97,26 +133,24 @@ def read_page(html: str) -> tuple[list[str], list[tuple[str, str]]]:
                 while stack.pop()[0] != tag:
                     pass
             continue
-        names = " ".join("".join(n) for n in _NAMES.findall(m["more"])) if m["more"] else ""
-        hidden = bool(m["more"]) and _HIDDEN.search(m["more"]) is not None
+        first, own_id, names, hidden = _attributes(m["more"]) if m["more"] else ("", "", "", False)
         boilerplate = bool(names) and _BOILERPLATE.search(names) is not None
         if tag in INLINE:
             if boilerplate or hidden:
                 stack.append((tag, stack[-1][1], True))
             continue
         close_block()
-        first = names.split()[0] if names else ""
-        sign = f"{tag}.{first}" if first else tag
+        sign = f"{tag}.{_DIGITS.sub('0', re.sub('[/!#]', '-', first))}" if first else tag
         shape.append(sign)
         if tag in VOID or tag == "p" or tag in _HEADINGS and not boilerplate and not hidden:
             continue
         if tag in SIBLINGS and stack[-1][0] in SIBLINGS[tag]:
             while len(stack) > 1 and stack[-1][0] in SIBLINGS[tag]:
                 stack.pop()
-        path = f"{stack[-1][1]}/{sign}"
+        path = f"{stack[-1][1]}/{sign}" + (f"#{re.sub('[/!]', '-', own_id)}" if own_id else "")
         core = tag in ("article", "main", "body", "html")
-        in_article = "/article" in path or "/main" in path
-        head = (tag == "header" or names and _HEAD.search(names) is not None) and not in_article
+        inside = "/article" in path or "/main" in path
+        head = (tag == "header" or names and _HEAD.search(names) is not None) and not inside
         dropped = stack[-1][2] or tag in DROPPED or hidden or not core and bool(boilerplate or head)
         stack.append((tag, path, dropped))
     if at < len(html):
@@ -129,6 +163,10 @@ def read_page(html: str) -> tuple[list[str], list[tuple[str, str]]]:
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+def _is_heading(sign: str) -> bool:
+    return sign.split(".")[0] in _HEADINGS
+
+
 def _inside_inline(stack) -> bool:
     """Whether text is in a dropped inline element, where it is no part of the block around it."""
     return stack[-1][0] in INLINE
@@ -136,7 +174,7 @@ def _inside_inline(stack) -> bool:
 
 def in_article(path: str) -> bool:
     return not path.endswith("!") and any(
-        part.split(".")[0] in ("article", "main") for part in path.split("/"))
+        re.split("[.#]", part, maxsplit=1)[0] in ("article", "main") for part in path.split("/"))
 
 
 def host_of(url: str | None) -> str:
@@ -145,99 +183,259 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode(errors="surrogatepass"), digest_size=8).digest(), "big",
+                          signed=True)
+
+
+class _Folder:
+    """Folded shapes and the numbers of their leaves for the slots of a page, kept for a while."""
+
+    def __init__(self):
+        self.known: dict[str, tuple[str, list[str], list[int]]] = {}
+        self.size = 0
+
+    def __call__(self, tokens: list[str]) -> tuple[str, list[str], list[int]]:
+        """A shape folded as text, its leaves, and which of them each text block of the page is."""
+        raw = " ".join(tokens)
+        if raw not in self.known:
+            if self.size > 8 << 20:
+                self.known.clear()
+                self.size = 0
+            self.size += len(raw)
+            nodes = wrappers.fold(tokens)
+            matcher = wrappers.Matcher(nodes)
+            where = matcher.match(tokens)
+            self.known[raw] = (wrappers.encode(nodes), matcher.leaves,
+                               [i for i, t in zip(where, tokens) if t.startswith(wrappers.SLOT)])
+        return self.known[raw]
+
+
+def _open(token: str) -> bool:
+    """Whether a slot can turn out to be boilerplate: it is no heading and not dropped anyway."""
+    return token in (wrappers.SLOT, wrappers.SLOT + "?")
+
+
+def container(blocks: list[tuple[str, str]]) -> str:
+    """The innermost container that holds most of the text of each container around it."""
+    amounts: Counter = Counter()
+    inside: dict[str, set[str]] = {}
+    for path, text in blocks:
+        while True:
+            amounts[path] += len(text)
+            if not path:
+                break
+            outer = path.rpartition("/")[0]
+            inside.setdefault(outer, set()).add(path)
+            path = outer
+    at = ""
+    while at in inside:
+        best = min(inside[at], key=lambda p: (-amounts[p], p))
+        if amounts[best] < MOST * amounts[at]:
+            break
+        at = best
+    return at
+
+
+def _held(blocks: list[tuple[str, str]], path: str) -> list[str]:
+    return [text for p, text in blocks if p == path or p.startswith(path + "/")]
+
+
+_SHAPES = ("host string, shape string, path string, n long, pages array<long>, low array<long>, "
+           "high array<long>")
+
+
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per host of a slice, its shapes with the least and greatest hash of the text of each slot and
+    the least hashes of pages; and the containers that pages without an article chose."""
+    fold = _Folder()
     for batch in slices(batches, "html"):
-        found: Counter = Counter()
+        found: dict[tuple[str, str], list] = {}
         chars: Counter = Counter()
-        folded: dict[str, str] = {}
         for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             host = host_of(url)
             tokens, blocks = read_page(html or "")
-            raw = " ".join(tokens)
-            if raw not in folded:
-                folded[raw] = wrappers.encode(wrappers.fold(tokens))
-            found[host, folded[raw]] += 1
-            for path, text in blocks:
-                if not path.endswith("!"):
-                    chars[host, path] += len(text)
-        rows = [(h, s, None, n) for (h, s), n in found.items()]
-        rows += [(h, None, p, n) for (h, p), n in chars.items()]
-        host, shape, path, n = zip(*rows) if rows else [[]] * 4
+            shape, leaves, where = fold(tokens)
+            texts: dict[int, list[str]] = {}
+            for i, (_, text) in zip(where, blocks):
+                if _open(leaves[i]):
+                    texts.setdefault(i, []).append(text)
+            hashes = [_hash("\n".join(texts[i])) for i in sorted(texts)]
+            page = _hash(" ".join(map(str, hashes)))
+            if (host, shape) not in found:
+                found[host, shape] = [0, {page}, hashes, hashes]
+            row = found[host, shape]
+            row[0] += 1
+            if len(row[1]) < MIN_PAGES:
+                row[1].add(page)
+            row[2], row[3] = list(map(min, row[2], hashes)), list(map(max, row[3], hashes))
+            blocks = [b for b in blocks if not b[0].endswith("!")]
+            if blocks and not any(in_article(path) for path, _ in blocks):
+                path = container(blocks)
+                chars[host, path] += sum(map(len, _held(blocks, path)))
+        rows = [(h, s, None, n, sorted(pages), low, high)
+                for (h, s), (n, pages, low, high) in found.items()]
+        rows += [(h, None, p, n, None, None, None) for (h, p), n in chars.items()]
+        columns = zip(*rows) if rows else [[]] * 7
+        longs = pa.list_(pa.int64())
+        kinds = [pa.string()] * 3 + [pa.int64(), longs, longs, longs]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(host, pa.string()), pa.array(shape, pa.string()), pa.array(path, pa.string()),
-             pa.array(n, pa.int64())], names=["host", "shape", "path", "n"])
+            [pa.array(c, k) for c, k in zip(columns, kinds)],
+            names=["host", "shape", "path", "n", "pages", "low", "high"])
 
 
-_WRAPPER = "host string, n_pages long, wrapper string, article array<string>, fallback string"
+_WRAPPER = "host string, n_pages long, wrapper string"
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Align the shapes of one host after another; rows come by host, shapes by descending count."""
-    host, state = None, None
+    """Align the expressions of one group after another; rows come group by group."""
+    group, state = None, None
 
     def finish():
-        wrapper, pages, article, best = state
-        return pa.RecordBatch.from_arrays([
-            pa.array([host], pa.string()), pa.array([pages], pa.int64()),
-            pa.array([wrappers.encode(wrapper or ())]),
-            pa.array([sorted(article)], pa.list_(pa.string())),
-            pa.array([best[1]], pa.string())],
-            names=["host", "n_pages", "wrapper", "article", "fallback"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([group[0]], pa.string()), pa.array([state[2]], pa.int64()),
+             pa.array([wrappers.encode(state[0])])], names=["host", "n_pages", "wrapper"])
 
     for batch in batches:
-        for h, shape, path, n in zip(*(batch.column(c).to_pylist()
-                                       for c in ("host", "shape", "path", "n"))):
-            if state is None or h != host:
+        for *key, shape, n in zip(*(batch.column(c).to_pylist()
+                                    for c in ("host", "part", "shape", "n"))):
+            nodes = wrappers.decode(shape)
+            if key != group:
                 if state is not None:
                     yield finish()
-                host, state = h, (None, 0, set(), (0, None))
-            wrapper, pages, article, best = state
-            if shape is not None:
-                nodes = wrappers.decode(shape)
-                state = (wrappers.generalise(wrapper, nodes), pages + n, article, best)
-            elif in_article(path):
-                article.add(path)
-            elif n > best[0] or n == best[0] and path < best[1]:
-                state = (wrapper, pages, article, (n, path))
+                group, state = key, (nodes, wrappers.Matcher(nodes), n)
+                continue
+            wrapper, matcher, pages = state
+            # A shape that fits already leaves the wrapper as it is, and needs no alignment.
+            if not matcher.fits(wrappers.Matcher(nodes)):
+                wider = wrappers.generalise(wrapper, nodes)
+                if wider != wrapper:
+                    wrapper, matcher = wider, wrappers.Matcher(wider)
+            state = (wrapper, matcher, pages + n)
     if state is not None:
         yield finish()
 
 
+def _wrappers(found: DataFrame) -> DataFrame:
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def aligned(rows: DataFrame) -> DataFrame:
+        return (rows.repartition(parts, "host", "part")
+                .sortWithinPartitions("host", "part", F.desc("n"), "shape")
+                .select("host", "part", "shape", "n").mapInArrow(_infer, _WRAPPER))
+
+    groups = aligned(found.filter("shape is not null").groupBy("host", "shape")
+                     .agg(F.sum("n").alias("n"))
+                     .withColumn("part", F.pmod(F.xxhash64("shape"), F.lit(GROUPS))))
+    return aligned(groups.select("host", F.lit(0).cast("long").alias("part"),
+                                 F.col("wrapper").alias("shape"), F.col("n_pages").alias("n")))
+
+
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """One wrapper per host: host, n_pages, wrapper (the union-free expression over tags, `#` for a
-    text slot), article (the containers whose slots are content) and fallback (the container with
-    the most text, for pages without an article)."""
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = (pages.select("url", "html")
-             .mapInArrow(_shapes, "host string, shape string, path string, n long")
-             .groupBy("host", "shape", "path").agg(F.sum("n").alias("n")))
-    return (found.repartition(parts, "host")
-            .sortWithinPartitions("host", F.col("shape").isNull(), F.desc("n"), "shape", "path")
-            .mapInArrow(_infer, _WRAPPER))
-
-
-def main_text(html: str, article: frozenset, fallback: str | None) -> str:
-    """The blocks of the content slots of a wrapper, joined by newlines."""
-    blocks = [b for b in read_page(html)[1] if not b[0].endswith("!")]
-    content = [text for path, text in blocks if path in article]
-    if not content and fallback is not None:
-        content = [text for path, text in blocks
-                   if path == fallback or path.startswith(fallback + "/")]
-    return "\n".join(content)
+    """One wrapper per host: host, n_pages and wrapper (the union-free expression over tags, slots
+    starting with `#`)."""
+    return _wrappers(pages.select("url", "html").mapInArrow(_shapes, _SHAPES))
+
+
+@lru_cache(maxsize=256)
+def _matcher(wrapper: str) -> wrappers.Matcher:
+    return wrappers.Matcher(wrappers.decode(wrapper))
+
+
+@lru_cache(maxsize=4096)
+def _places(wrapper: str, shape: str) -> list[int] | None:
+    """The slot of a wrapper, by its number among the leaves, of each leaf of a folded shape."""
+    return _matcher(wrapper).match(wrappers.leaves(wrappers.decode(shape)))
+
+
+_SLOTS = "host string, slot int, pages array<long>, low long, high long"
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slots of wrappers with the least and greatest hash of their text over pages."""
+    for batch in batches:
+        found: dict[tuple[str, int], tuple] = {}
+        for host, wrapper, shape, pages, low, high in zip(*(
+                batch.column(c).to_pylist()
+                for c in ("host", "wrapper", "shape", "pages", "low", "high"))):
+            where = _places(wrapper, shape)
+            if where is None:
+                continue
+            held = [i for i, t in zip(where, wrappers.leaves(wrappers.decode(shape))) if _open(t)]
+            for slot, a, b in zip(held, low, high):
+                before = found.get((host, slot))
+                found[host, slot] = ((set(pages), a, b) if before is None else
+                                     (before[0] if len(before[0]) >= MIN_PAGES
+                                      else before[0] | set(pages),
+                                      min(before[1], a), max(before[2], b)))
+        rows = [(h, s, sorted(p)[:MIN_PAGES], a, b) for (h, s), (p, a, b) in found.items()]
+        kinds = [pa.string(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)],
+            names=["host", "slot", "pages", "low", "high"])
+
+
+def classify(pages: DataFrame) -> DataFrame:
+    """What the pages of a host need to know: host, wrapper and boilerplate (the numbers of its slots
+    whose text is the same on all of MIN_PAGES or more differing pages; both null without any), and
+    containers (those that pages without an article chose, those with the most text first)."""
+    found = keep(pages.select("url", "html").mapInArrow(_shapes, _SHAPES))
+    inferred = keep(_wrappers(found).select("host", "wrapper"))
+    boilerplate = (found.filter("shape is not null").join(inferred, "host")
+                   .select("host", "wrapper", "shape", "pages", "low", "high")
+                   .mapInArrow(_slots, _SLOTS)
+                   .groupBy("host", "slot").agg(
+                       F.min("low").alias("low"), F.max("high").alias("high"),
+                       F.size(F.array_distinct(F.flatten(F.collect_set("pages")))).alias("pages"))
+                   .filter(f"low = high and pages >= {MIN_PAGES}")
+                   .groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("boilerplate")))
+    # The fullest of each of CONTAINERS groups, so no host collects more than that.
+    chosen = (found.filter("path is not null").groupBy("host", "path").agg(F.sum("n").alias("n"))
+              .groupBy("host", F.pmod(F.xxhash64("path"), F.lit(CONTAINERS)).alias("part"))
+              .agg(F.max(F.struct("n", "path")).alias("best"))
+              .groupBy("host").agg(F.sort_array(F.collect_list("best"), False)
+                                   .getField("path").alias("containers")))
+    return (inferred.join(boilerplate, "host", "left").join(chosen, "host", "left")
+            .select("host", F.when(F.col("boilerplate").isNotNull(), F.col("wrapper"))
+                    .alias("wrapper"), "boilerplate", "containers"))
+
+
+def main_text(html: str, wrapper: str | None = None, boilerplate: frozenset = frozenset(),
+              containers: tuple[str, ...] = (), fold: _Folder | None = None) -> str:
+    """The blocks of the content slots of a page, joined by newlines."""
+    tokens, blocks = read_page(html)
+    same = [False] * len(blocks)
+    if wrapper is not None:
+        shape, leaves, where = (fold or _Folder())(tokens)
+        places = _places(wrapper, shape)
+        if places is not None:
+            same = [_open(leaves[i]) and places[i] in boilerplate for i in where]
+    content = [(b, s) for b, s in zip(blocks, same) if in_article(b[0])]
+    marked = bool(content)
+    if not marked:
+        content = [(b, s) for b, s in zip(blocks, same) if not b[0].endswith("!")]
+    whole = sum(len(text) for (_, text), _ in content)
+    kept = [b for b, s in content if not s]
+    # Text that makes up most of a page is its content, however many pages repeat it.
+    if 2 * sum(len(text) for _, text in kept) < whole:
+        kept = [b for b, _ in content]
+    if marked or not kept:
+        return "\n".join(text for _, text in kept)
+    whole = sum(len(text) for _, text in kept)
+    for path in containers:
+        texts = _held(kept, path)
+        if 2 * sum(map(len, texts)) > whole:
+            return "\n".join(texts)
+    return "\n".join(_held(kept, container(kept)))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[tuple, frozenset] = {}
+    fold = _Folder()
     for batch in slices(batches, "html"):
-        out = []
-        for html, article, fallback in zip(*(batch.column(c).to_pylist()
-                                             for c in ("html", "article", "fallback"))):
-            key = tuple(article or ())
-            if key not in known:
-                if len(known) > 10_000:
-                    known.clear()
-                known[key] = frozenset(key)
-            out.append(main_text(html or "", known[key], fallback))
+        out = [main_text(html or "", wrapper, frozenset(slots or ()), tuple(paths or ()), fold)
+               for html, wrapper, slots, paths in zip(*(
+                   batch.column(c).to_pylist()
+                   for c in ("html", "wrapper", "boilerplate", "containers")))]
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())],
             names=["page_id", "url", "text"])
@@ -247,19 +445,21 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text (the article) and n_chars of every page.
 
     Reads `page_id`, `url` and `html`; other columns are ignored. Character references are decoded,
-    white space within a block becomes one space, blocks are joined by one newline. A null or empty
-    html, or one without content, gives an empty text. Pages without a host share one wrapper.
+    white space within a block becomes one space, blocks are joined by one newline. Text that is the
+    same in its slot on all of five or more differing pages of a host is left out, unless it is a
+    heading or most of its page. A null or empty html, or one without content, gives an empty text.
+    Pages without a host share one wrapper.
     Unclosed tags end where their container ends. A row per input row, repeated rows and null ids
     included; an empty table gives an empty table.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"),
                         F.col("url").cast("string").alias("url"),
                         F.col("html").cast("string").alias("html"))
-    known = keep(infer_wrappers(rows)).select("host", "article", "fallback")
+    known = keep(classify(rows))
     host = F.lower(F.regexp_extract(
         F.coalesce("url", F.lit("")),
         r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     joined = rows.withColumn("host", host).join(known, "host", "left")
-    return (joined.select("page_id", "url", "html", "article", "fallback")
+    return (joined.select("page_id", "url", "html", "wrapper", "boilerplate", "containers")
             .mapInArrow(_extract, "page_id long, url string, text string")
             .withColumn("n_chars", F.length("text").cast("long")))

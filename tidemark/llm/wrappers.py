@@ -1,6 +1,7 @@
 """Union-free regular expressions over the tags of pages, found by aligning the pages of a host.
 
-A page's shape is its sequence of tags and text slots. Within a shape, neighbouring equal groups
+A page's shape is its sequence of tags and text slots; a slot's token starts with `#`, and what
+follows tells kinds of slots apart, so that no alignment mixes them. Within a shape, neighbouring equal groups
 fold into one repeated group. A wrapper starts as the first shape of a host and is aligned with one
 shape after another: what both have stays, what only one has becomes optional. So a wrapper has
 tags, text slots, optional groups and repeated groups, but no alternatives.
@@ -71,6 +72,15 @@ def align(a: tuple[Node, ...], b: tuple[Node, ...]) -> tuple[Node, ...]:
     """The expression that fits both, by a longest common subsequence of their nodes."""
     if a == b:
         return a
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    if start or end:
+        return (*a[:start], *align(a[start:len(a) - end], b[start:len(b) - end]),
+                *a[len(a) - end:])
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -111,6 +121,105 @@ def generalise(wrapper: tuple[Node, ...] | None, shape: tuple[Node, ...]) -> tup
     return shape if wrapper is None else align(wrapper, shape)
 
 
+def leaves(nodes: tuple[Node, ...]) -> list[str]:
+    """The tags and slots of an expression in order, those of a group once."""
+    return [x for n in nodes for x in ([n] if isinstance(n, str) else leaves(n[1]))]
+
+
+class Matcher:
+    """Finds the tag or slot of an expression that each token of a shape stands for.
+
+    Sets of the places an expression can be at (numbers into `leaves`) are bits of one integer, so
+    the work is linear in the tokens, whatever groups are nested.
+    """
+
+    def __init__(self, nodes: tuple[Node, ...]):
+        self.leaves = leaves(nodes)
+        self.follow = [0] * len(self.leaves)
+        self.at: dict[str, int] = {}
+        for i, token in enumerate(self.leaves):
+            self.at[token] = self.at.get(token, 0) | 1 << i
+        self.count = 0
+        self.empty, self.first, self.last = self._build(nodes)
+
+    def _build(self, nodes: tuple[Node, ...]) -> tuple[bool, int, int]:
+        empty, first, last = True, 0, 0
+        for node in nodes:
+            if isinstance(node, str):
+                none, heads, tails = False, 1 << self.count, 1 << self.count
+                self.count += 1
+            else:
+                none, heads, tails = self._build(node[1])
+                if node[0] == "+":
+                    self._link(tails, heads)
+                else:
+                    none = True
+            self._link(last, heads)
+            first |= heads if empty else 0
+            last = last | tails if none else tails
+            empty = empty and none
+        return empty, first, last
+
+    def _link(self, tails: int, heads: int) -> None:
+        while tails:
+            low = tails & -tails
+            self.follow[low.bit_length() - 1] |= heads
+            tails ^= low
+
+    def match(self, tokens: list[str]) -> list[int] | None:
+        """The leaf of each token, or None if the expression does not fit."""
+        states, reach = [], self.first
+        for token in tokens:
+            here = reach & self.at.get(token, 0)
+            if not here:
+                return None
+            states.append(here)
+            reach = 0
+            while here:
+                low = here & -here
+                reach |= self.follow[low.bit_length() - 1]
+                here ^= low
+        if not states:
+            return [] if self.empty else None
+        here = states[-1] & self.last
+        if not here:
+            return None
+        out = [(here & -here).bit_length() - 1]
+        for before in reversed(states[:-1]):
+            bit = 1 << out[-1]
+            while not self.follow[(before & -before).bit_length() - 1] & bit:
+                before &= before - 1
+            out.append((before & -before).bit_length() - 1)
+        return out[::-1]
+
+    def fits(self, other: "Matcher", most: int = 20_000) -> bool:
+        """Whether this expression accepts all shapes that the other does; after `most` steps that
+        counts as unknown, which is False."""
+        if other.empty and not self.empty:
+            return False
+        seen: set[tuple[int, int]] = set()
+        todo = [(other.first, self.first)]
+        while todo:
+            heads, reach = todo.pop()
+            while heads:
+                i = (heads & -heads).bit_length() - 1
+                heads &= heads - 1
+                here = reach & self.at.get(other.leaves[i], 0)
+                if not here or other.last >> i & 1 and not here & self.last:
+                    return False
+                if (i, here) in seen:
+                    continue
+                if len(seen) >= most:
+                    return False
+                seen.add((i, here))
+                after = 0
+                while here:
+                    after |= self.follow[(here & -here).bit_length() - 1]
+                    here &= here - 1
+                todo.append((other.follow[i], after))
+        return True
+
+
 def pattern(wrapper: tuple[Node, ...]) -> str:
     """The wrapper as a regular expression over tokens that each end in a space."""
     out = []
@@ -141,4 +250,4 @@ def decode(text: str) -> tuple[Node, ...]:
 
 
 def slots(wrapper: tuple[Node, ...]) -> int:
-    return sum(1 if n == SLOT else slots(n[1]) if isinstance(n, tuple) else 0 for n in wrapper)
+    return sum(n.startswith(SLOT) for n in leaves(wrapper))
