@@ -4,8 +4,9 @@ Each page is read into tags and blocks of text. The distinct shapes of a host's
 into a wrapper (see `wrappers`), and every page is matched against the wrapper of its host. A text
 slot carries what the containers around it say: part of an article, part of nothing in particular,
 or dropped (menus, headers, footers, sidebars, notices, adverts, forms, comments, hidden parts).
-Over all pages of a host, a slot whose text is always the same is boilerplate too, article or not;
-headings are not, and neither is text that makes up most of its page.
+Text that a slot holds on all pages of a host that have it is boilerplate too, article or not; in a
+repeated slot it counts only if it is there equally often each time. Headings are no boilerplate, and
+neither is text of one slot that makes up most of its page, or all of a page.
 
 A page that marks no article takes the container that holds the most text on pages like it: of those
 its host's pages chose, the fullest that is on the page and holds most of its text, or else its own.
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -241,13 +243,18 @@ def _held(blocks: list[tuple[str, str]], path: str) -> list[str]:
     return [text for p, text in blocks if p == path or p.startswith(path + "/")]
 
 
-_SHAPES = ("host string, shape string, path string, n long, pages array<long>, low array<long>, "
-           "high array<long>")
+def _signs(texts: list[str]) -> set[int]:
+    """Hashes of the texts of a slot on a page, each with how often it is there."""
+    return {_hash(f"{n} {text}") for text, n in Counter(texts).items()}
+
+
+_SHAPES = ("host string, shape string, path string, n long, pages array<long>, "
+           "signs array<array<long>>")
 
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host of a slice, its shapes with the least and greatest hash of the text of each slot and
-    the least hashes of pages; and the containers that pages without an article chose."""
+    """Per host of a slice, its shapes with the signs that each slot has on all their pages and hashes
+    of pages; and the containers that pages without an article chose."""
     fold = _Folder()
     for batch in slices(batches, "html"):
         found: dict[tuple[str, str], list] = {}
@@ -260,28 +267,28 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, (_, text) in zip(where, blocks):
                 if _open(leaves[i]):
                     texts.setdefault(i, []).append(text)
-            hashes = [_hash("\n".join(texts[i])) for i in sorted(texts)]
-            page = _hash(" ".join(map(str, hashes)))
+            signs = [_signs(texts[i]) for i in sorted(texts)]
+            page = _hash(" ".join(str(x) for x in chain.from_iterable(map(sorted, signs))))
             if (host, shape) not in found:
-                found[host, shape] = [0, {page}, hashes, hashes]
+                found[host, shape] = [0, {page}, signs]
             row = found[host, shape]
             row[0] += 1
             if len(row[1]) < MIN_PAGES:
                 row[1].add(page)
-            row[2], row[3] = list(map(min, row[2], hashes)), list(map(max, row[3], hashes))
+            row[2] = [a & b for a, b in zip(row[2], signs)]
             blocks = [b for b in blocks if not b[0].endswith("!")]
             if blocks and not any(in_article(path) for path, _ in blocks):
                 path = container(blocks)
                 chars[host, path] += sum(map(len, _held(blocks, path)))
-        rows = [(h, s, None, n, sorted(pages), low, high)
-                for (h, s), (n, pages, low, high) in found.items()]
-        rows += [(h, None, p, n, None, None, None) for (h, p), n in chars.items()]
-        columns = zip(*rows) if rows else [[]] * 7
+        rows = [(h, s, None, n, sorted(pages), list(map(sorted, signs)))
+                for (h, s), (n, pages, signs) in found.items()]
+        rows += [(h, None, p, n, None, None) for (h, p), n in chars.items()]
+        columns = zip(*rows) if rows else [[]] * 6
         longs = pa.list_(pa.int64())
-        kinds = [pa.string()] * 3 + [pa.int64(), longs, longs, longs]
+        kinds = [pa.string()] * 3 + [pa.int64(), longs, pa.list_(longs)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(columns, kinds)],
-            names=["host", "shape", "path", "n", "pages", "low", "high"])
+            names=["host", "shape", "path", "n", "pages", "signs"])
 
 
 _WRAPPER = "host string, n_pages long, wrapper string"
@@ -348,47 +355,54 @@ def _places(wrapper: str, shape: str) -> list[int] | None:
     return _matcher(wrapper).match(wrappers.leaves(wrappers.decode(shape)))
 
 
-_SLOTS = "host string, slot int, pages array<long>, low long, high long"
+_SLOTS = "host string, slot int, pages array<long>, signs array<long>"
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The slots of wrappers with the least and greatest hash of their text over pages."""
+    """The slots of wrappers with the signs that they have on all pages."""
     for batch in batches:
-        found: dict[tuple[str, int], tuple] = {}
-        for host, wrapper, shape, pages, low, high in zip(*(
-                batch.column(c).to_pylist()
-                for c in ("host", "wrapper", "shape", "pages", "low", "high"))):
+        found: dict[tuple[str, int], tuple[set, set]] = {}
+        for host, wrapper, shape, pages, signs in zip(*(
+                batch.column(c).to_pylist() for c in ("host", "wrapper", "shape", "pages", "signs"))):
             where = _places(wrapper, shape)
             if where is None:
                 continue
             held = [i for i, t in zip(where, wrappers.leaves(wrappers.decode(shape))) if _open(t)]
-            for slot, a, b in zip(held, low, high):
-                before = found.get((host, slot))
-                found[host, slot] = ((set(pages), a, b) if before is None else
-                                     (before[0] if len(before[0]) >= MIN_PAGES
-                                      else before[0] | set(pages),
-                                      min(before[1], a), max(before[2], b)))
-        rows = [(h, s, sorted(p)[:MIN_PAGES], a, b) for (h, s), (p, a, b) in found.items()]
-        kinds = [pa.string(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+            here: dict[int, set] = {}
+            for slot, x in zip(held, signs):
+                here.setdefault(slot, set()).update(x)
+            for slot, x in here.items():
+                seen, common = found.get((host, slot), (set(), x))
+                found[host, slot] = (seen if len(seen) >= MIN_PAGES else seen | set(pages), common & x)
+        rows = [(h, s, sorted(p)[:MIN_PAGES], sorted(x)) for (h, s), (p, x) in found.items()]
+        kinds = [pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)],
-            names=["host", "slot", "pages", "low", "high"])
+            [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)],
+            names=["host", "slot", "pages", "signs"])
+
+
+def _common(rows: DataFrame, *key: str) -> DataFrame:
+    """The signs that all rows of a key share, and up to MIN_PAGES of their pages."""
+    return (rows.groupBy(*key).agg(F.collect_list("signs").alias("all"),
+                                   F.collect_set("pages").alias("pages"))
+            .select(*key, F.slice(F.array_distinct(F.flatten("pages")), 1, MIN_PAGES).alias("pages"),
+                    F.expr("aggregate(all, all[0], (a, b) -> array_intersect(a, b))")
+                    .alias("signs")))
 
 
 def classify(pages: DataFrame) -> DataFrame:
-    """What the pages of a host need to know: host, wrapper and boilerplate (the numbers of its slots
-    whose text is the same on all of MIN_PAGES or more differing pages; both null without any), and
+    """What the pages of a host need to know: host, wrapper and boilerplate (numbers of its slots with
+    the signs that they have on all of MIN_PAGES or more differing pages; both null without any), and
     containers (those that pages without an article chose, those with the most text first)."""
     found = keep(pages.select("url", "html").mapInArrow(_shapes, _SHAPES))
     inferred = keep(_wrappers(found).select("host", "wrapper"))
-    boilerplate = (found.filter("shape is not null").join(inferred, "host")
-                   .select("host", "wrapper", "shape", "pages", "low", "high")
-                   .mapInArrow(_slots, _SLOTS)
-                   .groupBy("host", "slot").agg(
-                       F.min("low").alias("low"), F.max("high").alias("high"),
-                       F.size(F.array_distinct(F.flatten(F.collect_set("pages")))).alias("pages"))
-                   .filter(f"low = high and pages >= {MIN_PAGES}")
-                   .groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("boilerplate")))
+    slots = (found.filter("shape is not null").join(inferred, "host")
+             .select("host", "wrapper", "shape", "pages", "signs").mapInArrow(_slots, _SLOTS)
+             .withColumn("part", F.pmod(F.xxhash64("pages"), F.lit(GROUPS))))
+    boilerplate = (_common(_common(slots, "host", "slot", "part"), "host", "slot")
+                   .filter(f"size(signs) > 0 and size(pages) >= {MIN_PAGES}")
+                   .groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "signs")))
+                                        .alias("boilerplate")))
     # The fullest of each of CONTAINERS groups, so no host collects more than that.
     chosen = (found.filter("path is not null").groupBy("host", "path").agg(F.sum("n").alias("n"))
               .groupBy("host", F.pmod(F.xxhash64("path"), F.lit(CONTAINERS)).alias("part"))
@@ -400,25 +414,33 @@ def classify(pages: DataFrame) -> DataFrame:
                     .alias("wrapper"), "boilerplate", "containers"))
 
 
-def main_text(html: str, wrapper: str | None = None, boilerplate: frozenset = frozenset(),
+def main_text(html: str, wrapper: str | None = None, boilerplate: dict | None = None,
               containers: tuple[str, ...] = (), fold: _Folder | None = None) -> str:
     """The blocks of the content slots of a page, joined by newlines."""
     tokens, blocks = read_page(html)
-    same = [False] * len(blocks)
+    same: list[int | None] = [None] * len(blocks)  # the slot of boilerplate
     if wrapper is not None:
         shape, leaves, where = (fold or _Folder())(tokens)
         places = _places(wrapper, shape)
         if places is not None:
-            same = [_open(leaves[i]) and places[i] in boilerplate for i in where]
+            texts: dict[int, list[str]] = {}
+            for i, (_, text) in zip(where, blocks):
+                if _open(leaves[i]) and places[i] in boilerplate:
+                    texts.setdefault(i, []).append(text)
+            known = {(i, text) for i, held in texts.items() for text, n in Counter(held).items()
+                     if _hash(f"{n} {text}") in boilerplate[places[i]]}
+            same = [i if (i, text) in known else None for i, (_, text) in zip(where, blocks)]
     content = [(b, s) for b, s in zip(blocks, same) if in_article(b[0])]
     marked = bool(content)
     if not marked:
         content = [(b, s) for b, s in zip(blocks, same) if not b[0].endswith("!")]
     whole = sum(len(text) for (_, text), _ in content)
-    kept = [b for b, s in content if not s]
+    amounts: Counter = Counter()
+    for (_, text), s in content:
+        amounts[s] += len(text)
     # Text that makes up most of a page is its content, however many pages repeat it.
-    if 2 * sum(len(text) for _, text in kept) < whole:
-        kept = [b for b, _ in content]
+    kept = ([b for b, s in content if s is None or 2 * amounts[s] > whole]
+            or [b for b, _ in content])
     if marked or not kept:
         return "\n".join(text for _, text in kept)
     whole = sum(len(text) for _, text in kept)
@@ -432,7 +454,8 @@ def main_text(html: str, wrapper: str | None = None, boilerplate: frozenset = fr
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fold = _Folder()
     for batch in slices(batches, "html"):
-        out = [main_text(html or "", wrapper, frozenset(slots or ()), tuple(paths or ()), fold)
+        out = [main_text(html or "", wrapper, {x["slot"]: set(x["signs"]) for x in slots or ()},
+                         tuple(paths or ()), fold)
                for html, wrapper, slots, paths in zip(*(
                    batch.column(c).to_pylist()
                    for c in ("html", "wrapper", "boilerplate", "containers")))]
@@ -445,9 +468,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text (the article) and n_chars of every page.
 
     Reads `page_id`, `url` and `html`; other columns are ignored. Character references are decoded,
-    white space within a block becomes one space, blocks are joined by one newline. Text that is the
-    same in its slot on all of five or more differing pages of a host is left out, unless it is a
-    heading or most of its page. A null or empty html, or one without content, gives an empty text.
+    white space within a block becomes one space, blocks are joined by one newline. Text that is in its
+    slot, equally often, on all of five or more differing pages of a host is left out, unless it is a
+    heading, all of its page, or text of one slot that is most of its page. A null or empty html, or one without content, gives an empty text.
     Pages without a host share one wrapper.
     Unclosed tags end where their container ends. A row per input row, repeated rows and null ids
     included; an empty table gives an empty table.
