@@ -90,3 +90,19 @@ def test_special_rows(spark):
     assert clean == [2, 3]
     assert run(spark, [], bench) == ([], [])
     assert run(spark, docs[:1], []) == ([], [1])
+
+
+def test_items_that_share_an_id_have_parts_of_their_own(spark):
+    one, two, three = (" ".join(f"{k}{i}" for i in range(7)) for k in "abc")
+    bench = [(1, f"{one}\nyes"), (1, f"{two}\nno"), (1, f"{three}\nnot at all")]
+    docs = [(1, f"{one} so yes"), (2, f"{two} so no"), (3, f"{three} so not at all"),
+            (4, f"{one} so no")]
+    pairs, clean = run(spark, docs, bench)
+    assert pairs == [(1, 1), (2, 1), (3, 1)] and clean == [4]
+
+
+def test_a_short_answer_does_not_stand_for_a_question_of_its_length(spark):
+    bench = [(1, "who won\nnot me")]
+    pairs, clean = run(spark, [(1, "not me"), (2, "who won"), (3, "who won then not me")], bench,
+                       limits=Limits(share=0.3))
+    assert pairs == [(3, 1)] and clean == [1, 2]

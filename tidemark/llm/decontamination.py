@@ -65,8 +65,10 @@ def _hashes(texts: list[str]) -> list[np.ndarray]:
     return [found[a:b] for a, b in zip(edges[:-1], edges[1:])]
 
 
-def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
-    return np.unique(words.shingles(np.zeros(len(hashes), np.int64), hashes, n)[1])
+def _part(hashes: np.ndarray, n: int) -> tuple[int, np.ndarray]:
+    """The n-grams of a part of an item and their size: a shorter part is one n-gram of its own."""
+    size = min(n, len(hashes))
+    return size, np.unique(words.shingles(np.zeros(len(hashes), np.int64), hashes, size, False)[1])
 
 
 class Index:
@@ -116,10 +118,8 @@ class Index:
         self.block_of = np.array([b for m in self.in_block for b in m], np.int64)
         self.block_max = np.array([x for m in self.in_block for x in m.values()])
         texts = _hashes([x for i in order for x in parts[i]])
-        self.questions = [_grams(x, limits.ngram) for x in texts[::2]]
-        self.answers = [_grams(x, limits.ngram) for x in texts[1::2]]
-        self.lengths = [(len(q), len(a)) for q, a in zip(texts[::2], texts[1::2])]
-        self.everything = [_grams(t, limits.ngram) for t in tokens]
+        self.parts = [[_part(x, limits.ngram) for x in item]
+                      for item in zip(texts[::2], texts[1::2], tokens)]
 
     def block_bounds(self, passage: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
         """Bounds of `n` passages, given their distinct terms, with the items of each fine block."""
@@ -173,37 +173,19 @@ class Index:
 
     def overlaps(self, item: int, passage: np.ndarray) -> tuple[float, float, float]:
         """Shares of the n-grams of question, answer and all that a passage's words hold."""
-        n = self.limits.ngram
+        doc = np.zeros(len(passage), np.int64)
 
-        def share(grams, length):
-            if not len(grams):
+        def share(size, grams):
+            if not size:
                 return 1.0
-            size = min(n, length)
-            doc = np.zeros(len(passage), np.int64)
             held = words.shingles(doc, passage, size, False)[1]
-            if length < n:  # a part shorter than an n-gram is one n-gram of its own length
-                grams = self._short(item, length)
             return float(np.isin(grams, held).mean())
 
-        q, a = self.lengths[item]
-        return (share(self.questions[item], q), share(self.answers[item], a),
-                share(self.everything[item], q + a))
-
-    def _short(self, item: int, length: int) -> np.ndarray:
-        return self.short[item, length]
+        return tuple(share(*part) for part in self.parts[item])
 
 
 def build_index(items: list[tuple[int, str]], limits: Limits) -> Index:
-    index = Index(items, limits)
-    index.short = {}
-    texts = dict(items)
-    for i, item_id in enumerate(index.ids):
-        pieces = (*question_and_answer(texts[item_id]), texts[item_id])
-        for piece in _hashes(list(pieces)):
-            if 0 < len(piece) < limits.ngram:
-                doc = np.zeros(len(piece), np.int64)
-                index.short[i, len(piece)] = words.shingles(doc, piece, len(piece), False)[1]
-    return index
+    return Index(items, limits)
 
 
 def _passages(index: Index, doc: np.ndarray, hashes: np.ndarray):
