@@ -115,3 +115,34 @@ def test_machine_margin_is_the_sum_over_pairs():
         machine.vectors[a] @ machine.vectors[b] for i, a in enumerate(terms) for b in terms[:i])
     got = machine.margins(np.zeros(4, int), terms, 1)[0]
     assert abs(got - want) < 1e-9
+
+
+def test_terms_that_tell_something_only_beside_another_are_learned():
+    insult, group, slur = 1, 2, 3
+    rng = np.random.default_rng(6)
+
+    def draw(n):
+        rows, y = [], []
+        for _ in range(n):
+            a, b = rng.random() < 0.3, rng.random() < 0.4
+            c = not a and not b and rng.random() < 3 / 7  # so toxic texts are as many with b as without
+            terms = [insult] * a + [group] * b + [slur] * c
+            rows.append(np.append(terms, 10 + rng.choice(400, 30, False)).astype(np.int64))
+            y.append(a and b or c)
+        return rows, np.array(y, float)
+
+    settings = toxicity.Settings()
+    rows, y = draw(9000)
+    with_group = np.array([group in r for r in rows])
+    alone = toxicity.likelihood_ratio(np.array([with_group.sum()]), np.array([y[with_group].sum()]),
+                                      len(y), y.sum())
+    assert alone[0] < settings.association
+    machine = toxicity.train(rows, y, settings)
+    at = {t: i for i, t in enumerate(machine.known)}
+    assert machine.vectors[at[insult]] @ machine.vectors[at[group]] > 0.5
+    rows, y = draw(2000)
+    known = [np.array([at[t] for t in r if t in at], int) for r in rows]
+    margins = machine.margins(np.repeat(np.arange(len(rows)), [len(k) for k in known]),
+                              np.concatenate(known), len(rows))
+    assert np.mean((margins > 0) == (y == 1)) > 0.97
+    assert len(machine.known) < 40

@@ -25,7 +25,8 @@ _FEATURES = "doc_id long, y int, at array<int>"
 @dataclass(frozen=True)
 class Settings:
     """`sample` bounds the labelled rows that one task learns from. Terms in fewer than `rare` of
-    them, or whose log-likelihood ratio with the label is below `association`, keep no weights."""
+    them, or whose log-likelihood ratio with the label is below `association`, both alone and beside
+    a term that reaches it alone, keep no weights (see `telling`)."""
 
     bits: int = 20
     sample: int = 12000
@@ -104,15 +105,47 @@ def likelihood_ratio(n: np.ndarray, k: np.ndarray, rows: int, ones: float) -> np
     return 2 * (fit(k, n) + fit(ones - k, rows - n) - fit(np.float64(ones), rows))
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, settings: Settings) -> Machine:
-    """Fit by AdaGrad on small batches. Text lists must hold distinct terms."""
+def telling(rows: list[np.ndarray], y: np.ndarray, settings: Settings) -> np.ndarray:
+    """The terms, in ascending order, that tell something alone, or in the rows of a term that does.
+
+    Every term that does makes for another test of all terms, so the ratio asked for beside one grows with
+    their number, twice its logarithm, which keeps chance hits as few as those of terms alone.
+    """
     every = np.concatenate(rows)
-    label = np.repeat(y, [len(r) for r in rows])
     counts = np.bincount(every, minlength=1 << settings.bits)
-    toxic = np.bincount(every, weights=label, minlength=1 << settings.bits)
-    known = np.flatnonzero((counts >= settings.rare)
-                           & (likelihood_ratio(counts, toxic, len(y), y.sum())
-                              >= settings.association))
+    often = np.flatnonzero(counts >= settings.rare)
+    place = np.full(1 << settings.bits, -1)
+    place[often] = np.arange(len(often))
+    rows = [x[x >= 0] for x in (place[r] for r in rows)]
+    every = np.concatenate(rows)
+    row_of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    row_of = row_of[np.argsort(every, kind="stable")]
+    ends = np.append(0, np.cumsum(counts[often]))
+
+    def ratios(held: np.ndarray) -> np.ndarray:
+        def seen(which):
+            found = [rows[i] for i in which]
+            return np.bincount(np.concatenate(found) if found else [], minlength=len(often))
+
+        toxic = seen(held[y[held] == 1])
+        n = toxic + seen(held[y[held] != 1])
+        return np.where(n >= settings.rare,
+                        likelihood_ratio(n, toxic, len(held), y[held].sum()), 0)
+
+    known = ratios(np.arange(len(rows))) >= settings.association
+    partners = np.flatnonzero(known)
+    best = np.zeros(len(often))
+    for k in partners:
+        held = row_of[ends[k]:ends[k + 1]]
+        if 0 < y[held].sum() < len(held):
+            best = np.maximum(best, ratios(held))
+    known |= best >= settings.association + 2 * np.log(max(1, len(partners)))
+    return often[known]
+
+
+def train(rows: list[np.ndarray], y: np.ndarray, settings: Settings) -> Machine:
+    """Fit by AdaGrad on small batches. Text lists must hold distinct terms."""
+    known = telling(rows, y, settings)
     machine = Machine(known, settings)
     lookup = np.full(1 << settings.bits, -1)
     lookup[known] = np.arange(len(known))
