@@ -3,10 +3,11 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    chat, decontamination, exact_dedup, html_text, line_dedup, mixing, ngram_join, quality,
-    token_counts, toxicity,
+    chat, conversation_repair, decontamination, exact_dedup, html_text, line_dedup, mixing,
+    ngram_join, quality, token_counts, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +191,117 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents")
     return ngram_join.ngram_components(docs, n_words=3, percent=90).select(
         "doc_id", "n_shingles", "component_id")
+
+
+def _crc_sql(text: str) -> str:
+    """The crc32 of a SQL text of ASCII and Latin letters; needs the one-row table `crc`."""
+    octets = (f"flatten(list_transform(string_split({text}, ''), lambda x: CASE WHEN unicode(x) < 128"
+              " THEN [unicode(x)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END))")
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295, {octets}::BIGINT[]), lambda c, b:"
+            " xor(c >> 8, crc.steps[(xor(c, b) & 255) + 1])))")
+
+
+_CRC_TABLE = """crc AS (SELECT [list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+    FOR i IN range(256)] AS steps)"""
+
+
+def _damaged(messages: DataFrame) -> DataFrame:
+    """Messages damaged by the crc32 of conversation and turn; nulls are one space."""
+    space = F.lit(" ")
+    fate = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"),
+                            F.coalesce(F.col("turn").cast("string"), space))) % 20
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    rows = messages.select(
+        "conv_id", "turn", fate.alias("fate"),
+        F.when(fate == 4, "user").otherwise(role).alias("role"),
+        F.when(fate == 1, "").when(fate == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(
+            text).alias("text"))
+    return rows.filter(F.col("fate") != 0).withColumn("_copy", F.explode(
+        F.when(F.col("fate") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop(
+        "fate", "_copy")
+
+
+def _step(after: str, cost: str, edit: str, line: str | None) -> str:
+    rest = f"{after}.r" if line is None else f"list_prepend({line}, {after}.r)"
+    return f"{{'c': {cost} + {after}.c, 'a': '{edit}' || {after}.a, 'r': {rest}}}"
+
+
+def _inserted(v: str) -> str:
+    """The four states where one empty row may be inserted first."""
+    def best(q, to, role):
+        return f"list_min([{v}[{q}], {_step(f'{v}[{to}]', '5', 'I', repr(role))}])"
+    return "[" + ", ".join([best(1, 3, "user:"), best(2, 3, "user:"), best(3, 4, "assistant:"),
+                            best(4, 3, "user:")]) + "]"
+
+
+def _consumed(q: int, to: int, role: str) -> str:
+    """One state in front of a row: it is kept, given another role or deleted."""
+    line = "f.role || ':' || f.text"
+    fits = {1: "CASE f.x WHEN 's' THEN 2 WHEN 'u' THEN 3 END", 2: "CASE f.x WHEN 'u' THEN 3 END",
+            3: "CASE f.x WHEN 'a' THEN 4 END", 4: "CASE f.x WHEN 'u' THEN 3 END"}[q]
+    kept = _step(f"v[{fits}]", "f.more", "K", line)
+    new = _step(f"v[{to}]", "f.more + 1", "R", f"'{role}:' || f.text")
+    return (f"list_min(list_filter([{_step(f'v[{q}]', '2', 'D', None)}, CASE WHEN NOT f.gone"
+            f" AND {fits} IS NOT NULL THEN {kept} END, CASE WHEN NOT f.gone THEN {new} END],"
+            " lambda s: s IS NOT NULL))")
+
+
+@_query("op13_conversation_repair", f"""
+WITH RECURSIVE {_CRC_TABLE},
+m AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             {_crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")}
+                 % 20 AS fate
+      FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+             CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g')
+                       ELSE text END AS text,
+             unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy
+      FROM m WHERE fate <> 0),
+o AS (SELECT conv_id, turn, role, text, left(role, 1) AS x,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+             right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1)
+                 AS z
+      FROM d),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS n FROM o),
+f AS (SELECT *, z = '' AS blank, z <> '' AND n > 1 AS duplicate,
+             z NOT IN ('', '.', '!', '?') AND n = 1 AS truncated, blank OR duplicate AS gone,
+             CASE WHEN truncated THEN 5 ELSE 0 END AS more,
+             coalesce(lag(x) OVER w || x NOT IN ('su', 'ua', 'au'), false) AS illegal
+      FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+e AS (SELECT conv_id, max(i) + 1 AS i,
+             [{{'c': 0, 'a': '', 'r': []::VARCHAR[]}}, {{'c': 99999999, 'a': '', 'r': []::VARCHAR[]}},
+              {{'c': 99999999, 'a': '', 'r': []::VARCHAR[]}}, {{'c': 0, 'a': '', 'r': []::VARCHAR[]}}]
+                 AS v
+      FROM f GROUP BY conv_id),
+p AS (SELECT conv_id, i, {_inserted("u")} AS v FROM (SELECT conv_id, i, {_inserted("v")} AS u FROM e)
+      UNION ALL
+      SELECT conv_id, i, {_inserted("u")} AS v
+      FROM (SELECT conv_id, i, {_inserted("t")} AS u
+            FROM (SELECT f.conv_id, f.i, [{_consumed(1, 3, "user")}, {_consumed(2, 3, "user")},
+                         {_consumed(3, 4, "assistant")}, {_consumed(4, 3, "user")}] AS t
+                  FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i - 1))),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+             count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+             count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal
+      FROM f GROUP BY conv_id)
+SELECT a.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank,
+       coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+       coalesce(c.illegal, 0) AS illegal, coalesce(p.v[1].c, 0)::BIGINT AS cost,
+       coalesce(p.v[1].a, '') AS audit,
+       sha256(coalesce(array_to_string(p.v[1].r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+     LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+     LEFT JOIN p ON p.conv_id IS NOT DISTINCT FROM a.conv_id AND p.i = 1""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    messages = _read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    repairs = conversation_repair.repair(_damaged(messages))
+    ids = messages.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    found, digests = repairs.conversations, conversation_repair.repaired_digests(repairs)
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    joined = conversation_repair.matched(
+        conversation_repair.matched(ids, found, ["conv_id"], "left"), digests, ["conv_id"], "left")
+    return joined.select(
+        "conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
