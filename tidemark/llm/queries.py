@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import (
     chat, conversation_repair, decontamination, exact_dedup, html_text, line_dedup, mixing,
-    ngram_join, quality, token_counts, toxicity,
+    ngram_join, quality, spelling, token_counts, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,6 +206,52 @@ _CRC_TABLE = """crc AS (SELECT [list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0
     FOR i IN range(256)] AS steps)"""
 
 
+_RUN = "[A-Za-z\u00C0-\u00FF]{6,}"
+
+
+def _runs(docs: DataFrame) -> DataFrame:
+    """The lower-cased letter runs of all texts, one in 199 without one of its code points. Runs under
+    six code points cannot give a word of six."""
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_RUN), F.lit(0))).alias(
+        "run")).withColumn("run", F.translate("run", _UPPER, _LOWER))
+    hashed = runs.withColumn("h", F.crc32(F.concat(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run")))
+    at = (F.col("h") % F.length("run")).cast("int")
+    less = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    return hashed.select(F.when(F.col("h") % 199 == 0, less).otherwise(F.col("run")).alias("word"))
+
+
+@_query("op11_spelling_variants", f"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '{_RUN}')), '{_UPPER}', '{_LOWER}') AS run
+      FROM documents),
+k AS (SELECT doc_id, run, count(*) AS c FROM r GROUP BY doc_id, run),
+h AS (SELECT run, c, {_crc_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM k, crc),
+v AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2)
+                  ELSE run END AS word, c
+      FROM h),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM v WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+g AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS part
+      FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+near AS (SELECT a.word, b.word AS other FROM g a JOIN g b ON a.i = b.i AND a.part = b.part
+             AND a.word <> b.word
+         UNION SELECT g.word, w.word FROM g JOIN w ON g.part = w.word
+         UNION SELECT w.word, g.word FROM g JOIN w ON g.part = w.word),
+b AS (SELECT near.word, count(*) AS n_near, max(w.n) AS most,
+             min(struct_pack(less := -w.n, other := other)).other AS best
+      FROM near JOIN w ON near.other = w.word GROUP BY near.word),
+f AS (SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near,
+             CASE WHEN b.most >= 5 * w.n THEN b.best END AS form,
+             CASE WHEN b.most >= 5 * w.n THEN b.most END AS form_n
+      FROM w LEFT JOIN b ON b.word = w.word),
+t AS (SELECT word, word AS root FROM f
+      UNION SELECT t.word, f.form FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL),
+e AS (SELECT t.word, t.root FROM t JOIN f ON f.word = t.root WHERE f.form IS NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM f JOIN e ON e.word = f.word""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(_runs(_read(spark, folder, "documents"))))
+
+
 def _damaged(messages: DataFrame) -> DataFrame:
     """Messages damaged by the crc32 of conversation and turn; nulls are one space."""
     space = F.lit(" ")
