@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import (
     chat, conversation_repair, decontamination, exact_dedup, html_text, line_dedup, mixing,
-    ngram_join, quality, spelling, token_counts, toxicity,
+    ngram_join, personal_data, quality, spelling, token_counts, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,6 +252,20 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(_runs(_read(spark, folder, "documents"))))
 
 
+@_query("op12_personal_data")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal_data.find_personal_data(
+        _read(spark, folder, "documents").select("doc_id", "text"), carry=["doc_id"])
+    base = F.filter("found", lambda s: s["kind"] != "term")
+    kinds = F.transform("found", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, "term")) - F.size(F.array_remove(F.array_remove(
+        kinds, "term"), k)) for k in personal_data.KINDS[:4]]
+    return found.select("doc_id", *[c.cast("long").alias(f"n_{k}")
+                                    for c, k in zip(counts, personal_data.KINDS)],
+                        F.sha2(personal_data.spans_text(base), 256).alias("base_sha256"),
+                        personal_data.spans_text(F.col("found")).alias("spans"))
+
+
 def _damaged(messages: DataFrame) -> DataFrame:
     """Messages damaged by the crc32 of conversation and turn; nulls are one space."""
     space = F.lit(" ")
