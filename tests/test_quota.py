@@ -54,6 +54,29 @@ def test_long_run_in_many_pieces(spark):
     assert got == model(requests, 4, 1_000)
 
 
+@pytest.mark.parametrize("other", [[], [("b", 5 * i, 1_000 + i) for i in range(700)]])
+def test_more_points_in_a_window_than_in_a_piece(spark, other):
+    """A window of 90 points, one of 40, pieces of 20; with and without a run that has more pieces."""
+    requests = [("a", 10 * i, i) for i in range(90)] + [
+        ("a", 1_000 + 20 * i, 100 + i) for i in range(40)] + other
+    got = engine(spark, requests, 2, 1_000, points_per_piece=20)
+    assert got == model(requests, 2, 1_000)
+    assert min(count for _, count, _ in got.values()) >= 0
+
+
+@pytest.mark.parametrize("seed, points_per_piece, keys", [
+    (1, 1, "a"), (2, 3, "ab"), (3, 17, "abc"), (4, 64, "aab"), (5, 400, "abc")])
+def test_pieces_of_any_size(spark, seed, points_per_piece, keys):
+    spans = random.Random(seed)
+    requests = burst(seed, 250, 2_500 if points_per_piece > 3 else 120, list(keys))
+    limit = spans.randrange(1, 8)
+    window = spans.choice([7, 40, 500])
+    if points_per_piece == 1:
+        requests = requests[:60]
+    assert engine(spark, requests, limit, window, points_per_piece=points_per_piece) == model(
+        requests, limit, window)
+
+
 def test_same_millisecond_and_edges(spark):
     requests = [("a", 1_000, i) for i in range(5)] + [("a", 61_000, 10), ("a", 60_999, 9)]
     got = engine(spark, requests, 3, 60_000)

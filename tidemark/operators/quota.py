@@ -201,16 +201,18 @@ def _solve_runs(runs: DataFrame, keys: list[str], window_ms: int,
     if largest <= points_per_piece:
         return solved(runs)
 
-    # Slices of one window are gathered into pieces by their points, and every piece is written to a
-    # folder of its own, so that a step reads no more than it solves.
+    # Slices are gathered into pieces by their points, and every piece is written to a folder of its
+    # own, so that a step reads no more than it solves. A millisecond is one point, so no slice has
+    # more points than a piece, and the pieces of a run are numbered without gaps.
     spark = runs.sparkSession
-    slices = runs.withColumn("_slice", F.floor((F.col("_t") - F.col("_run")) / window_ms))
+    slice_ms = min(window_ms, points_per_piece)
+    slices = runs.withColumn("_slice", F.floor((F.col("_t") - F.col("_run")) / slice_ms))
     counts = slices.groupBy(*by, "_slice").agg(F.count("*").alias("_points"))
     before = F.sum("_points").over(Window.partitionBy(*by).orderBy("_slice")) - F.col("_points")
     pieces = materialize(counts.withColumn(
         "_piece", F.floor(before / points_per_piece).cast("int")).drop("_points"))
     starts = pieces.groupBy(*by, "_piece").agg(
-        (F.min("_slice") * window_ms + F.col("_run") - 2 * window_ms).alias("_since"))
+        (F.min("_slice") * slice_ms + F.col("_run") - 2 * window_ms).alias("_since"))
     folder = new_folder(spark)
     same = [slices[c].eqNullSafe(pieces[c]) for c in [*by, "_slice"]]
     slices.join(pieces, same).select(*[slices[c] for c in runs.columns], "_piece").write.partitionBy(
