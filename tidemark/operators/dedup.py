@@ -1,18 +1,25 @@
 """First-arrival dedup, stored-id checks, ingest outcomes, upserts, versioned updates.
 
-Nothing here sends all rows of one key to one task: winners are found by an aggregate or a
+Nothing here sends all rows of one key to one task (but for the distinct times of an id that is
+replayed beyond its claim): winners are found by an aggregate or a
 ranked filter that Spark reduces before the shuffle, and are matched back to the rows on the
 key together with the arrival order, which spreads a hot key.
 """
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.functions import scalars as S
-from tidemark.session import materialize
+
+# Python workers get the functions themselves and need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _list(names: str | Sequence[str]) -> list[str]:
@@ -118,28 +125,58 @@ def ingest_outcome(incoming: DataFrame, target: DataFrame, mode: str = "async",
     })
 
 
+def claim_times(times: np.ndarray, claim: int | None, ttl: int) -> tuple[np.ndarray, int | None]:
+    """Which of the rising `times` claim their key: the first one, and each first one after the claim
+    before it has run out. `claim` is the claim so far; the last claim comes back too."""
+    taken = np.zeros(len(times), bool)
+    i = 0 if claim is None else int(np.searchsorted(times, claim + ttl))
+    while i < len(times):
+        taken[i], claim = True, int(times[i])
+        i = int(np.searchsorted(times, claim + ttl))
+    return taken, claim
+
+
+def _followed(ttl_us: int):
+    """The claims among (key, time in microseconds) that stream by, sorted; memory holds one batch."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = claim = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            keys, times = pdf.iloc[:, 0], pdf.iloc[:, 1].to_numpy(np.int64)
+            starts = np.flatnonzero((keys != keys.shift()).to_numpy())
+            taken = np.zeros(len(pdf), bool)
+            for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
+                if lo > 0 or keys.iloc[0] != key:
+                    claim = None
+                taken[lo:hi], claim = claim_times(times[lo:hi], claim, ttl_us)
+            key = keys.iloc[-1]
+            yield pdf[taken]
+    return run
+
+
 def claims(arrivals: DataFrame, key: str, ts: str, ttl_seconds: int) -> DataFrame:
     """(key, time) of the arrivals that claim their key: the first one, and every first one after
     the claim before it has run out.
 
     The first claims come from one aggregate. Only keys that arrive again after the claim time are
-    followed further: each round finds their next claim by one more aggregate, which Spark reduces
-    before the shuffle, so a key that is replayed without end costs a row per task and round.
-    There are as many rounds as claim times between the first and the last arrival of a key.
+    followed further, in one sorted pass over their distinct arrival times, which skips from claim
+    to claim. A key's times stream through one task; its repeated ones are gone before.
     """
     ttl = F.make_dt_interval(secs=F.lit(ttl_seconds))
+    kind = arrivals.schema[ts].dataType
     known = arrivals.select(key, ts).filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
     spans = known.groupBy(key).agg(F.min(ts).alias("_at"), F.max(ts).alias("_last"))
-    long = materialize(spans.filter(F.col("_last") >= F.col("_at") + ttl).select(key, "_at"))
-    taken = spans.select(key, F.col("_at").alias(ts))
-    if long.isEmpty():
-        return taken
-    later = materialize(known.join(long, key).filter(F.col(ts) >= F.col("_at") + ttl).select(key, ts))
-    while not long.isEmpty():
-        after = later.join(long, key).filter(F.col(ts) >= F.col("_at") + ttl)
-        long = materialize(after.groupBy(key).agg(F.min(ts).alias("_at")))
-        taken = taken.unionByName(long.select(key, F.col("_at").alias(ts)))
-    return taken
+    again = F.col("_last") >= F.col("_at") + ttl
+    parts = int(arrivals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    times = (
+        known.join(spans.filter(again).select(key), key, "left_semi")
+        .select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us")).distinct()
+        .repartition(parts, key).sortWithinPartitions(key, "_us")
+    )
+    followed = times.mapInPandas(_followed(ttl_seconds * 1_000_000), times.schema).select(
+        key, F.timestamp_micros("_us").cast(kind).alias(ts))
+    return spans.filter(~again).select(key, F.col("_at").alias(ts)).unionByName(followed)
 
 
 def batch_outcome(outcomes: DataFrame, by: str | Sequence[str]) -> DataFrame:

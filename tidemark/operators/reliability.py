@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.functions import scalars as S
+from tidemark.session import materialize
 
 
 def message_order(message_id: Column | str) -> Column:
@@ -122,14 +123,32 @@ def retain_newest(df: DataFrame, n: int, order_col: str = "server_ts",
     day = F.floor(F.col("_second") / 86_400)
     cut_day, after_day = _cut(rows, day, n)
     cut_second, newer = _cut(rows.filter(day == cut_day), F.col("_second"), n - after_day)
-    rest = [c for c in df.columns if c != order_col]
-    last = Window.orderBy(F.col(order_col).desc_nulls_last(),
-                          *[F.col(c).cast("string").desc_nulls_last() for c in rest])
-    border = rows.filter(F.col("_second") == cut_second).withColumn(
-        "_n", F.row_number().over(last)).filter(F.col("_n") <= n - after_day - newer).drop("_n")
+    border = _last_rows(rows.filter(F.col("_second") == cut_second), n - after_day - newer, order_col,
+                        [c for c in df.columns if c != order_col])
     return rows.filter(F.col("_second") > cut_second).unionByName(border).drop("_second")
 
 
+def _last_rows(df: DataFrame, n: Column, order_col: str, rest: list[str]) -> DataFrame:
+    """The last `n` rows by time and then by the other columns, without one task that sees them all.
+
+    Rows are dealt out in order and written, as their place must not change; equal ones are told apart
+    by a number. The rows in earlier parts, one count per part, and the place in its own part give the
+    rank.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(order_col).desc_nulls_last(),
+             *[F.col(c).cast("string").desc_nulls_last() for c in rest], F.col("_copy")]
+    dealt = materialize(
+        df.withColumn("_copy", F.monotonically_increasing_id()).repartitionByRange(parts, *order)
+        .withColumn("_part", F.spark_partition_id()))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("_part").agg(F.count("*").alias("_rows")).withColumn(
+        "_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).filter(F.col("_before") < n)
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    ranked = dealt.join(before.drop("_rows"), "_part").withColumn("_n", F.col("_before") + place)
+    return ranked.filter(F.col("_n") <= n).select(*df.columns)
+
+
 def _cut(df: DataFrame, slot: Column, n) -> tuple[Column, Column]:
     """The oldest time slot that the newest `n` rows reach into, and the rows in newer slots.
 

@@ -342,13 +342,15 @@ def ingest_outcome(t: Tables):
         "event_id", micros("arrival_ts", "arrival_us"), "deduplicated", "mode", "status")
 
 
-@query("ingest_outcome_claim_ttl", """
+DUCK_CLAIMS = """
 , taken AS (
   SELECT event_id, arrival_ts, n % 7 = 0 AND arrival_ts = server_ts + INTERVAL 1 HOUR AS dup
   FROM arrivals)
 SELECT event_id, epoch_us(arrival_ts) AS arrival_us, dup AS deduplicated, 'async' AS mode,
-       CASE WHEN dup THEN 'deduplicated' ELSE 'queued' END AS status FROM taken""",
-       ("arrivals",))
+       CASE WHEN dup THEN 'deduplicated' ELSE 'queued' END AS status FROM taken"""
+
+
+@query("ingest_outcome_claim_ttl", DUCK_CLAIMS, ("arrivals",))
 def ingest_outcome_claim_ttl(t: Tables):
     """Claims end after a day: the replay 25 hours later is queued again."""
     return dedup.ingest_outcome(t.arrivals, t.stored, "async", claim_ttl_seconds=86_400).select(

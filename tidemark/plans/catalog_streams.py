@@ -6,29 +6,47 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.plans.catalog import micros, query, text
-from tidemark.plans.catalog_ingest import scratch
-from tidemark.plans.testdata import STD_COLUMNS, Tables
+from tidemark.plans.catalog_ingest import DUCK_CLAIMS, scratch
+from tidemark.plans.catalog_telemetry import DUCK_QUOTA, DUCK_SCOPES
+from tidemark.plans.testdata import ACCESS_COLUMNS, STD_COLUMNS, Tables
 from tidemark.schemas import MESSAGES, RAW_EVENTS
 from tidemark.sources import tables as store
 from tidemark.sources.events import read_event_stream
-from tidemark.streaming import ingest, live
+from tidemark.streaming import ingest, live, stateful
 
 
-PARTS = 4
+PARTS, FILES = 4, 4
 
 
 def in_files(df: DataFrame, part, path: str, file_format: str = "parquet") -> str:
-    """Write the rows in `PARTS` files, one after another, for a stream to take one per batch."""
+    """Write the rows once, in `FILES` files for each of `PARTS` parts, the first part oldest, so that
+    a stream that takes `FILES` files a batch gets one part after another."""
+    df.withColumn("part", part).repartition(FILES).write.partitionBy("part").format(
+        file_format).save(path)
+    spark = df.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    start = files.getFileStatus(root).getModificationTime()
     for i in range(PARTS):
-        df.filter(part == i).coalesce(1).write.format(file_format).save(f"{path}/part={i}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part={i}")
+        if files.exists(folder):
+            for status in files.listStatus(folder):
+                files.setTimes(status.getPath(), start + 1_000 * i, -1)
     return f"{path}/part=*"
 
 
-def raw_stream(t: Tables) -> DataFrame:
+def raw_stream(t: Tables, part=None) -> DataFrame:
     """The event table in time order, in several batches, so that state is carried over."""
     week = F.least(F.lit(PARTS - 1), F.floor((F.dayofmonth("ts") - 1) / 8).cast("int"))
-    path = in_files(t.events, week, f"{scratch(t)}/files")
-    return read_event_stream(t.spark, path, 1, RAW_EVENTS, "parquet")
+    path = in_files(t.events, week if part is None else part, f"{scratch(t)}/files")
+    return read_event_stream(t.spark, path, FILES, RAW_EVENTS, "parquet")
+
+
+def numbered_stream(t: Tables) -> DataFrame:
+    """The event table in the order of its ids, in several batches."""
+    last = t.events.agg(F.max("event_id")).first()[0] or 0
+    part = F.least(F.lit(PARTS - 1), F.floor(F.col("event_id") * PARTS / (last + 1)).cast("int"))
+    return raw_stream(t, part)
 
 
 def event_stream(t: Tables) -> DataFrame:
@@ -115,6 +133,44 @@ def dedup_ttl_stream(t: Tables):
     return t.spark.read.schema(rows.schema).parquet(f"{path}/out")
 
 
+@query("stream_sliding_quota", DUCK_QUOTA, recursive=True)
+def stream_sliding_quota(t: Tables):
+    """The log of `sliding_quota` in four batches; three keys hold all requests."""
+    requests = numbered_stream(t).select(
+        (F.col("user_id") % 3).alias("k"), (F.col("event_id") * 500).alias("t"), "event_id")
+    path = scratch(t)
+    ruled = stateful.stream_quota(requests, "k", "t", 30, order=["event_id"]).select(
+        "k", "t", "allowed", "count", "reset_s")
+    landed(ruled, path)
+    return t.spark.read.schema(ruled.schema).parquet(path)
+
+
+@query("stream_quota_scopes", DUCK_SCOPES + "SELECT * FROM ruled", ("access_log",), recursive=True)
+def stream_quota_scopes(t: Tables):
+    log = numbered_stream(t).selectExpr(*ACCESS_COLUMNS).withColumn("t", F.col("n") * 50)
+    path = scratch(t)
+    ruled = stateful.stream_quota_scopes(log, "t", ["n"], {"ip": 30, "user": 12, "events": 5}).select(
+        "n", "denied_scope", "ip_remaining", "user_remaining", "events_remaining")
+    landed(ruled, path)
+    return t.spark.read.schema(ruled.schema).parquet(path)
+
+
+@query("stream_claims", DUCK_CLAIMS, ("arrivals",))
+def stream_claims(t: Tables):
+    """Arrivals in four batches by their time; claims end a day after they were made."""
+    arrivals = t.arrivals.select("event_id", "n", F.col("arrival_ts").cast("timestamp").alias(
+        "arrival_ts"))
+    week = F.least(F.lit(PARTS - 1), F.floor(
+        F.datediff("arrival_ts", F.lit("2024-01-01").cast("date")) / 8).cast("int"))
+    path = scratch(t)
+    files = in_files(arrivals, F.greatest(F.lit(0), week), f"{path}/files")
+    stream = read_event_stream(t.spark, files, FILES, arrivals.schema, "parquet")
+    told = stateful.stream_claims(stream, order=["n"]).select(
+        "event_id", micros("arrival_ts", "arrival_us"), "deduplicated", "mode", "status")
+    landed(told, f"{path}/out")
+    return t.spark.read.schema(told.schema).parquet(f"{path}/out")
+
+
 _DUCK_FINAL = """
 , final AS (SELECT *, CASE WHEN verdict = 'ok' THEN 'write' ELSE 'dlq' END AS final_route
             FROM classified)
@@ -175,7 +231,7 @@ def ingest_stream_retry(t: Tables):
     landing = in_files(sent, F.col("message_id").cast("bigint") % PARTS, f"{path}/landing", "json")
     schema = T.StructType([*MESSAGES.fields, T.StructField("delivery_count", T.IntegerType())])
     out = ingest.IngestTables(f"{path}/tables")
-    ingest.run_ingest(read_event_stream(t.spark, landing, 1, schema), out, f"{path}/checkpoint",
+    ingest.run_ingest(read_event_stream(t.spark, landing, FILES, schema), out, f"{path}/checkpoint",
                       once=True).awaitTermination()
     count = F.col("delivery_count").cast("bigint")
     places = (

@@ -203,7 +203,7 @@ def burst(t: Tables):
         (F.col("user_id") % 3).alias("k"), (F.col("event_id") * 500).alias("t"), "event_id")
 
 
-@query("sliding_quota", """
+DUCK_QUOTA = """
 , r AS (SELECT user_id % 3 AS k, event_id * 500 AS t,
                row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS n FROM events),
 q AS (SELECT k, n, t, [t] AS st, true AS allowed, CAST(1 AS BIGINT) AS cnt,
@@ -217,7 +217,10 @@ q AS (SELECT k, n, t, [t] AS st, true AS allowed, CAST(1 AS BIGINT) AS cnt,
                   ELSE CAST(ceil((x.f[1] + 60000 - x.t) / 1000) AS BIGINT) END
       FROM (SELECT r.k, r.n, r.t, list_filter(q.st, lambda v: v > r.t - 60000) AS f
             FROM q JOIN r ON r.k = q.k AND r.n = q.n + 1) x)
-SELECT k, t, allowed, cnt AS "count", reset_s FROM q""", recursive=True)
+SELECT k, t, allowed, cnt AS "count", reset_s FROM q"""
+
+
+@query("sliding_quota", DUCK_QUOTA, recursive=True)
 def sliding_quota(t: Tables):
     return quota.sliding_quota(burst(t), "k", "t", 30, order=["event_id"]).select(
         "k", "t", "allowed", "count", "reset_s")
@@ -255,7 +258,7 @@ q_{name} AS (SELECT k, i, n, t, [t] AS st, true AS allowed, CAST(1 AS BIGINT) AS
                    FROM q_{name} q JOIN r_{name} r ON r.k = q.k AND r.i = q.i + 1) x)"""
 
 
-_DUCK_SCOPES = f"""
+DUCK_SCOPES = f"""
 , log AS (SELECT n, n * 50 AS t, ip, user_id, event_write FROM access_log),
 {_scope("ip", "log", "ip", 30)},
 l_user AS (SELECT log.* FROM log JOIN q_ip q ON q.n = log.n WHERE q.allowed),
@@ -273,13 +276,13 @@ ruled AS (
 """
 
 
-@query("quota_scopes", _DUCK_SCOPES + "SELECT * FROM ruled", ("access_log",), recursive=True)
+@query("quota_scopes", DUCK_SCOPES + "SELECT * FROM ruled", ("access_log",), recursive=True)
 def quota_scopes(t: Tables):
     return ruled(t).select("n", "denied_scope", "ip_remaining", "user_remaining",
                            "events_remaining")
 
 
-@query("quota_hits_by_scope", _DUCK_SCOPES + """
+@query("quota_hits_by_scope", DUCK_SCOPES + """
 SELECT denied_scope AS scope, count(*) AS n FROM ruled WHERE denied_scope IS NOT NULL GROUP BY 1""",
        ("access_log",), recursive=True)
 def quota_hits_by_scope(t: Tables):
