@@ -30,7 +30,7 @@ def cohort_events(events: DataFrame, cohort: DataFrame, user_col: str = "user_id
     return events.join(cohort.select(user_col), user_col, "left_semi")
 
 
-def _with_rates(counts: DataFrame) -> DataFrame:
+def with_rates(counts: DataFrame) -> DataFrame:
     return counts.withColumns({
         "d1_rate": S.rate_decimal(F.col("d1_retained"), F.col("cohort_size")),
         "d7_rate": S.rate_decimal(F.col("d7_retained"), F.col("cohort_size")),
@@ -66,7 +66,7 @@ def retention(events: DataFrame, cohort_day, user_col: str = "user_id",
         F.coalesce(F.sum("_d1"), F.lit(0)).alias("d1_retained"),
         F.coalesce(F.sum("_d7"), F.lit(0)).alias("d7_retained"),
     )
-    return _with_rates(counts.select(day.alias("cohort_date"), "*"))
+    return with_rates(counts.select(day.alias("cohort_date"), "*"))
 
 
 def retention_for_cohorts(events: DataFrame, seen: DataFrame, cohorts: DataFrame,
@@ -90,7 +90,7 @@ def retention_for_cohorts(events: DataFrame, seen: DataFrame, cohorts: DataFrame
                            F.count_if(F.col("_age") == 7).alias("d7_retained"))
     sizes = members.groupBy("cohort_date").agg(F.count("*").alias("cohort_size"))
     counts = wanted.join(sizes, "cohort_date", "left").join(back, "cohort_date", "left")
-    return _with_rates(counts.select("cohort_date", *[
+    return with_rates(counts.select("cohort_date", *[
         F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
         for c in ("cohort_size", "d1_retained", "d7_retained")]))
 
@@ -113,7 +113,7 @@ def retention_series(events: DataFrame, user_col: str = "user_id", ts_col: str =
              F.count_if(F.col("_age") == 1).alias("d1_retained"),
              F.count_if(F.col("_age") == 7).alias("d7_retained"))
     )
-    out = _with_rates(counts)
+    out = with_rates(counts)
     if as_of is None:
         return out
     return out.withColumn("complete", F.to_date(S.at(as_of)) >= F.date_add("cohort_date", 8))

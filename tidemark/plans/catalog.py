@@ -38,5 +38,5 @@ def micros(c: str, alias: str) -> Column:
 
 def load_all() -> None:
     from tidemark.plans import (  # noqa: F401
-        catalog_ingest, catalog_metrics, catalog_streams, catalog_telemetry,
+        catalog_ingest, catalog_metrics, catalog_state, catalog_streams, catalog_telemetry,
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark import config
+from tidemark.operators import sketches
 from tidemark.operators.users import known_users
 from tidemark.sources import tables
 
@@ -76,6 +77,13 @@ def stream_funnel(stream: DataFrame, steps: Sequence[str] = config.FUNNEL_STEPS,
     )
 
 
+def stream_latency(stream: DataFrame, ts_col: str = "ts", window: str = "5 minutes") -> DataFrame:
+    """A latency sketch per window, method and normalised path, kept up to date; `latency_report` reads
+    quantiles of any range from the board."""
+    timed = stream.withWatermark(ts_col, WATERMARK).withColumnRenamed(ts_col, "ts")
+    return sketches.latency_sketches(timed, window).withColumn("window_date", F.to_date("at"))
+
+
 def run_board(board: DataFrame, path: str, keys: str | Sequence[str], checkpoint: str,
               once: bool = False, every: str = "5 seconds",
               day_col: str | None = None) -> StreamingQuery:
