@@ -277,16 +277,45 @@ def aggregate_row(load_stats: DataFrame, row_order: str) -> DataFrame:
     )
 
 
+def _totals(query_log: DataFrame) -> DataFrame:
+    return query_log.groupBy("query").agg(
+        F.count("*").alias("calls"), F.sum(F.col("duration_ms").cast("decimal(24,6)")).alias("_total"),
+        F.sum("rows").alias("rows"))
+
+
+def _top(totals: DataFrame, n: int) -> DataFrame:
+    return totals.orderBy(F.col("_total").desc(), "query").limit(n).select(
+        F.substring("query", 1, 120).alias("query_preview"), "calls",
+        F.round("_total", 2).cast("double").alias("total_ms"),
+        F.round(F.col("_total") / F.col("calls"), 2).cast("double").alias("mean_ms"), "rows")
+
+
 def top_statements(query_log: DataFrame, n: int = 20) -> DataFrame:
     """The `n` statements with the most total time: 120-character preview, calls, total and
     mean milliseconds with two decimals, rows."""
-    total = F.sum(F.col("duration_ms").cast("decimal(24,6)"))
-    return (
-        query_log.groupBy("query").agg(F.count("*").alias("calls"), total.alias("_total"),
-                                       F.sum("rows").alias("rows"))
-        .orderBy(F.col("_total").desc(), "query").limit(n)
-        .select(F.substring("query", 1, 120).alias("query_preview"), "calls",
-                F.round("_total", 2).cast("double").alias("total_ms"),
-                F.round(F.col("_total") / F.col("calls"), 2).cast("double").alias("mean_ms"),
-                "rows")
-    )
+    return _top(_totals(query_log), n)
+
+
+def top_statements_bounded(query_log: DataFrame, n: int = 20,
+                           buckets: int = 1 << 20) -> DataFrame:
+    """The same rows where most statements differ, as with literals in their text.
+
+    Statements are dealt into `buckets` by a hash, and a bucket's time bounds that of each statement in
+    it; one number per bucket is shuffled, whatever the statements. The `n`-th best total of the
+    statements in the fullest buckets is a floor, and only buckets that reach it can hold one of the
+    best: their statements alone are totalled by text. With fewer than `n` statements there, or a
+    floor of 0, all buckets are.
+    """
+    time = F.col("duration_ms").cast("decimal(24,6)")
+    log = query_log.withColumn("_bucket", F.pmod(F.xxhash64("query"), F.lit(buckets)))
+    bounds = materialize(log.groupBy("_bucket").agg(
+        F.sum(F.greatest(time, F.lit(0).cast("decimal(24,6)"))).alias("_bound")))
+    fullest = bounds.orderBy(F.col("_bound").desc(), "_bucket").limit(4 * n).select("_bucket")
+    first = _totals(log.join(fullest, "_bucket", "left_semi")).orderBy(
+        F.col("_total").desc()).limit(n)
+    found = first.agg(F.count("*").alias("_n"), F.min("_total").alias("_floor"),
+                      F.count("_total").alias("_known"))
+    floor = found.select(F.when((F.col("_known") == n) & (F.col("_floor") > 0),
+                                F.col("_floor"))).scalar()
+    wanted = bounds.filter(F.coalesce(F.col("_bound") >= floor, F.lit(True))).select("_bucket")
+    return _top(_totals(log.join(wanted, "_bucket", "left_semi")), n)

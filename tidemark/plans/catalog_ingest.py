@@ -235,6 +235,16 @@ def properties_filter(t: Tables):
     return activity.has_property(t.std, "$.k", 42).select("n")
 
 
+@query("properties_filter_promoted", """
+SELECT n FROM std WHERE CAST(json_extract(properties, '$.k') AS BIGINT) = 42""", ("std",))
+def properties_filter_promoted(t: Tables):
+    """The same filter over files that hold the property in a column of its own."""
+    path, paths = scratch(t), {"$.k": "bigint"}
+    activity.promote_properties(t.std, paths).write.options(
+        **activity.bloom_filters(paths)).parquet(path)
+    return activity.has_property(t.spark.read.parquet(path), "$.k", 42).select("n")
+
+
 @query("session_events", """
 SELECT n, event_type FROM std WHERE session_id = 's-8-2024-01-01'""", ("std",))
 def session_events(t: Tables):

@@ -9,6 +9,7 @@ from tidemark.plans.catalog_ingest import scratch
 from tidemark.plans.summary import metrics_summary
 from tidemark.plans.testdata import Tables
 from tidemark.session import materialize
+from tidemark.sources import tables
 
 STEPS = ["view", "search", "add_to_cart", "order"]
 
@@ -78,6 +79,27 @@ def daily_metric_by_dim(t: Tables):
         text("metric_date"), "name", "dimensions", "dim_hash", as_double("value"))
 
 
+@query("daily_metric_by_dim_sets", """
+, k AS (SELECT CAST(CAST(server_ts AS DATE) AS VARCHAR) AS metric_date, event_type, user_id,
+               CAST(n % 4 AS VARCHAR) AS shard FROM std WHERE user_id IS NOT NULL),
+r AS (SELECT metric_date, '{}' AS dimensions, count(DISTINCT user_id) AS u FROM k GROUP BY 1
+      UNION ALL SELECT metric_date, '{"event_type":"' || event_type || '"}', count(DISTINCT user_id)
+      FROM k GROUP BY 1, 2
+      UNION ALL SELECT metric_date, '{"shard":"' || shard || '"}', count(DISTINCT user_id)
+      FROM k GROUP BY 1, 2
+      UNION ALL SELECT metric_date, '{"event_type":"' || event_type || '","shard":"' || shard || '"}',
+                       count(DISTINCT user_id)
+      FROM k GROUP BY 1, 2)
+SELECT metric_date, 'dau' AS name, dimensions,
+       CASE WHEN dimensions = '{}' THEN '' ELSE sha256(dimensions) END AS dim_hash,
+       CAST(u AS DOUBLE) AS value FROM r""", ("std",))
+def daily_metric_by_dim_sets(t: Tables):
+    rows = t.std.withColumn("shard", (F.col("n") % 4).cast("string"))
+    return users.daily_metric_by_dim_sets(
+        rows, [[], ["event_type"], ["shard"], ["shard", "event_type"]]).select(
+        text("metric_date"), "name", "dimensions", "dim_hash", as_double("value"))
+
+
 # -- funnel ------------------------------------------------------------------------------------
 
 _DUCK_FUNNEL = """
@@ -400,6 +422,24 @@ def stored_retention(t: Tables):
                       "complete")
 
 
+@query("refreshed_dau", """
+, s AS (SELECT CAST(server_ts AS DATE) AS d, user_id,
+               n % 5 = 0 AND CAST(server_ts AS DATE) <= DATE '2024-01-10' AS late FROM std)
+SELECT CAST(d AS VARCHAR) AS metric_date, count(DISTINCT user_id) AS dau,
+       count(*) FILTER (late) > 0 AS recomputed FROM s GROUP BY 1""", ("std",))
+def refreshed_dau(t: Tables):
+    """The second batch brings late events of ten days; the second refresh computes just those."""
+    path, late = scratch(t), (F.col("n") % 5 == 0) & (F.to_date("server_ts") <= "2024-01-10")
+    for i, batch in enumerate((t.std.filter(~late), t.std.filter(late))):
+        tables.write_events(batch, f"{path}/events", i)
+        done = snapshots.refresh_daily_users(tables.read_stored_events(t.spark, f"{path}/events"),
+                                             f"{path}/snapshots", AS_OF)
+    again = done.select("metric_date", F.lit(True).alias("recomputed"))
+    return snapshots.refreshed_daily_users(t.spark, f"{path}/snapshots").join(
+        again, "metric_date", "left").select(
+        text("metric_date"), "dau", F.coalesce("recomputed", F.lit(False)).alias("recomputed"))
+
+
 # -- users and lookups -------------------------------------------------------------------------
 
 @query("users_with_role", """

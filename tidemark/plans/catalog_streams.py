@@ -12,7 +12,7 @@ from tidemark.plans.testdata import ACCESS_COLUMNS, STD_COLUMNS, Tables
 from tidemark.schemas import MESSAGES, RAW_EVENTS
 from tidemark.sources import tables as store
 from tidemark.sources.events import read_event_stream
-from tidemark.streaming import ingest, live, stateful
+from tidemark.streaming import ingest, live, progress, stateful
 
 
 PARTS, FILES = 4, 4
@@ -188,7 +188,10 @@ def ran(t: Tables) -> ingest.IngestTables:
     sent_twice(t).write.json(f"{path}/landing")
     out = ingest.IngestTables(f"{path}/tables")
     stream = read_event_stream(t.spark, f"{path}/landing", 4)
-    ingest.run_ingest(stream, out, f"{path}/checkpoint", once=True).awaitTermination()
+    with progress.recorded(t.spark, f"{path}/progress") as table:
+        writer = ingest.run_ingest(stream, out, f"{path}/checkpoint", once=True)
+        writer.awaitTermination()
+        table.wait(writer)
     return out
 
 
@@ -272,3 +275,18 @@ WHERE final_route = 'dlq' GROUP BY 1""", ("classified",))
 def ingest_stream_dead_letters(t: Tables):
     letters = ingest.dead_letters(t.spark, ran(t))
     return letters.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("ingest_stream_progress", """
+SELECT CAST(2 * count(*) AS BIGINT) AS input_rows, true AS counts_agree, true AS nothing_left
+FROM messages""", ("messages",))
+def ingest_stream_progress(t: Tables):
+    """What the running writer reported, against the counts it stored: every row that came in is
+    written, waiting or dead, and nothing was left in the source at the end."""
+    out = ran(t)
+    seen = progress.read_progress(t.spark, f"{out.root.removesuffix('/tables')}/progress")
+    fates = ingest.write_counts(t.spark, out).agg(
+        F.sum(F.col("processed") + F.col("dead_lettered") + F.col("pending"))).scalar()
+    return seen.agg(
+        F.sum("input_rows").alias("input_rows"), (F.sum("input_rows") == fates).alias("counts_agree"),
+        F.coalesce(F.max_by("behind", "batch_id") == 0, F.lit(True)).alias("nothing_left"))

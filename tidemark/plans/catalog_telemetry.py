@@ -135,20 +135,32 @@ def load_stats_csv(t: Tables):
     return _total(telemetry.aggregate_row(rows, "row_no"))
 
 
-@query("top_statements", """
+_DUCK_STATEMENTS = """
 , q AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'SELECT count(*) FROM events WHERE user_id = '
                || user_id ELSE 'SELECT ' || repeat('x', 150) || user_id END AS query,
                value AS duration_ms, event_id % 10 AS rows FROM events)
 SELECT substring(query, 1, 120) AS query_preview, count(*) AS calls,
        CAST(round(sum(CAST(duration_ms AS DECIMAL(24,6))), 2) AS DOUBLE) AS total_ms,
        CAST(round(avg(duration_ms), 2) AS DOUBLE) AS mean_ms, CAST(sum(rows) AS BIGINT) AS rows
-FROM q GROUP BY query ORDER BY sum(CAST(duration_ms AS DECIMAL(24,6))) DESC, query LIMIT 20""")
-def top_statements(t: Tables):
-    log = t.events.selectExpr(
+FROM q GROUP BY query ORDER BY sum(CAST(duration_ms AS DECIMAL(24,6))) DESC, query LIMIT 20"""
+
+
+def statement_log(t: Tables):
+    return t.events.selectExpr(
         "CASE WHEN event_id % 2 = 0 THEN concat('SELECT count(*) FROM events WHERE user_id = ',"
         " user_id) ELSE concat('SELECT ', repeat('x', 150), user_id) END AS query",
         "value AS duration_ms", "event_id % 10 AS rows")
-    return telemetry.top_statements(log)
+
+
+@query("top_statements", _DUCK_STATEMENTS)
+def top_statements(t: Tables):
+    return telemetry.top_statements(statement_log(t))
+
+
+@query("top_statements_bounded", _DUCK_STATEMENTS)
+def top_statements_bounded(t: Tables):
+    """The same without a total per statement: most texts are never compared."""
+    return telemetry.top_statements_bounded(statement_log(t))
 
 
 # -- ingest telemetry --------------------------------------------------------------------------

@@ -6,7 +6,7 @@ read. Missing keys read the days they need only.
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,3 +73,51 @@ def cohort_retention(events: DataFrame, seen: DataFrame, cohorts: DataFrame, pat
         lambda missing: retention.retention_for_cohorts(events, seen, missing, user_col, ts_col),
         as_of)
     return out.withColumn("complete", F.to_date("computed_at") >= F.date_add("cohort_date", 8))
+
+
+MARKS = T.StructType([T.StructField("name", T.StringType()), T.StructField("stream", T.StringType()),
+                      T.StructField("batch_id", T.LongType())])
+
+
+def late_days(stored: DataFrame, marks: DataFrame, name: str) -> DataFrame:
+    """The days of all batches of the event table that a snapshot has not seen: `metric_date`. Reads
+    the folder columns of newer batches only."""
+    seen = marks.filter(F.col("name") == name).select("stream", F.col("batch_id").alias("_seen"))
+    fresh = stored.select("stream", "batch_id", "event_date").join(seen, "stream", "left").filter(
+        F.col("_seen").isNull() | (F.col("batch_id") > F.col("_seen")))
+    return fresh.select(F.col("event_date").alias("metric_date")).distinct()
+
+
+def refresh_daily_users(stored: DataFrame, path: str, as_of, user_col: str = "user_id",
+                        name: str = "dau") -> DataFrame:
+    """Bring the stored daily users up to date with the event table `stored` (`read_stored_events`):
+    the days that batches since the last refresh have events on are computed anew, late events or not,
+    and no other day. Returns these days as `metric_date, dau`.
+
+    The newest batch of each stream is noted after the days are stored, so a refresh that fails is
+    made up for by the next one.
+    """
+    spark = stored.sparkSession
+    marks_path, table = f"{path}/{name}-marks", f"{path}/{name}"
+    marks = tables.read_snapshot(spark, marks_path, MARKS)
+    # Fixed before the days are counted: a batch that arrives meanwhile is left to the next refresh.
+    newest = materialize(stored.groupBy("stream").agg(F.max("batch_id").alias("batch_id")).select(
+        F.lit(name).alias("name"), "stream", "batch_id"))
+    now = newest.select("stream", F.col("batch_id").alias("_now"))
+    upto = stored.join(now, "stream").filter(F.col("batch_id") <= F.col("_now"))
+    days = materialize(late_days(upto, marks, name))
+    counted = users.dau_for_days(upto, days, user_col)
+    rows = users.as_daily_metric(counted, name, "dau", as_of).withColumn(
+        "computed_at", F.col("computed_at").cast("timestamp"))
+    fresh = materialize(rows.select(*[F.col(f.name).cast(f.dataType)
+                                      for f in schemas.DAILY_METRICS.fields]))
+    if not fresh.isEmpty():
+        tables.upsert_snapshot(spark, table, fresh, ["metric_date", "name", "dim_hash"])
+        tables.upsert_snapshot(spark, marks_path, newest, ["name", "stream"])
+    return fresh.select("metric_date", F.col("value").cast("bigint").alias("dau"))
+
+
+def refreshed_daily_users(spark: SparkSession, path: str, name: str = "dau") -> DataFrame:
+    """All stored days: `metric_date, dau, computed_at`."""
+    return tables.read_snapshot(spark, f"{path}/{name}", schemas.DAILY_METRICS).select(
+        "metric_date", F.col("value").cast("bigint").alias("dau"), "computed_at")

@@ -9,7 +9,7 @@ version it was computed from. One writer per table.
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,13 +37,15 @@ def append_events(batch: DataFrame, target: DataFrame, key: str = "event_id",
     return dedup.first_new_events(batch, target, key, order)
 
 
-def write_events(rows: DataFrame, path: str, batch: Batch | int) -> None:
+def write_events(rows: DataFrame, path: str, batch: Batch | int,
+                 counted: Observation | None = None) -> None:
     """Add a batch to the event table, one folder per day, rows in time order within files. An event
     without an `id` gets one made of its event id.
 
     Rows are rebalanced by day: quiet days end in one file, a busy day is split by size. Time
     order keeps row-group ranges narrow for trailing-window reads; the bloom filter, sized by
-    the ids of a file, lets a lookup by id skip row groups.
+    the ids of a file, lets a lookup by id skip row groups. `counted` learns the number of `rows`
+    from the write itself.
     """
     known = F.col("id").cast("string") if "id" in rows.columns else F.lit(None).cast("string")
     rows = rows.withColumn("id", F.coalesce(known, S.uuid_of(F.col("event_id").cast("string"))))
@@ -52,9 +54,12 @@ def write_events(rows: DataFrame, path: str, batch: Batch | int) -> None:
           else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.EVENTS.fields],
         F.to_date("server_ts").alias("event_date"),
     )
+    sorted_rows = full.hint("rebalance", "event_date").sortWithinPartitions(
+        "event_date", "server_ts")
+    if counted is not None:
+        sorted_rows = sorted_rows.observe(counted, F.count("*").alias("rows"))
     write_batch(
-        full.hint("rebalance", "event_date").sortWithinPartitions(
-            "event_date", "server_ts"), path, batch, ["event_date"],
+        sorted_rows, path, batch, ["event_date"],
         **{"parquet.bloom.filter.enabled#event_id": "true",
            "parquet.bloom.filter.adaptive.enabled": "true"},
     )
