@@ -1,17 +1,20 @@
 """Registered queries: answers from stored state instead of events. Each builds its state from the whole
 table, in batches, and then reads the state alone."""
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import retention, sketches, user_sets
 from tidemark.plans import user_state
-from tidemark.plans.catalog import query, text
+from tidemark.plans.catalog import micros, query, text
 from tidemark.plans.catalog_ingest import scratch
 from tidemark.plans.catalog_streams import board, raw_stream
 from tidemark.plans.testdata import ACCESS_COLUMNS, DUCK_NORMAL_PATH, Tables
 from tidemark.session import materialize
+from tidemark.sources.buckets import KeyTable
 from tidemark.streaming import live
 
 STEPS = ["view", "search", "add_to_cart", "order"]
@@ -122,3 +125,17 @@ def stream_latency_sketch(t: Tables):
     stream = raw_stream(t).selectExpr(*ACCESS_COLUMNS).withColumn("ts", F.col("ts").cast("timestamp"))
     shown = board(t, live.stream_latency(stream), ["at", "method", "path"], "window_date")
     return near_ranks(sketches.latency_report(shown), t.access_log)
+
+
+@query("first_seen_bucketed", """
+SELECT user_id, epoch_us(min(server_ts)) AS first_us FROM std WHERE user_id IS NOT NULL
+GROUP BY user_id""", ("std",))
+def first_seen_bucketed(t: Tables):
+    """Two batches, the later events first, so that the second one moves first times back."""
+    name = uuid.uuid4().hex
+    table = KeyTable(f"first_seen_{name}", f"{scratch(t)}/first_seen", "user_id", parts=8, buckets=8)
+    late = F.to_date("server_ts") <= "2024-01-08"
+    for batch in (t.std.filter(~late), t.std.filter(late)):
+        user_state.add_first_seen(batch, table)
+    return user_state.first_seen_table(t.spark, table, t.std).select(
+        "user_id", micros("first_ts", "first_us"))

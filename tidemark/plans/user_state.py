@@ -3,6 +3,7 @@ bitmaps of the active ones per day and event type.
 
     <path>/numbers/batch=<n>     user, number
     <path>/bitmaps/metric_date=  event_type, block, bitmap
+    first-seen table             user, first_ts, in buckets by user
 
 A batch that is repeated writes the same numbers into its own folder and sets the same bits.
 """
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators import user_sets
-from tidemark.sources import tables
+from tidemark.operators import retention, user_sets
+from tidemark.sources import buckets, tables
 from tidemark.sources.batches import children, complete
 
 BITMAPS = T.StructType([
@@ -57,3 +58,22 @@ def add_batch(events: DataFrame, path: str, batch: int, user_col: str = "user_id
         ["metric_date", "event_type"])
     tables.upsert_by_day(spark, f"{path}/bitmaps", merged.select(
         *[F.col(f.name).cast(f.dataType) for f in BITMAPS.fields]), _KEYS, "metric_date")
+
+
+def _first_seen_schema(events: DataFrame, user_col: str) -> T.StructType:
+    return T.StructType([T.StructField(user_col, events.schema[user_col].dataType),
+                         T.StructField("first_ts", T.TimestampType())])
+
+
+def first_seen_table(spark: SparkSession, table: buckets.KeyTable, events: DataFrame) -> DataFrame:
+    """The stored first-seen table: user, first_ts. Joins and aggregates by user do not move it."""
+    return buckets.open_table(spark, table, _first_seen_schema(events, table.key)).drop("part")
+
+
+def add_first_seen(events: DataFrame, table: buckets.KeyTable, ts_col: str = "server_ts") -> None:
+    """Bring the first-seen table up to date with a batch of events, late ones included. Only the batch
+    is shuffled; the parts its users lie in are read in place and rewritten."""
+    seen = retention.first_seen(events, table.key, ts_col).withColumn(
+        "first_ts", F.col("first_ts").cast("timestamp"))
+    buckets.merge(events.sparkSession, table, seen, _first_seen_schema(events, table.key),
+                  {"first_ts": F.least("old.first_ts", "new.first_ts")})
