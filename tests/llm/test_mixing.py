@@ -72,7 +72,7 @@ def test_slices_give_the_same_mix(spark, monkeypatch):
 def test_mix_is_in_order_of_position_and_keeps_columns(spark):
     rows = corpus()
     out = mixing.mix(table(spark, rows))
-    assert out.columns == ["doc_id", "text", "source", "size", "source_size", "target", "copy",
+    assert out.columns == ["doc_id", "text", "source", "rank", "size", "source_size", "target", "copy",
                            "position", "taken"]
     got = out.collect()
     assert [r.position for r in got] == sorted(r.position for r in got)

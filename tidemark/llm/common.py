@@ -50,6 +50,20 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
         tables.close()
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """A name for a helper column that none of the columns has; case makes no difference."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(columns: list[str], names) -> list[str]:
+    """The columns but for those that a result's own columns replace."""
+    gone = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in gone]
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write a result whose inputs are about to be deleted; it stays in the shared folder."""
     return Scratch(df.sparkSession).table(df)

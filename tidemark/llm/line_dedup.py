@@ -8,7 +8,7 @@ a few standard errors of it get an exact distinct count. The first occurrence of
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, keep, scratch
+from tidemark.llm.common import Scratch, free_name, keep, scratch, without
 
 MIN_SITES = 10
 SKETCH_BITS = 10
@@ -60,29 +60,32 @@ def remove_spread_lines(docs: DataFrame, site: str = "source",
     `min_sites` distinct sites or more are removed everywhere but at their first occurrence, by
     doc_id and line. Blank lines are never counted or removed; the other lines stay as they are.
 
-    A null text stays null with no lines, an empty text stays empty. A null site is one site. A null
+    A null text stays null with no lines, an empty text stays empty, texts have any length. A null site is one site. A null
     doc_id comes before all others. Repeated rows are treated alike, so the first occurrence stays
     in each of them. Columns named n_lines or n_removed are replaced. An empty table gives an empty
     table.
     """
-    docs = docs.drop("n_lines", "n_removed", "_id", "_version", "_removed")
+    docs = docs.select(*[docs[f"`{c}`"] for c in without(docs.columns, ("n_lines", "n_removed"))])
+    gone, gone_id, gone_version = (free_name(n, docs.columns) for n in ("_removed", "_id", "_version"))
     with scratch(docs.sparkSession) as tables:
         lines = tables.table(_lines(docs, site))
         flagged = flagged_lines(lines, tables, min_sites)
         here = F.struct("doc_id", "version", "at")
         removed = keep(lines.join(flagged, ["h", "g"])
                        .filter(~here.eqNullSafe(F.col("first")))
-                       .select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"),
+                       .select(F.col("doc_id").alias(gone_id), F.col("version").alias(gone_version),
                                "at")
-                       .groupBy("_id", "_version").agg(F.collect_set("at").alias("_removed")))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (
-        F.xxhash64(docs["text"]) == F.col("_version"))
+                       .groupBy(gone_id, gone_version).agg(F.collect_set("at").alias(gone)))
+    same = docs["doc_id"].eqNullSafe(F.col(gone_id)) & (
+        F.xxhash64(docs["text"]) == F.col(gone_version))
     parts = F.split(docs["text"], "\n")
-    left = F.filter(parts, lambda x, i: ~F.array_contains(F.col("_removed"), i))
+    # By a hash of the numbers, so that a long text costs no more per line than a short one.
+    stays = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    left = F.transform(stays, lambda i: F.get(parts, i))
     whole = F.filter(parts, lambda x: F.btrim(x, F.lit(" \t\r")) != "")
     return docs.join(removed, same, "left").select(
-        *[F.when(F.col("_removed").isNull(), docs["text"])
-          .otherwise(F.array_join(left, "\n")).alias("text") if c == "text" else docs[c]
+        *[F.when(F.col(gone).isNull(), docs["text"])
+          .otherwise(F.array_join(left, "\n")).alias("text") if c == "text" else docs[f"`{c}`"]
           for c in docs.columns],
         F.coalesce(F.size(whole), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("_removed"), F.lit(0)).alias("n_removed"))
+        F.coalesce(F.size(gone), F.lit(0)).alias("n_removed"))

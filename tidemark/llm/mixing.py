@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import Scratch, keep, scratch
+from tidemark.llm.common import Scratch, keep, scratch, without
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROWS_PER_SLICE = 20_000
@@ -118,6 +118,12 @@ def place(docs: DataFrame, curriculum: Curriculum = Curriculum()) -> DataFrame:
     second_position. The last document of a source's share is cut at the target: `taken` counts
     the words of it that the mix still takes. Columns of these names are replaced.
     """
+    placed = _placed(docs, curriculum)
+    return placed.select(*[F.col("row")[c].alias(c) for c in without(docs.columns, _OUT)], *_OUT)
+
+
+def _placed(docs: DataFrame, curriculum: Curriculum) -> DataFrame:
+    """`row`, a struct of all columns of `docs`, and the result's own columns."""
     key = ["_stream", "_slice"]
     with scratch(docs.sparkSession) as tables:
         rows = tables.table(_streams(docs.select("doc_id", "source", "text"), curriculum, 8)
@@ -134,16 +140,17 @@ def place(docs: DataFrame, curriculum: Curriculum = Curriculum()) -> DataFrame:
         before = F.sum("_in").over(Window.partitionBy("_stream").orderBy("_slice")) - F.col("_in")
         offsets = keep(sums.select(*key, before.alias("_before"))
                        .join(targets, "_stream").drop("w", "capped"))
-    docs = docs.drop(*[c for c in docs.columns if c in _OUT or c in _INNER])
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "doc_id",
+                         "source", "text")
     whole, size = F.col("_whole"), F.col("_size")
     within = Window.partitionBy(*key).orderBy("_order", "doc_id", "_size").rowsBetween(
         Window.unboundedPreceding, 0)
     start = F.col("_before") + F.sum("_size").over(within) - size
-    placed = _streams(docs, curriculum, sliced).join(offsets, key).withColumn("_start", start)
+    placed = _streams(packed, curriculum, sliced).join(offsets, key).withColumn("_start", start)
     first = F.greatest(F.lit(0), F.least(size, whole - F.col("_start")))
     second = F.greatest(F.lit(0), F.least(size, whole - F.col("source_size") - F.col("_start")))
     return placed.select(
-        *docs.columns, size.alias("size"), "source_size", "target",
+        "row", size.alias("size"), "source_size", "target",
         (first + second).alias("taken"),
         _position(curriculum, F.col("_start"), first).alias("first_position"),
         _position(curriculum, F.col("source_size") + F.col("_start"), second)
@@ -151,7 +158,6 @@ def place(docs: DataFrame, curriculum: Curriculum = Curriculum()) -> DataFrame:
 
 
 _OUT = ("size", "source_size", "target", "taken", "first_position", "second_position")
-_INNER = ("_size", "_stream", "_slice", "_order", "_before", "_whole", "_start", "rank")
 
 
 def _position(curriculum: Curriculum, start: Column, taken: Column) -> Column:
@@ -168,7 +174,7 @@ def mix(docs: DataFrame, curriculum: Curriculum = Curriculum()) -> DataFrame:
 
     Reads `doc_id`, `text` and `source`. All columns of `docs` stay, but for clashing names of the
     result's own columns, which are replaced: size, source_size, target, taken (words of this
-    copy), copy (0 or 1) and position (0 to 1). Texts are whole; where `taken` is below `size`,
+    copy), copy (0 or 1) and position (0 to 1). Texts are whole and of any length; where `taken` is below `size`,
     the mix ends in this document.
 
     A null or empty text has size 0 and is never taken. A null source is a source of its own, last
@@ -176,16 +182,17 @@ def mix(docs: DataFrame, curriculum: Curriculum = Curriculum()) -> DataFrame:
     counts like an empty one. An empty table gives an empty table. The same input gives the same
     mix, however it is partitioned.
     """
-    placed = place(docs, curriculum)
+    placed = _placed(docs, curriculum)
     copies = F.filter(F.array(
         F.struct(F.lit(0).alias("copy"), F.col("first_position").alias("position"),
                  F.least("size", "taken").alias("taken")),
         F.struct(F.lit(1).alias("copy"), F.col("second_position").alias("position"),
                  (F.col("taken") - F.col("size")).alias("taken")),
     ), lambda c: c["position"].isNotNull())
-    own = [c for c in placed.columns if c not in
-           ("copy", "position", "taken", "first_position", "second_position")]
-    rows = placed.select(*own, F.inline(copies))
+    own = ["size", "source_size", "target"]
+    rows = placed.select(
+        *[F.col("row")[c].alias(c) for c in without(
+            docs.columns, [*own, "copy", "position", "taken"])], *own, F.inline(copies))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (rows.repartitionByRange(parts, "position", "doc_id")
             .sortWithinPartitions("position", "doc_id"))
