@@ -106,3 +106,21 @@ def test_a_short_answer_does_not_stand_for_a_question_of_its_length(spark):
     pairs, clean = run(spark, [(1, "not me"), (2, "who won"), (3, "who won then not me")], bench,
                        limits=Limits(share=0.3))
     assert pairs == [(3, 1)] and clean == [1, 2]
+
+
+@pytest.mark.parametrize("max_items", [1, 3, 5, 4000])
+def test_indexes_of_any_size_find_the_same(spark, monkeypatch, max_items):
+    """Items that share most of their words: how rare a word is must not hang on the index."""
+    monkeypatch.setattr(decontamination, "MAX_ITEMS", max_items)
+    common = " ".join(f"common{i}" for i in range(10))
+    bench = [(i, f"{common} own{i}a own{i}b own{i}c? answer{i}") for i in range(8)] + [
+        (8, "..."), (9, f"{common} own0a own0b own0c? answer0")]
+    docs = [(1, common + " and nothing else of any item"), (2, bench[3][1]), (3, f"{common} own5a"),
+            (4, f"x {bench[0][1]} y")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = decontamination.find_leaks(frame, spark.createDataFrame(bench, "item_id long, text string"))
+    got = sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in rows.collect())
+    assert [g[:2] for g in got] == [(2, 3), (4, 0), (4, 9)]
+    monkeypatch.setattr(decontamination, "MAX_ITEMS", 4000)
+    rows = decontamination.find_leaks(frame, spark.createDataFrame(bench, "item_id long, text string"))
+    assert got == sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in rows.collect())

@@ -9,8 +9,9 @@ fine blocks for the passages that are left; in the blocks whose bounds reach the
 WAND finds the items. Retrieved items are verified by the share of the word n-grams of their
 question and of their answer that the passage holds.
 
-The index covers a bounded number of items and goes to every task; larger benchmarks go through in
-several passes over the documents.
+An index covers a bounded number of items and goes to every task; larger benchmarks go through in
+several passes over the documents. Document frequencies and the average length are those of the whole
+benchmark, so an item scores alike in whichever index it is.
 """
 
 import re
@@ -19,12 +20,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
-from tidemark.llm.common import slices
+from tidemark.llm.common import free_name, keep, slices
 
 #: An index holds at most this many items and characters of text.
 MAX_ITEMS, MAX_CHARS = 4000, 4_000_000
@@ -71,11 +73,23 @@ def _part(hashes: np.ndarray, n: int) -> tuple[int, np.ndarray]:
     return size, np.unique(words.shingles(np.zeros(len(hashes), np.int64), hashes, size, False)[1])
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """Of a whole benchmark: its items with words, their average length, and in how many of them each
+    of some terms occurs. Terms are in order."""
+
+    items: int
+    average: float
+    terms: np.ndarray
+    counts: np.ndarray
+
+
 class Index:
-    """Inverted index of items with BM25 impacts as shares of each item's own score."""
+    """Inverted index of items with BM25 impacts as shares of each item's own score. Without `corpus`
+    the items are the whole benchmark."""
 
     def __init__(self, items: list[tuple[int, str]], limits: Limits, k1: float = 1.2,
-                 b: float = 0.75):
+                 b: float = 0.75, corpus: Corpus | None = None):
         self.limits = limits
         parts = [question_and_answer(text) for _, text in items]
         tokens = _hashes([text for _, text in items])
@@ -95,7 +109,11 @@ class Index:
         counted = [np.unique(np.searchsorted(self.terms, t), return_counts=True) for t in tokens]
         df = np.bincount(np.concatenate([t for t, _ in counted]) if counted else [],
                          minlength=len(self.terms))
-        idf = np.log1p((self.size - df + 0.5) / (df + 0.5))
+        whole = self.size
+        if corpus is not None:
+            whole, average = corpus.items, corpus.average
+            df = corpus.counts[np.searchsorted(corpus.terms, self.terms)]
+        idf = np.log1p((whole - df + 0.5) / (df + 0.5))
         postings: list[list] = [[] for _ in self.terms]
         self.maxima = np.zeros((len(self.terms), self.coarse), np.float32)
         for i, (terms, tf) in enumerate(counted):
@@ -184,8 +202,38 @@ class Index:
         return tuple(share(*part) for part in self.parts[item])
 
 
-def build_index(items: list[tuple[int, str]], limits: Limits) -> Index:
-    return Index(items, limits)
+def build_index(items: list[tuple[int, str]], limits: Limits, corpus: Corpus | None = None) -> Index:
+    return Index(items, limits, corpus=corpus)
+
+
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens = _hashes(batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([len(t) for t in tokens], pa.int64()),
+             pa.array([np.unique(t).view(np.int64) for t in tokens], pa.list_(pa.int64()))],
+            names=["length", "terms"])
+
+
+class _Statistics:
+    """The statistics of a whole benchmark, counted by Spark; an index asks for its own terms."""
+
+    def __init__(self, texts: DataFrame):
+        self.spark = texts.sparkSession
+        found = keep(texts.mapInArrow(_item_terms, "length long, terms array<long>"))
+        self.items, total = found.filter("length > 0").agg(F.count("*"), F.sum("length")).first()
+        self.average = (total or 0) / max(1, self.items)
+        self.counts = keep(found.select(F.explode("terms").alias("term")).groupBy("term").agg(
+            F.count("*").alias("n")))
+
+    def of(self, items: list[tuple[int, str]]) -> Corpus:
+        tokens = _hashes([text for _, text in items])
+        terms = np.unique(np.concatenate(tokens)) if tokens else np.zeros(0, np.uint64)
+        # At most the distinct words of MAX_CHARS characters.
+        asked = self.spark.createDataFrame(pd.DataFrame({"term": terms.view(np.int64)}), "term long")
+        known = self.counts.join(asked, "term").toPandas()
+        order = np.argsort(known["term"].to_numpy().view(np.uint64))
+        return Corpus(self.items, self.average, terms, known["n"].to_numpy()[order])
 
 
 def _passages(index: Index, doc: np.ndarray, hashes: np.ndarray):
@@ -270,16 +318,20 @@ def _scan(index):
 
 
 def _indexes(benchmark: DataFrame, limits: Limits) -> Iterator[Index]:
+    rows = benchmark.select(
+        F.col("item_id").cast("long").alias("item_id"),
+        F.lower(F.col("text").cast("string")).alias("text")).filter(
+        F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
+    statistics = None
     items, chars = [], 0
-    for row in benchmark.select(F.col("item_id").cast("long"), F.lower(F.col("text"))).filter(
-            F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct().orderBy(
-            "item_id", "text").toLocalIterator():
-        if items and (len(items) == MAX_ITEMS or chars + len(row[1]) > MAX_CHARS):
-            yield build_index(items, limits)
+    for row in rows.orderBy("item_id", "text").toLocalIterator():
+        if items and (len(items) >= MAX_ITEMS or chars + len(row[1]) > MAX_CHARS):
+            statistics = statistics or _Statistics(rows.select("text"))
+            yield build_index(items, limits, statistics.of(items))
             items, chars = [], 0
         items.append((row[0], row[1]))
         chars += len(row[1])
-    yield build_index(items, limits)
+    yield build_index(items, limits, statistics.of(items) if statistics else None)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -290,7 +342,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits())
     ignored. Words are runs of letters and digits in lower case. A document has a row per item, with
     its best passage. Null and empty texts and items without words or id match nothing. A repeated
     document row has rows of its own; a null doc_id gives rows with a null doc_id. Items that share
-    an id are separate items, whose rows share the id. Empty tables give an empty table.
+    an id are separate items, whose rows share the id. A question without an answer counts its answer
+    as held. Texts may have any length. Empty tables give an empty table.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.lower(F.col("text").cast("string")).alias("text"))
@@ -301,11 +354,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits())
     return out
 
 
-def _clean(index):
-    """Keep the rows of a batch that match no item."""
+def _clean(index, lower: str):
+    """Keep the rows of a batch that match no item; the column `lower` goes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_lower"):
-            where = batch.schema.get_field_index("_lower")
+        for batch in slices(batches, lower):
+            where = batch.schema.get_field_index(lower)
             bad = np.zeros(batch.num_rows, bool)
             bad[[text for text, _ in search(index, batch.column(where))]] = True
             yield batch.filter(pa.array(~bad)).select(
@@ -320,7 +373,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits
     null ids do not matter.
     """
     schema = docs.schema
+    lower = free_name("_lower", docs.columns)
     for index in _indexes(benchmark, limits):
-        docs = docs.withColumn("_lower", F.lower(F.col("text"))).mapInArrow(
-            _clean(index), schema)
+        docs = docs.withColumn(lower, F.lower(F.col("text"))).mapInArrow(
+            _clean(index, lower), schema)
     return docs
