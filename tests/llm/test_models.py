@@ -146,3 +146,17 @@ def test_terms_that_tell_something_only_beside_another_are_learned():
                               np.concatenate(known), len(rows))
     assert np.mean((margins > 0) == (y == 1)) > 0.97
     assert len(machine.known) < 40
+
+
+def test_repeated_ids_learn_the_same_in_any_order(spark):
+    rng = random.Random(2)
+    rows = [(i % 60, " ".join(rng.choices(FILLER, k=30))) for i in range(180)]
+    labels = spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(60)],
+                                   "doc_id long, quality int, toxic boolean").selectExpr(
+        "doc_id", "quality", "cast(toxic as int) toxic")
+    weights = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(seed + 2)
+        weights.append(quality.fit(docs, labels))
+    assert np.array_equal(*weights)

@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality",
         settings: Settings = Settings()) -> np.ndarray:
     """The weights, with the bias last. One task learns from at most `settings.sample` rows."""
     rows = labelled(docs, labels, label, settings.sample)
-    extracted = rows.mapInArrow(_extract(settings), _FEATURES).dropDuplicates(["doc_id"])
+    extracted = rows.mapInArrow(_extract(settings), _FEATURES)
     model = (extracted.repartition(1).sortWithinPartitions("doc_id")
              .mapInArrow(_train(settings), "at int, weight double"))
     out = np.zeros((1 << settings.bits) + 1)

@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic",
     """One task learns from at most `settings.sample` rows; its weights come to the driver, at most
     `factors + 1` for each of 2**bits terms."""
     rows = labelled(docs, labels, label, settings.sample)
-    extracted = rows.mapInArrow(_extract(settings), _FEATURES).dropDuplicates(["doc_id"])
+    extracted = rows.mapInArrow(_extract(settings), _FEATURES)
     model = (extracted.repartition(1).sortWithinPartitions("doc_id")
              .mapInArrow(_train(settings), "at int, weights array<double>"))
     known, weights, bias = [], [], 0.0
