@@ -79,20 +79,26 @@ class Flattener:
     rates: Rates = field(default_factory=Rates)
 
     def flatten(self, parts) -> tuple[str, list[dict], int]:
-        self.out, self.found, self.tokens = [], [], 0
+        self.out, self.found, self.tokens, self.texts = [], [], 0, []
         for part in parts or []:
             kind = (part or {}).get("kind") or "text"
             visit = getattr(self, f"visit_{kind}", None)
             if visit is None:
                 raise ValueError(f"unknown kind of part: {kind}")
             visit(part or {})
+        self._end_text()
         return "".join(self.out), self.found, self.tokens
 
     def visit_text(self, part: dict) -> None:
         text = part.get("text") or ""
-        self.out.append(escape(text))
+        self.texts.append(text)
         self.tokens += len(text.split())
 
+    def _end_text(self) -> None:
+        """Neighbouring texts are escaped as one, since a control string may lie across them."""
+        self.out.append(escape("".join(self.texts)))
+        self.texts = []
+
     def visit_image(self, part: dict) -> None:
         r = self.rates
         tiles = -(-(part.get("width") or r.tile) // r.tile) * -(-(part.get("height") or r.tile) // r.tile)
@@ -106,6 +112,7 @@ class Flattener:
         self._attach("document", part, max(1, part.get("pages") or 1) * self.rates.tokens_per_page)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
+        self._end_text()
         at = len(self.found)
         self.out.append(f"<|{kind}:{at}|>")
         self.found.append({"at": at, "kind": kind, "uri": part.get("uri"), "tokens": tokens})
@@ -175,7 +182,8 @@ def format_messages(messages: DataFrame, parts: Column | None = None) -> DataFra
     conversation, joined by turn, are the formatted conversation. A null text, part or list of
     parts is empty, a part without kind is text, a null role is an empty one; only the role
     `assistant` is under the loss. Null ids and turns stay null and repeated rows are formatted one
-    by one; other columns are dropped. An empty table gives an empty table.
+    by one; other columns are dropped. Texts have any length. A part of an unknown kind is an error
+    that names the kind and ends the job. An empty table gives an empty table.
     """
     parts = text_parts(F.col("text")) if parts is None else parts
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"),
@@ -201,13 +209,14 @@ class _Digest:
         self.n = self.loss_chars = self.chars = 0
 
     def add(self, segment: str, start: int, end: int) -> None:
-        role, text = read_segment(segment)
-        self.turns.update(f"{role}\n{text}\n".encode())
+        # Through the template, so that a text that was not escaped well shows.
+        for role, text in read_conversation(segment):
+            self.turns.update(f"{role}\n{text}\n".encode())
+            self.n += 1
         learned = unescape(segment[start:end])
         self.loss.update(learned.encode())
         self.loss_chars += len(learned)
         self.chars += len(segment)
-        self.n += 1
 
     def row(self, conv_id) -> tuple:
         return (conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(),
