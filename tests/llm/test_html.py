@@ -185,3 +185,43 @@ def test_only_hidden_parts_are_hidden(spark):
              for i, a in enumerate(gone)]
     assert texts_of(spark, rows) == {i: "a b c" for i in range(len(shown))} | {
         100 + i: "a\nx c" for i in range(len(gone))}
+
+
+def text_of(html):
+    return html_text.main_text(html)
+
+
+def test_words_in_names_inside_an_article():
+    """Only a name that says nothing else drops a part of an article."""
+    kept = ["share-prices", "comments-on-policy", "search-results", "alert", "social-history",
+            "menu-of-the-day", "notice-of-death"]
+    gone = ["comments", "share", "ad", "related-list", "newsletter-box", "sidebar", "cookies"]
+    body = "".join(f"<div class='{n}'><p>{n} text</p></div>" for n in kept + gone)
+    text = text_of(f"<body><article><h1>Head</h1>{body}<p id='share'>own</p></article></body>")
+    assert text.split("\n") == ["Head", *[f"{n} text" for n in kept], "own"]
+
+
+def test_forms():
+    inner = "<article><p>" + "long text " * 60 + "</p><form><p>Subscribe</p><input></form></article>"
+    want = ("long text " * 60).strip()
+    assert text_of(f"<body><form action=x>{inner}</form></body>") == want
+    assert text_of(f"<body><form>{inner}</body>") == want
+    main = "<main><p>" + "long text " * 60 + "</p></main>"
+    assert text_of(f"<html><body><form>{main}</form></body></html>") == want
+    assert text_of(f"<body><form><div><p>{want}</p></div></form></body>") == want
+    assert text_of(f"<body><div><p>{want}</p></div><form><p>Search</p></form></body>") == want
+
+
+def test_unlike_long_pages_align_in_bounded_memory(monkeypatch):
+    rng = random.Random(3)
+    for size, letters, cells in ((12, 4, 6), (9, 3, 1), (400, 300, 1_000)):
+        monkeypatch.setattr(wrappers, "_CELLS", cells)
+        for _ in range(150 if size < 100 else 5):
+            a, b = (wrappers.fold([f"t{rng.randrange(letters)}" for _ in range(rng.randrange(size))])
+                    for _ in range(2))
+            both = wrappers.Matcher(wrappers.align(a, b))
+            assert both.fits(wrappers.Matcher(a)) and both.fits(wrappers.Matcher(b))
+    many = [f"t{i}" for i in range(140_000)]
+    assert len(wrappers.fold(many)) == 140_000
+    card = ["div", *[f"x{i}" for i in range(45)]]
+    assert len(wrappers.fold(card * 3)) == 1

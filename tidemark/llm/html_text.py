@@ -16,9 +16,9 @@ its host's wrapper, if that has boilerplate to tell, and at most `CONTAINERS` co
 """
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
 from itertools import chain
@@ -58,6 +58,14 @@ _BOILERPLATE = re.compile(
     r"navigation|menu|breadcrumbs?|sidebar|side-?bar|widgets?|footer|comments?|commentlist|respond|"
     r"disqus|replies|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|"
     r"search|pagination|pager|toolbar|copyright|complementary|contentinfo)\b", re.I)
+#: Inside an article only a class, id or role that is nothing but such a word counts.
+_BOILERPLATE_WORD = re.compile(
+    r"(?:ads?|adverts?|advertisement|advertising|adslot|adsense|banner|promo|promotion|sponsor|"
+    r"sponsored|cookies?|consent|gdpr|notices?|popup|modal|overlay|nav|navbar|navigation|menu|"
+    r"breadcrumbs?|sidebar|side-bar|widgets?|footer|comments?|commentlist|comment-?list|respond|"
+    r"disqus|replies|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|"
+    r"pagination|pager|toolbar|complementary|contentinfo)"
+    r"(?:-(?:box|block|bar|list|section|container|wrapper|area))?", re.I)
 _HEAD = re.compile(r"\b(?:header|masthead|topbar|site-?head)\b", re.I)
 
 
@@ -109,6 +117,7 @@ def read_page(html: str) -> tuple[list[str], list[tuple[str, str]]]:
                 shape.append(wrappers.SLOT + ("h" if shape and _is_heading(shape[-1]) else "") + kind)
 
     at = 0
+    around = _forms_around(html)
     for m in _TOKEN.finditer(html):
         if m.start() > at and (stack[-1][2] is False or not _inside_inline(stack)):
             text.append(html[at:m.start()])
@@ -136,7 +145,9 @@ def read_page(html: str) -> tuple[list[str], list[tuple[str, str]]]:
                     pass
             continue
         first, own_id, names, hidden = _attributes(m["more"]) if m["more"] else ("", "", "", False)
-        boilerplate = bool(names) and _BOILERPLATE.search(names) is not None
+        boilerplate = bool(names) and (
+            any(_BOILERPLATE_WORD.fullmatch(n) for n in names.split()) if in_article(stack[-1][1])
+            else _BOILERPLATE.search(names) is not None)
         if tag in INLINE:
             if boilerplate or hidden:
                 stack.append((tag, stack[-1][1], True))
@@ -153,7 +164,8 @@ def read_page(html: str) -> tuple[list[str], list[tuple[str, str]]]:
         core = tag in ("article", "main", "body", "html")
         inside = "/article" in path or "/main" in path
         head = (tag == "header" or names and _HEAD.search(names) is not None) and not inside
-        dropped = stack[-1][2] or tag in DROPPED or hidden or not core and bool(boilerplate or head)
+        dropped = (stack[-1][2] or tag in DROPPED and m.start() not in around or hidden
+                   or not core and bool(boilerplate or head))
         stack.append((tag, path, dropped))
     if at < len(html):
         tail = html[at:]
@@ -162,6 +174,21 @@ def read_page(html: str) -> tuple[list[str], list[tuple[str, str]]]:
     return shape, blocks
 
 
+_FORM, _FORM_END = re.compile(r"<form\b", re.I), re.compile(r"</form\b", re.I)
+_BODY = re.compile(r"<body\b", re.I)
+
+
+def _forms_around(html: str) -> set[int]:
+    """Where forms start that hold most of a page: some servers wrap every page into one."""
+    starts = [m.start() for m in _FORM.finditer(html)]
+    if not starts:
+        return set()
+    ends = [m.start() for m in _FORM_END.finditer(html)] + [len(html)]
+    body = _BODY.search(html)
+    size = len(html) - (body.start() if body else 0)
+    return {a for a in starts if 2 * (ends[bisect_left(ends, a)] - a) > size}
+
+
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -344,15 +371,26 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     return _wrappers(pages.select("url", "html").mapInArrow(_shapes, _SHAPES))
 
 
-@lru_cache(maxsize=256)
-def _matcher(wrapper: str) -> wrappers.Matcher:
-    return wrappers.Matcher(wrappers.decode(wrapper))
+class _Places:
+    """Where shapes lie in wrappers, kept for a while. Made inside a task: a cache of the module would
+    tie the tasks to an installed package."""
 
+    def __init__(self):
+        self.matchers: dict[str, wrappers.Matcher] = {}
+        self.known: dict[tuple[str, str], list[int] | None] = {}
 
-@lru_cache(maxsize=4096)
-def _places(wrapper: str, shape: str) -> list[int] | None:
-    """The slot of a wrapper, by its number among the leaves, of each leaf of a folded shape."""
-    return _matcher(wrapper).match(wrappers.leaves(wrappers.decode(shape)))
+    def __call__(self, wrapper: str, shape: str) -> list[int] | None:
+        """The slot of a wrapper, by its number among the leaves, of each leaf of a folded shape."""
+        if (wrapper, shape) not in self.known:
+            if len(self.known) >= 4096:
+                self.known.clear()
+            if wrapper not in self.matchers:
+                if len(self.matchers) >= 256:
+                    self.matchers.clear()
+                self.matchers[wrapper] = wrappers.Matcher(wrappers.decode(wrapper))
+            self.known[wrapper, shape] = self.matchers[wrapper].match(
+                wrappers.leaves(wrappers.decode(shape)))
+        return self.known[wrapper, shape]
 
 
 _SLOTS = "host string, slot int, pages array<long>, signs array<long>"
@@ -360,11 +398,12 @@ _SLOTS = "host string, slot int, pages array<long>, signs array<long>"
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The slots of wrappers with the signs that they have on all pages."""
+    places = _Places()
     for batch in batches:
         found: dict[tuple[str, int], tuple[set, set]] = {}
         for host, wrapper, shape, pages, signs in zip(*(
                 batch.column(c).to_pylist() for c in ("host", "wrapper", "shape", "pages", "signs"))):
-            where = _places(wrapper, shape)
+            where = places(wrapper, shape)
             if where is None:
                 continue
             held = [i for i, t in zip(where, wrappers.leaves(wrappers.decode(shape))) if _open(t)]
@@ -415,13 +454,14 @@ def classify(pages: DataFrame) -> DataFrame:
 
 
 def main_text(html: str, wrapper: str | None = None, boilerplate: dict | None = None,
-              containers: tuple[str, ...] = (), fold: _Folder | None = None) -> str:
+              containers: tuple[str, ...] = (), fold: _Folder | None = None,
+              find: _Places | None = None) -> str:
     """The blocks of the content slots of a page, joined by newlines."""
     tokens, blocks = read_page(html)
     same: list[int | None] = [None] * len(blocks)  # the slot of boilerplate
     if wrapper is not None:
         shape, leaves, where = (fold or _Folder())(tokens)
-        places = _places(wrapper, shape)
+        places = (find or _Places())(wrapper, shape)
         if places is not None:
             texts: dict[int, list[str]] = {}
             for i, (_, text) in zip(where, blocks):
@@ -452,10 +492,10 @@ def main_text(html: str, wrapper: str | None = None, boilerplate: dict | None =
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fold = _Folder()
+    fold, find = _Folder(), _Places()
     for batch in slices(batches, "html"):
         out = [main_text(html or "", wrapper, {x["slot"]: set(x["signs"]) for x in slots or ()},
-                         tuple(paths or ()), fold)
+                         tuple(paths or ()), fold, find)
                for html, wrapper, slots, paths in zip(*(
                    batch.column(c).to_pylist()
                    for c in ("html", "wrapper", "boilerplate", "containers")))]
@@ -470,7 +510,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
     Reads `page_id`, `url` and `html`; other columns are ignored. Character references are decoded,
     white space within a block becomes one space, blocks are joined by one newline. Text that is in its
     slot, equally often, on all of five or more differing pages of a host is left out, unless it is a
-    heading, all of its page, or text of one slot that is most of its page. A null or empty html, or one without content, gives an empty text.
+    heading, all of its page, or text of one slot that is most of its page. A form that
+    holds most of a page is read like any container. Pages have any length. A null or empty html, or
+    one without content, gives an empty text.
     Pages without a host share one wrapper.
     Unclosed tags end where their container ends. A row per input row, repeated rows and null ids
     included; an empty table gives an empty table.

@@ -8,11 +8,17 @@ tags, text slots, optional groups and repeated groups, but no alternatives.
 """
 
 import re
+from bisect import bisect_left
+from collections import Counter
 
 SLOT = "#"
 
 #: Nodes: a tag or slot is a string, a group is ("+" or "?", nodes).
 Node = str | tuple
+# Letters for distinct nodes: all code points beyond the first plane.
+_FIRST_LETTER, _LETTERS = 0x10000, 0x100000
+# An alignment fills a table of at most so many cells at once.
+_CELLS = 1_000_000
 
 
 def fold(tokens: list[str]) -> tuple[Node, ...]:
@@ -22,23 +28,26 @@ def fold(tokens: list[str]) -> tuple[Node, ...]:
 
     def letter(node: Node) -> str:
         if node not in letters:
-            # Letters of a private plane, one per distinct node.
-            letters[node] = chr(0xF0000 + len(nodes))
+            letters[node] = chr(_FIRST_LETTER + len(nodes))
             nodes.append(node)
         return letters[node]
 
+    if len(set(tokens)) > _LETTERS // 2:
+        return tuple(tokens)  # no regular expression tells so many apart; nothing is folded
     line = "".join(map(letter, tokens))
-    for longest in (1, 4, 12, 40):
+    for longest in (1, 4, 12, 40, 200):
         square = re.compile(r"(.{1,%d}?)\1+" % longest, re.S)
 
         def group(m: re.Match) -> str:
-            body = tuple(nodes[ord(c) - 0xF0000] for c in m[1])
+            if len(nodes) >= _LETTERS:
+                return m[0]
+            body = tuple(nodes[ord(c) - _FIRST_LETTER] for c in m[1])
             return letter(body[0] if len(body) == 1 and _is(body[0], "+") else ("+", body))
 
         before = None
         while before != line:
             before, line = line, square.sub(group, line)
-    return tuple(nodes[ord(c) - 0xF0000] for c in line)
+    return tuple(nodes[ord(c) - _FIRST_LETTER] for c in line)
 
 
 def _is(node: Node, kind: str) -> bool:
@@ -82,6 +91,8 @@ def align(a: tuple[Node, ...], b: tuple[Node, ...]) -> tuple[Node, ...]:
         return (*a[:start], *align(a[start:len(a) - end], b[start:len(b) - end]),
                 *a[len(a) - end:])
     n, m = len(a), len(b)
+    if n * m > _CELLS:
+        return _anchored(a, b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -117,6 +128,49 @@ def align(a: tuple[Node, ...], b: tuple[Node, ...]) -> tuple[Node, ...]:
     return tuple(out)
 
 
+def _anchored(a: tuple[Node, ...], b: tuple[Node, ...]) -> tuple[Node, ...]:
+    """Align long expressions between anchors: nodes that either has once, in the longest chain that
+    both have in order. Without anchors both are cut in halves. So memory stays bounded; the
+    expression fits both in any case."""
+    if len(a) < 2 or len(b) < 2:
+        # One node against many: it meets the first like it, all others are optional.
+        short, long = (a, b) if len(a) < 2 else (b, a)
+        at = next((k for k, x in enumerate(long) if _same(x, short[0])), len(long))
+        met = [_merge(short[0], long[at])] if at < len(long) else [_optional(short)]
+        return (*([_optional(long[:at])] if at else []), *met,
+                *([_optional(long[at + 1:])] if long[at + 1:] else []))
+    count_a, count_b = Counter(a), Counter(b)
+    place = {x: j for j, x in enumerate(b) if count_b[x] == 1}
+    pairs = [(i, place[x]) for i, x in enumerate(a) if count_a[x] == 1 and x in place]
+    # The longest rising chain, by the smallest last place of every length.
+    tails: list[int] = []
+    ends: list[int] = []
+    back = [-1] * len(pairs)
+    for k, (_, j) in enumerate(pairs):
+        at = bisect_left(tails, j)
+        back[k] = ends[at - 1] if at else -1
+        tails[at:at + 1], ends[at:at + 1] = [j], [k]
+    chain = []
+    k = ends[-1] if ends else -1
+    while k >= 0:
+        chain.append(pairs[k])
+        k = back[k]
+    if not chain:
+        i, j = len(a) // 2, len(b) // 2
+        return (*align(a[:i], b[:j]), *align(a[i:], b[j:]))
+    out: list[Node] = []
+    i = j = 0
+    for x, y in reversed(chain):
+        out += align(a[i:x], b[j:y])
+        out.append(a[x])
+        i, j = x + 1, y + 1
+    return (*out, *align(a[i:], b[j:]))
+
+
+def _optional(nodes: tuple[Node, ...]) -> Node:
+    return nodes[0] if len(nodes) == 1 and _is(nodes[0], "?") else ("?", tuple(nodes))
+
+
 def generalise(wrapper: tuple[Node, ...] | None, shape: tuple[Node, ...]) -> tuple[Node, ...]:
     return shape if wrapper is None else align(wrapper, shape)
 
