@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, line_dedup, mixing, ngram_join, quality
-from tidemark.llm.common import keep, scratch
+from tidemark.llm.common import free_name, keep, scratch
 
 #: A document whose probability of good quality is lower is rejected.
 MIN_QUALITY = 0.5
@@ -18,16 +18,22 @@ MIN_QUALITY = 0.5
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.with_quality(docs, labels, column="_score")
-    return scored.filter(F.col("_score") >= MIN_QUALITY).drop("_score")
+    score = free_name("_score", docs.columns)
+    scored = quality.with_quality(docs, labels, column=score)
+    return scored.filter(F.col(score) >= MIN_QUALITY).drop(score)
 
 
 def drop_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that spread over many sites; those of nothing else go."""
-    cleaned = line_dedup.remove_spread_lines(docs.withColumnsRenamed(
-        {c: f"_{c}" for c in ("n_lines", "n_removed")}))
+    # Columns of these names are the documents' own here.
+    aside, taken = {}, list(docs.columns)
+    for c in docs.columns:
+        if c.lower() in ("n_lines", "n_removed"):
+            aside[c] = free_name(f"_{c}", taken)
+            taken.append(aside[c])
+    cleaned = line_dedup.remove_spread_lines(docs.withColumnsRenamed(aside))
     left = cleaned.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).drop(
-        "n_lines", "n_removed").withColumnsRenamed({f"_{c}": c for c in ("n_lines", "n_removed")})
+        "n_lines", "n_removed").withColumnsRenamed({new: c for c, new in aside.items()})
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.select(*docs.columns)
