@@ -50,6 +50,13 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
         tables.close()
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Send texts to Python in small Arrow batches. The default of 64 MB is held several times over on
+    both sides, outside of the heap; texts are worked through in slices of 4 MB anyway."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+
+
 def free_name(name: str, columns: list[str]) -> str:
     """A name for a helper column that none of the columns has; case makes no difference."""
     taken = {c.lower() for c in columns}

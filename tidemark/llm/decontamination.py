@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
-from tidemark.llm.common import free_name, keep, slices
+from tidemark.llm.common import free_name, keep, modest_batches, slices
 
 #: An index holds at most this many items and characters of text.
 MAX_ITEMS, MAX_CHARS = 4000, 4_000_000
@@ -345,6 +345,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits())
     an id are separate items, whose rows share the id. A question without an answer counts its answer
     as held. Texts may have any length. Empty tables give an empty table.
     """
+    modest_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.lower(F.col("text").cast("string")).alias("text"))
     out = None
@@ -372,6 +373,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits
     Works like `find_leaks`, in the same pass over the texts, so no join is needed and repeated or
     null ids do not matter.
     """
+    modest_batches(docs.sparkSession)
     schema = docs.schema
     lower = free_name("_lower", docs.columns)
     for index in _indexes(benchmark, limits):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
-from tidemark.llm.common import keep, scratch, slices
+from tidemark.llm.common import keep, modest_batches, scratch, slices
 from tidemark.llm.components import components
 
 #: Rows of at most this many n-grams are summed over all columns.
@@ -280,6 +280,7 @@ def ngram_components(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Da
     empty table gives an empty table.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     limit = zone_limit(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import words
-from tidemark.llm.common import pieces, slices
+from tidemark.llm.common import modest_batches, pieces, slices
 from tidemark.llm.samples import held_out, labelled
 
 _FEATURES = "doc_id long, y int, at array<int>, value array<float>"
@@ -178,6 +178,7 @@ def with_quality(docs: DataFrame, labels: DataFrame, label: str = "quality",
     alone. Without labelled rows every score is 0.5. A column named like `column` is replaced. An
     empty table gives an empty table; repeated rows and null ids are scored like any row.
     """
+    modest_batches(docs.sparkSession)
     docs = docs.drop(column)
     weights = fit(docs, labels, label, settings)
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
