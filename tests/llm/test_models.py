@@ -160,3 +160,94 @@ def test_repeated_ids_learn_the_same_in_any_order(spark):
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(seed + 2)
         weights.append(quality.fit(docs, labels))
     assert np.array_equal(*weights)
+
+
+def plain_ftrl(rows, settings):
+    """The same learner one coordinate at a time, without arrays of features."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= settings.l1:
+            return 0.0
+        shrunk = z[i] - (settings.l1 if z[i] > 0 else -settings.l1)
+        return -shrunk / ((settings.beta + n[i] ** 0.5) / settings.alpha + settings.l2)
+
+    order = np.random.default_rng(0)
+    for _ in range(settings.epochs):
+        for k in order.permutation(len(rows)):
+            y, at, x = rows[k]
+            w = [weight(i) for i in at]
+            p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, x))))
+            for i, wi, xi in zip(at, w, x):
+                g = (p - y) * xi
+                before = n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (n[i] ** 0.5 - before ** 0.5) / settings.alpha * wi
+    return {i: weight(i) for i in z}
+
+
+def test_ftrl_equals_a_plain_one():
+    settings = QualitySettings(bits=5)
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(120):
+        at = np.sort(rng.choice(32, rng.integers(1, 12), False))
+        y = int(at.min() < 5)
+        rows.append((y, np.append(at, 32), np.append(rng.random(len(at)) * 6, 1.0)))
+    w, bias = quality.ftrl(rows, settings)
+    want = plain_ftrl(rows, settings)
+    got = np.append(w, bias)
+    assert np.count_nonzero(got) > 10
+    assert all(abs(got[i] - want.get(i, 0.0)) < 1e-9 for i in range(33))
+
+
+def plain_machine(rows, y, known, settings):
+    """The factorization machine text by text, with every pair of terms spelled out."""
+    k = settings.factors
+    vectors = np.random.default_rng(0).normal(0, 0.01, (len(known), k))
+    linear, linear_sum = [0.0] * len(known), [1e-8] * len(known)
+    vector_sum = np.full((len(known), k), 1e-8)
+    share = min(max(y.mean(), 0.01), 0.99)
+    bias, bias_sum = float(np.log(share / (1 - share))), 1e-8
+    order = np.random.default_rng(1)
+    for _ in range(settings.epochs):
+        shuffled = order.permutation(len(rows))
+        for a in range(0, len(rows), settings.batch):
+            picked = shuffled[a:a + settings.batch]
+            wrong, before = [], vectors.copy()
+            for i in picked:
+                margin = bias + sum(linear[t] for t in rows[i])
+                for p, s in enumerate(rows[i]):
+                    for t in rows[i][:p]:
+                        margin += sum(vectors[s][f] * vectors[t][f] for f in range(k))
+                wrong.append(1 / (1 + np.exp(-margin)) - y[i])
+            for t in sorted({t for i in picked for t in rows[i]}):
+                held = [(w, rows[i]) for w, i in zip(wrong, picked) if t in rows[i]]
+                g = sum(w for w, _ in held) / len(picked) + settings.l2 * linear[t]
+                linear_sum[t] += g * g
+                moved = linear[t] - settings.rate * g / linear_sum[t] ** 0.5
+                least = settings.rate * settings.l1 / linear_sum[t] ** 0.5
+                linear[t] = float(np.sign(moved)) * max(abs(moved) - least, 0.0)
+                for f in range(k):
+                    gv = sum(w * sum(before[s][f] for s in r if s != t) for w, r in held) / len(
+                        picked) + settings.l2 * before[t][f]
+                    vector_sum[t][f] += gv * gv
+                    vectors[t][f] -= settings.rate * 0.2 * gv / vector_sum[t][f] ** 0.5
+            gb = sum(wrong) / len(picked)
+            bias_sum += gb * gb
+            bias -= settings.rate * gb / bias_sum ** 0.5
+    return np.array(linear), vectors, bias
+
+
+def test_factorization_machine_equals_a_plain_one():
+    settings = toxicity.Settings(bits=5, rare=1, association=0.0, epochs=3, batch=16)
+    rng = np.random.default_rng(8)
+    rows = [np.sort(rng.choice(12, rng.integers(2, 7), False)).astype(np.int64) for _ in range(80)]
+    y = np.array([float(1 in r and 2 in r) for r in rows])
+    machine = toxicity.train(rows, y, settings)
+    at = {t: i for i, t in enumerate(machine.known)}
+    linear, vectors, bias = plain_machine([[at[t] for t in r if t in at] for r in rows], y,
+                                          machine.known, settings)
+    assert len(machine.known) > 5
+    assert np.allclose(machine.linear, linear, atol=1e-9) and np.allclose(
+        machine.vectors, vectors, atol=1e-9) and abs(machine.bias - bias) < 1e-9
