@@ -2,9 +2,9 @@
 
 Both answer every row in the batch that brings it. State is small: a quota keeps the allowed requests
 of the last window, at most `limit` points per key, a claim keeps one time per id. Event-time timers
-clear the state of keys that have gone quiet; a stream that stands still loses nothing, as it would if
-the state's age were taken from the clock. `state_ttl_ms` adds that bound too, for keys that must be
-forgotten even while the stream stands still.
+clear the state of keys that have gone quiet. Spark's own time to live goes by the clock, so a stream
+that stands still, or reads a log again, would lose claims and windows that are not over; these timers
+go by the rows' time.
 
 Rows that come later than the watermark get no answer and are counted by the stream's progress; so are
 times before 1970. A row that is older than its key's last one is judged at that one's time, as a live counter would.
@@ -80,14 +80,14 @@ def _named(rows: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.Data
 
 class _Quota(StatefulProcessor):
     def __init__(self, columns: list[str], ts_ms: str, order: list[str], limit: int, window_ms: int,
-                 ttl_ms: int | None, applies: str | None):
+                 applies: str | None):
         self.columns, self.ts_ms, self.order, self.applies = columns, ts_ms, order, applies
-        self.limit, self.window_ms, self.ttl_ms = limit, window_ms, ttl_ms
+        self.limit, self.window_ms = limit, window_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         # The last row is the time of the key's last request, with no request to its name.
-        self.kept = handle.getListState("kept", _longs("t", "n"), self.ttl_ms)
+        self.kept = handle.getListState("kept", _longs("t", "n"))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if self.applies is not None and not key[0]:
@@ -143,8 +143,8 @@ _ANSWER = "allowed boolean, count long, reset_s long"
 
 
 def _ruled(stream: DataFrame, keys: list[str], ts_ms: str, order: list[str], limit: int,
-           window_ms: int, state_ttl_ms: int | None, applies: str | None = None) -> DataFrame:
-    processor = _Quota(stream.columns, ts_ms, order, limit, window_ms, state_ttl_ms, applies)
+           window_ms: int, applies: str | None = None) -> DataFrame:
+    processor = _Quota(stream.columns, ts_ms, order, limit, window_ms, applies)
     grouped = stream.groupBy(*([applies] if applies else []), *keys)
     return grouped.transformWithStateInPandas(
         processor, _with(stream.schema, _ANSWER), "Append", "EventTime", eventTimeColumnName="_at")
@@ -152,7 +152,7 @@ def _ruled(stream: DataFrame, keys: list[str], ts_ms: str, order: list[str], lim
 
 def stream_quota(stream: DataFrame, key: str | Sequence[str], ts_ms: str, limit: int,
                  window_ms: int = config.QUOTA_WINDOW_SECONDS * 1000, order: Sequence[str] = (),
-                 watermark: str = WATERMARK, state_ttl_ms: int | None = None) -> DataFrame:
+                 watermark: str = WATERMARK) -> DataFrame:
     """The key columns, `ts_ms` and the `order` columns of every request with `allowed`, `count` and
     `reset_s`, as `operators.quota.sliding_quota` tells them for a log in time order.
 
@@ -169,7 +169,7 @@ def stream_quota(stream: DataFrame, key: str | Sequence[str], ts_ms: str, limit:
     for k in keys:
         known = known & F.col(k).isNotNull()
     limited = _timed(rows.filter(known), F.col(ts_ms), watermark)
-    ruled = _ruled(limited, keys, ts_ms, order, limit, window_ms, state_ttl_ms).drop("_at")
+    ruled = _ruled(limited, keys, ts_ms, order, limit, window_ms).drop("_at")
     none = F.lit(None).cast("bigint")
     free = rows.filter(~known).select(
         *columns, F.lit(True).alias("allowed"), none.alias("count"), none.alias("reset_s"))
@@ -180,8 +180,7 @@ def stream_quota_scopes(stream: DataFrame, ts_ms: str, order: Sequence[str],
                         limits: Mapping[str, int] = config.QUOTA_LIMITS,
                         window_ms: int = config.QUOTA_WINDOW_SECONDS * 1000, ip_col: str = "ip",
                         user_col: str = "user_id", write_col: str = "event_write",
-                        watermark: str = WATERMARK, bystander_groups: int = 64,
-                        state_ttl_ms: int | None = None) -> DataFrame:
+                        watermark: str = WATERMARK, bystander_groups: int = 64) -> DataFrame:
     """The `order` columns and `ts_ms` of every request with `denied_scope` (null if allowed) and the
     remaining quota of every scope that was asked: `operators.quota.quota_scopes`, live.
 
@@ -206,8 +205,7 @@ def stream_quota_scopes(stream: DataFrame, ts_ms: str, order: Sequence[str],
         bystander = F.pmod(F.xxhash64(*order), F.lit(bystander_groups)).cast("string")
         rows = left.withColumns({
             "_asked": asked, "_owner": F.when(asked, owner).otherwise(bystander)})
-        ruled = _ruled(rows, ["_owner"], ts_ms, order, limits[scope], window_ms, state_ttl_ms,
-                       "_asked")
+        ruled = _ruled(rows, ["_owner"], ts_ms, order, limits[scope], window_ms, "_asked")
         denied = F.col("_asked") & ~F.col("allowed")
         left = ruled.withColumns({
             "denied_scope": F.when(denied, scope).otherwise(F.col("denied_scope")),
@@ -221,14 +219,12 @@ def stream_quota_scopes(stream: DataFrame, ts_ms: str, order: Sequence[str],
 
 
 class _Claims(StatefulProcessor):
-    def __init__(self, columns: list[str], time: str, order: list[str], ttl_us: int,
-                 ttl_ms: int | None):
-        self.columns, self.time, self.order = columns, time, order
-        self.ttl_us, self.ttl_ms = ttl_us, ttl_ms
+    def __init__(self, columns: list[str], time: str, order: list[str], ttl_us: int):
+        self.columns, self.time, self.order, self.ttl_us = columns, time, order, ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.claim = handle.getValueState("claim", _longs("us"), self.ttl_ms)
+        self.claim = handle.getValueState("claim", _longs("us"))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         claim = int(self.claim.get()[0]) if self.claim.exists() else None
@@ -250,7 +246,7 @@ class _Claims(StatefulProcessor):
 
 def stream_claims(stream: DataFrame, key: str = "event_id", ts_col: str = "arrival_ts",
                   order: Sequence[str] = (), ttl_seconds: int = config.CLAIM_TTL_SECONDS,
-                  watermark: str = WATERMARK, state_ttl_ms: int | None = None) -> DataFrame:
+                  watermark: str = WATERMARK) -> DataFrame:
     """The key, time and `order` columns of every arrival with `deduplicated`, `status` and `mode`, as
     `operators.dedup.ingest_outcome` tells them with `claim_ttl_seconds`.
 
@@ -263,7 +259,7 @@ def stream_claims(stream: DataFrame, key: str = "event_id", ts_col: str = "arriv
     known = F.col(key).isNotNull() & F.col("_us").isNotNull()
     limited = _timed(rows.filter(known), F.floor(F.col("_us") / 1000), watermark)
     told = limited.groupBy(key).transformWithStateInPandas(
-        _Claims(limited.columns, "_us", extra, ttl_seconds * 1_000_000, state_ttl_ms),
+        _Claims(limited.columns, "_us", extra, ttl_seconds * 1_000_000),
         _with(limited.schema, "deduplicated boolean"), "Append", "EventTime",
         eventTimeColumnName="_at").drop("_at")
     both = told.unionByName(rows.filter(~known).withColumn("deduplicated", F.lit(False)))
