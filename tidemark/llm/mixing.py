@@ -118,12 +118,13 @@ def place(docs: DataFrame, curriculum: Curriculum = Curriculum()) -> DataFrame:
     second_position. The last document of a source's share is cut at the target: `taken` counts
     the words of it that the mix still takes. Columns of these names are replaced.
     """
-    placed = _placed(docs, curriculum)
-    return placed.select(*[F.col("row")[c].alias(c) for c in without(docs.columns, _OUT)], *_OUT)
+    kept = without(docs.columns, _OUT)
+    placed = _placed(docs, curriculum, kept)
+    return placed.select(*[F.col("row")[c].alias(c) for c in kept], *_OUT)
 
 
-def _placed(docs: DataFrame, curriculum: Curriculum) -> DataFrame:
-    """`row`, a struct of all columns of `docs`, and the result's own columns."""
+def _placed(docs: DataFrame, curriculum: Curriculum, kept: list[str]) -> DataFrame:
+    """`row`, a struct of the columns `kept` of `docs`, and the result's own columns."""
     key = ["_stream", "_slice"]
     with scratch(docs.sparkSession) as tables:
         rows = tables.table(_streams(docs.select("doc_id", "source", "text"), curriculum, 8)
@@ -140,8 +141,8 @@ def _placed(docs: DataFrame, curriculum: Curriculum) -> DataFrame:
         before = F.sum("_in").over(Window.partitionBy("_stream").orderBy("_slice")) - F.col("_in")
         offsets = keep(sums.select(*key, before.alias("_before"))
                        .join(targets, "_stream").drop("w", "capped"))
-    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "doc_id",
-                         "source", "text")
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in kept]).alias("row"), "doc_id", "source",
+                         "text")
     whole, size = F.col("_whole"), F.col("_size")
     within = Window.partitionBy(*key).orderBy("_order", "doc_id", "_size").rowsBetween(
         Window.unboundedPreceding, 0)
@@ -174,25 +175,24 @@ def mix(docs: DataFrame, curriculum: Curriculum = Curriculum()) -> DataFrame:
 
     Reads `doc_id`, `text` and `source`. All columns of `docs` stay, but for clashing names of the
     result's own columns, which are replaced: size, source_size, target, taken (words of this
-    copy), copy (0 or 1) and position (0 to 1). Texts are whole and of any length; where `taken` is below `size`,
-    the mix ends in this document.
+    copy), copy (0 or 1) and position (0 to 1). Texts are whole and of any length; where `taken` is
+    below `size`, the mix ends in this document.
 
     A null or empty text has size 0 and is never taken. A null source is a source of its own, last
     in order. Ties of doc_id are ordered by size, repeated rows take part one by one. A null doc_id
     counts like an empty one. An empty table gives an empty table. The same input gives the same
     mix, however it is partitioned.
     """
-    placed = _placed(docs, curriculum)
+    own = ["size", "source_size", "target"]
+    kept = without(docs.columns, [*own, "copy", "position", "taken"])
+    placed = _placed(docs, curriculum, kept)
     copies = F.filter(F.array(
         F.struct(F.lit(0).alias("copy"), F.col("first_position").alias("position"),
                  F.least("size", "taken").alias("taken")),
         F.struct(F.lit(1).alias("copy"), F.col("second_position").alias("position"),
                  (F.col("taken") - F.col("size")).alias("taken")),
     ), lambda c: c["position"].isNotNull())
-    own = ["size", "source_size", "target"]
-    rows = placed.select(
-        *[F.col("row")[c].alias(c) for c in without(
-            docs.columns, [*own, "copy", "position", "taken"])], *own, F.inline(copies))
+    rows = placed.select(*[F.col("row")[c].alias(c) for c in kept], *own, F.inline(copies))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (rows.repartitionByRange(parts, "position", "doc_id")
             .sortWithinPartitions("position", "doc_id"))
@@ -204,8 +204,8 @@ def shares(docs: DataFrame, curriculum: Curriculum = Curriculum()) -> DataFrame:
     Rows and special cases are those of `mix`; documents it does not take are returned too.
     """
     millionth = 1_000_000
-    placed = place(docs.select("doc_id", "source", "text"), curriculum)
+    placed = _placed(docs, curriculum, ["doc_id"])
     return placed.select(
-        "doc_id", "size", "source_size", "target", "taken",
+        F.col("row")["doc_id"].alias("doc_id"), "size", "source_size", "target", "taken",
         *[F.floor(F.col(c) * millionth).cast("long").alias(c)
           for c in ("first_position", "second_position")])
