@@ -172,3 +172,12 @@ def test_address_hashes_must_fit(spark):
         messages(spark, {**GOOD, "ip_hash": "a" * 64}, {**GOOD, "ip_hash": "a" * 65})))
     got = [r[0] for r in rows.orderBy("message_id").select("verdict").collect()]
     assert got == ["ok", "exception:DBAPIError"]
+
+
+def test_messages_are_decoded_once(spark):
+    """No inferred filter that parses and classifies every message a second time."""
+    rows = spark.range(3).select(F.concat(F.lit('{"event_id":"'), "id", F.lit('"}')).alias("data"))
+    classified = contract.classify_for_write(contract.decode_envelope(rows))
+    plan = spark._jvm.PythonSQLUtils.explainString(classified._jdf.queryExecution(), "formatted")
+    assert "from_json" in plan and "Filter" not in plan
+    assert [r["verdict"] for r in classified.collect()] == ["invalid_event"] * 3

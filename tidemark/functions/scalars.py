@@ -132,9 +132,11 @@ def evaluated_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
     The optimizer copies a projected expression into every filter and projection above it, but
     not what a generator makes. Filters on the other columns pass a generator and reach the scan.
+    The outer form, since for the other one the optimizer adds a filter on the array's size, which
+    evaluates all expressions down to the scan a second time.
     """
     made = F.struct(*[e.alias(f"_once_{i}") for i, e in enumerate(columns.values())])
-    out = df.select("*", F.array(made).alias("_once")).select(*df.columns, F.inline("_once"))
+    out = df.select("*", F.array(made).alias("_once")).select(*df.columns, F.inline_outer("_once"))
     place = {n: F.col(f"_once_{i}") for i, n in enumerate(columns)}
     return out.select(*[place.pop(c).alias(c) if c in place else F.col(c) for c in df.columns],
                       *[e.alias(n) for n, e in list(place.items())])
