@@ -123,3 +123,32 @@ def test_claim_times():
     taken, last = claim_times(times, 1, 10)
     assert taken.tolist() == [False] * 5 + [True, False, True] and last == 35
     assert claim_times(times[:0], 7, 10)[1] == 7
+
+
+def test_keys_share_a_call_and_its_state(spark, tmp_path):
+    """Thousands of keys in two groups: a call and a timer per group, not per key, and the answers
+    of the models all the same. Quiet keys leave a group that lives on."""
+    rng = random.Random(9)
+    arrivals = sorted((rng.randrange(86_400 * 6), f"k{rng.randrange(1_500)}", n) for n in range(4_000))
+    rows = [(k, s, n) for s, k, n in arrivals]
+    cuts = [rows[i:i + 1_000] for i in range(0, 4_000, 1_000)]
+
+    def claims(stream):
+        timed = stream.select("k", F.timestamp_seconds("s").alias("at"), "n")
+        return stateful.stream_claims(timed, "k", "at", ["n"], groups=2)
+
+    told = drive(spark, tmp_path / "claims", claims, cuts, "k string, s long, n long")
+    assert {r["n"]: r["deduplicated"] for r in told} == claims_model(rows, 86_400)
+
+    requests = [(k, s, n) for k, s, n in rows]
+    ruled = drive(spark, tmp_path / "quota", lambda s: stateful.stream_quota(
+        s, ["k", "b"], "s", 2, 50_000, ["n"], watermark="20 seconds", groups=2),
+        [[(k, s, n, b"\xff") for k, s, n in c] for c in cuts], "k string, s long, n long, b binary")
+    got = {r["n"]: (r["allowed"], r["count"], r["reset_s"]) for r in ruled}
+    assert got == served(requests, 2, 50_000)
+    for name, fewest in (("claims", 500), ("quota", 100)):
+        held = spark.read.format("statestore").option("stateVarName", {
+            "claims": "claims", "quota": "kept"}[name]).load(f"{tmp_path}/{name}/checkpoint").collect()
+        keys = [stateful.pa.ipc.open_stream(bytes(r["value"]["keys"])).read_all().num_rows
+                for r in held]
+        assert len(keys) == 2 and fewest <= sum(keys) < 1_500
