@@ -296,3 +296,9 @@ def test_stored_snapshots_answer_without_events(spark, month, tmp_path):
         want[one]["cohort_size"], want[one]["d7_rate"])
     assert got[date(2024, 1, 30)]["cohort_size"] == 0
 
+
+
+def test_empty_tables_need_no_python_worker(spark, tmp_path):
+    none = tables.read_batches(spark, str(tmp_path / "none"), ingest.RETRY)
+    assert "ExistingRDD" not in plan_of(spark, none)
+    assert none.schema == ingest.RETRY and none.count() == 0

@@ -30,6 +30,13 @@ def as_batch(batch: "Batch | int") -> Batch:
     return batch if isinstance(batch, Batch) else Batch(batch)
 
 
+def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows, as a relation that the optimizer drops. A local list, even an empty one, would go through
+    a Python worker in every task."""
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    return spark.range(1).filter(F.lit(False)).select(*none)
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
@@ -45,7 +52,7 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType,
                  before: Batch | int | None = None) -> DataFrame:
     """All batches of a table, or all but a batch and later ones of its stream."""
     if not any(n.startswith("stream=") for n in children(spark, path)):
-        return spark.createDataFrame([], schema)
+        return empty(spark, schema)
     df = spark.read.schema(schema).parquet(path)
     if before is None:
         return df

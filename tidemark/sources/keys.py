@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.session import delete_folder
-from tidemark.sources.batches import Batch, children, complete
+from tidemark.sources.batches import Batch, children, complete, empty
 
 BUCKETS = 256
 FAN_OUT = 8
@@ -71,7 +71,7 @@ def known(spark: SparkSession, path: str, asked: DataFrame, column: str,
     wanted = _bucketed(asked, column)
     # At most BUCKETS small numbers.
     buckets = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]
-    stored = spark.createDataFrame([], _RUN)
+    stored = empty(spark, _RUN)
     for level, runs in _runs(spark, path).items():
         runs = _settled(runs, batch) if level == 0 else runs
         for run in runs:
@@ -88,7 +88,7 @@ def compact(spark: SparkSession, path: str, batch: Batch) -> None:
         runs = _settled(levels[level], batch) if level == 0 else levels[level]
         if len(runs) < FAN_OUT:
             break
-        merged = spark.createDataFrame([], _RUN)
+        merged = empty(spark, _RUN)
         for run in runs:
             merged = merged.unionByName(
                 spark.read.schema(_RUN).option("basePath", run).parquet(run))

@@ -18,7 +18,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import dedup
 from tidemark.session import delete_folder, materialized
 from tidemark.sources.batches import (  # noqa: F401
-    ADDRESS, Batch, children, complete, drop_batch, read_batch, read_batches, write_batch,
+    ADDRESS, Batch, children, complete, drop_batch, empty, read_batch, read_batches, write_batch,
 )
 
 BATCHED_EVENTS = T.StructType([
@@ -75,7 +75,7 @@ def snapshot_version(spark: SparkSession, path: str) -> int:
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     version = snapshot_version(spark, path)
     if version == 0:
-        return spark.createDataFrame([], schema)
+        return empty(spark, schema)
     return spark.read.schema(schema).parquet(f"{path}/version={version}")
 
 
@@ -98,7 +98,7 @@ def upsert_snapshot(spark: SparkSession, path: str, updates: DataFrame,
 def read_by_day(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A snapshot table that is kept in one folder per day."""
     if not children(spark, path):
-        return spark.createDataFrame([], schema)
+        return empty(spark, schema)
     return spark.read.schema(schema).parquet(path)
 
 

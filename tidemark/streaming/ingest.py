@@ -98,7 +98,7 @@ def _last_retries(spark: SparkSession, out: IngestTables) -> list[Batch]:
 
 
 def _read_retries(spark: SparkSession, out: IngestTables, which: list[Batch]) -> DataFrame:
-    rows = spark.createDataFrame([], RETRY)
+    rows = batches.empty(spark, RETRY)
     for batch in which:
         rows = rows.unionByName(batches.read_batch(spark, out.retry, RETRY, batch).select(
             *RETRY.names))
@@ -186,7 +186,8 @@ def _counts(spark: SparkSession, arrived: dict, inserted: dict) -> DataFrame:
     processed, new = arrived.get("processed", 0), inserted.get("rows", 0)
     row = (processed, new, processed - new, arrived.get("reclaimed", 0),
            arrived.get("dead_lettered", 0), arrived.get("pending", 0))
-    return spark.createDataFrame([row], T.StructType(COUNTS.fields[:6])).coalesce(1)
+    return spark.range(1, numPartitions=1).select(
+        *[F.lit(n).cast(f.dataType).alias(f.name) for n, f in zip(row, COUNTS.fields)])
 
 
 def _forget_retries(spark: SparkSession, out: IngestTables, batch: Batch) -> None:
